@@ -24,8 +24,8 @@ ARROW = pa.schema([("b", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary
 LOW = np.uint64((1 << 40) - 1)
 
 
-def batched(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(b, id, key, text) dealt by batch, and the number of buckets. id is doc_id, key is it with null as the largest."""
+def batched(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(b, id, key, text, then carry as c0, c1 ...) by batch, and the number of buckets. id is doc_id, key is it with null as the largest."""
     core.ship(docs.sparkSession)
     _, total = core.sizes(docs)
     n = core.parts(total, core.BATCH_BYTES)
@@ -34,6 +34,7 @@ def batched(docs: DataFrame) -> tuple[DataFrame, int]:
         F.col("doc_id").cast("long").alias("id"),
         core.key_column().alias("key"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+        *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)),
     )
     return rows, core.parts(total, core.BUCKET_BYTES)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import substring, suffix
 
 QUERIES = {
+    "op3_suffix_array_dedup": suffix.op3,
     "op6_substring_dedup": substring.op6,
 }
 
