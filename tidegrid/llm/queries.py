@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring, suffix
+from . import simhash, substring, suffix
 
 QUERIES = {
     "op3_suffix_array_dedup": suffix.op3,
+    "op4_simhash_dedup": simhash.op4,
     "op6_substring_dedup": substring.op6,
 }
 
