@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash, substring, suffix
+from . import simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op3_suffix_array_dedup": suffix.op3,
     "op4_simhash_dedup": simhash.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_substring_dedup": substring.op6,
 }
 
