@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash, substring, suffix, toxicity
+from . import mixing, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op3_suffix_array_dedup": suffix.op3,
     "op4_simhash_dedup": simhash.op4,
     "op5_toxicity": toxicity.op5,
     "op6_substring_dedup": substring.op6,
+    "op8_mixing": mixing.op8,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_mixing": mixing.ORACLE,
+}
