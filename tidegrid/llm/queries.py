@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, substring, suffix, toxicity
+from . import mixing, packing, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op3_suffix_array_dedup": suffix.op3,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op6_substring_dedup": substring.op6,
     "op8_mixing": mixing.op8,
+    "op10_best_fit_packing": packing.op10,
 }
 
 ORACLE: dict[str, str] = {
