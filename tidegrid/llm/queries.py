@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash, substring, suffix, toxicity
+from . import lm, mixing, packing, simhash, substring, suffix, toxicity
 
 QUERIES = {
+    "op2_lm_scoring": lm.op2,
     "op3_suffix_array_dedup": suffix.op3,
     "op4_simhash_dedup": simhash.op4,
     "op5_toxicity": toxicity.op5,
