@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, mixing, packing, simhash, substring, suffix, toxicity
+from . import lm, mixing, packing, quality, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op2_lm_scoring": lm.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash_dedup": simhash.op4,
     "op5_toxicity": toxicity.op5,
     "op6_substring_dedup": substring.op6,
+    "op7_quality_rules": quality.op7,
     "op8_mixing": mixing.op8,
     "op10_best_fit_packing": packing.op10,
 }
