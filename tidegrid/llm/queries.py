@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, mixing, packing, quality, simhash, substring, suffix, toxicity
+from . import lm, media, mixing, packing, quality, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op2_lm_scoring": lm.op2,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_substring_dedup": substring.op6,
     "op7_quality_rules": quality.op7,
     "op8_mixing": mixing.op8,
+    "op9_media_columns": media.op9,
     "op10_best_fit_packing": packing.op10,
 }
 
