@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lm, media, mixing, packing, quality, simhash, substring, suffix, toxicity
+from . import html, lm, media, mixing, packing, quality, simhash, substring, suffix, toxicity
 
 QUERIES = {
+    "op1_html_extraction": html.op1,
     "op2_lm_scoring": lm.op2,
     "op3_suffix_array_dedup": suffix.op3,
     "op4_simhash_dedup": simhash.op4,
