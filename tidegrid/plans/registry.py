@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import cohorts, evidence, grids, screening
+from .catalogue import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "cohorts", "evidence", "grids", "screening"]
