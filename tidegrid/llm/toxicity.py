@@ -18,7 +18,9 @@ SAMPLE = 10_000
 FEATURES = 20_000
 #: Bytes of the token prefixes that are features beside the token itself.
 PREFIXES = (4, 5, 6)
-STEPS = 80
+#: Sampled documents that the field's weights are fitted to, in the order of the sample; calibration takes all.
+FITTED = 3_000
+STEPS = 60
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -84,33 +86,32 @@ def marginals(field: Field, gaps: np.ndarray, last: np.ndarray, extra: np.ndarra
     taken by its two eigenvalues, so the chain over all tokens is exact at the cost of the active ones.
     """
     a, top, ratio, first, second = field.matrices()
-    power = lambda g: first[None] + (ratio**g)[:, None, None] * second[None]
     n, m = mask.shape
-    emit = np.where(mask, np.exp(np.clip(field.base + extra, -30, 30)), 1.0)
-    forward = np.zeros((n, m, 2))
-    log = np.zeros(n)
+    emit = np.where(mask, np.exp(np.clip(field.base + extra, -30, 30)), 1.0).T.copy()
+    decay = (ratio ** np.where(mask, gaps, 0)).T.copy()
+    masks, ends = mask.T.copy(), ratio**last
+    one, two = first @ a, second @ a  # an idle run and then a transition: one + decay * two
+    forward = np.zeros((m, n, 2))
+    log = (np.where(mask, gaps, 0).sum(1) + last) * np.log(top)
     # before the first token stands state 0
     now = np.tile([1.0, 0.0], (n, 1))
     for t in range(m):
-        g = np.where(mask[:, t], gaps[:, t], 0)
-        new = np.einsum("ni,nij->nj", now, power(g)) @ a * np.stack([np.ones(n), emit[:, t]], 1)
+        new = now @ one + decay[t][:, None] * (now @ two)
+        new[:, 1] *= emit[t]
         s = new.sum(1)
-        on = mask[:, t]
-        now = np.where(on[:, None], new / s[:, None], now)
-        log += np.where(on, np.log(s) + g * np.log(top), 0)
-        forward[:, t] = now
-    ends = np.einsum("ni,nij->nj", now, power(last))
-    log += np.log(ends.sum(1)) + last * np.log(top)
-    back = power(last).sum(2)
-    out = np.zeros((n, m))
+        now = np.where(masks[t][:, None], new / s[:, None], now)
+        log += np.where(masks[t], np.log(s), 0)
+        forward[t] = now
+    log += np.log((now @ first + ends[:, None] * (now @ second)).sum(1))
+    back = first.sum(1) + ends[:, None] * second.sum(1)
+    out = np.zeros((m, n))
     for t in range(m - 1, -1, -1):
-        on = mask[:, t]
-        both = forward[:, t] * back
-        out[:, t] = np.where(on, both[:, 1] / both.sum(1), 0)
-        g = np.where(on, gaps[:, t], 0)
-        new = np.einsum("nij,nj->ni", power(g) @ a, back * np.stack([np.ones(n), emit[:, t]], 1))
-        back = np.where(on[:, None], new / new.sum(1, keepdims=True), back)
-    return out, log
+        both = forward[t] * back
+        out[t] = np.where(masks[t], both[:, 1] / both.sum(1), 0)
+        back_t = back * np.stack([np.ones(n), emit[t]], 1)
+        new = back_t @ one.T + decay[t][:, None] * (back_t @ two.T)
+        back = np.where(masks[t][:, None], new / new.sum(1, keepdims=True), back)
+    return out.T, log
 
 
 def _padded(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -185,34 +186,36 @@ def _fit(hashes: np.ndarray, rows: list, rate: float) -> Field:
     doc = np.repeat(np.arange(len(rows)), count)
     label = toxic[doc].astype(float)  # tokens with significant features are toxic where their document is
     full = np.flatnonzero(count)
-    full = full[np.argsort(count[full], kind="stable")]
-    groups = [g for g in np.array_split(full, max(1, len(full) // 512)) if len(g)]
     begin = np.cumsum(count) - count
+    # documents with active tokens, hashed so that any prefix is as good as another
+    full = full[np.argsort(core.mix(full.astype(np.uint64)), kind="stable")[:FITTED]]
+    full = full[np.argsort(count[full], kind="stable")]
+    shapes = []
+    for g in np.array_split(full, max(1, len(full) // 256)):
+        if len(g):
+            n = count[g]
+            at = np.repeat(begin[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            shapes.append((g, n, at, _padded(n, gap[at]), _padded(n, np.ones(len(at), bool))))
+    fitted = np.zeros(len(rows), bool)
+    fitted[full] = True
+    use = fitted[doc]
+    before = np.r_[0, label[:-1]] * np.r_[False, doc[1:] == doc[:-1]]
+    near = gap == 0
+    ends = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True])
+    closes = use[ends] & (label[ends] == 1) & (last[doc[ends]] > 0)
 
     def passes(f: Field) -> tuple[np.ndarray, float]:
+        """Marginals of the fitted documents' active tokens, and the mean loss."""
         extra = np.bincount(slot, f.score[feature], minlength=len(gap))
-        p, loss = np.zeros(len(gap)), 0.0
-        a = f.change
-        for g in groups:
-            n = count[g]
-            at = np.repeat(begin[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            mask = _padded(n, np.ones(len(at), bool))
-            got, log = marginals(f, _padded(n, gap[at]), last[g], _padded(n, extra[at]), mask)
+        p, loss, a = np.zeros(len(gap)), 0.0, f.change
+        for g, n, at, gaps, mask in shapes:
+            got, log = marginals(f, gaps, last[g], _padded(n, extra[at]), mask)
             p[at] = got[mask]
             loss += float((weight[g] * log).sum())
         # the labelled path: tokens without features are in state 0
-        alone = label * ((f.base + extra) * 1.0)
-        follow = np.zeros(len(gap))
-        before = np.r_[0, label[:-1]] * np.r_[False, doc[1:] == doc[:-1]] if len(gap) else follow
-        near = gap == 0
-        follow += np.where(near & (before == 1), np.where(label == 1, a[2], a[1]), np.where(label == 1, a[0], 0))
-        follow += np.where(~near & (before == 1), a[1], 0)
-        closing = np.zeros(len(rows))
-        if len(gap):
-            ends = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True])
-            closing[doc[ends]] = np.where((label[ends] == 1) & (last[doc[ends]] > 0), a[1], 0)
-        loss -= float((weight[doc] * (alone + follow)).sum() + (weight * closing).sum())
-        return p, loss / len(rows)
+        follow = np.where(near & (before == 1), np.where(label == 1, a[2], a[1]), np.where(label == 1, a[0], 0)) + np.where(~near & (before == 1), a[1], 0)
+        path = weight[doc] * (label * (f.base + extra) + follow)
+        return p, (loss - float(path[use].sum()) - float(weight[doc[ends[closes]]].sum()) * a[1]) / len(rows)
 
     theta = np.array([field.base, *field.change])
     moment = [np.zeros(len(hashes) + 4), np.zeros(len(hashes) + 4)]
@@ -220,19 +223,28 @@ def _fit(hashes: np.ndarray, rows: list, rate: float) -> Field:
     def at(x: np.ndarray, score: np.ndarray) -> Field:
         return Field(hashes, score, float(x[0]), tuple(map(float, x[1:4])), field.calibration, rate)
 
-    score = field.score
+    score, slope = field.score, np.zeros(4)
     for step in range(1, STEPS + 1):
         p, loss = passes(at(theta, score))
-        push = weight[doc] * (p - label)
+        push = weight[doc] * (p - label) * use
         grad = np.bincount(feature, push[slot], minlength=len(hashes)) / len(rows) + 1e-4 * score
-        slope = np.array([(passes(at(theta + 1e-4 * np.eye(4)[k], score))[1] - loss) / 1e-4 for k in range(4)]) + 1e-3 * theta
-        g = np.r_[grad, slope]
+        if step % 3 == 1:  # the four scalars by differences
+            slope = np.array([(passes(at(theta + 1e-4 * np.eye(4)[k], score))[1] - loss) / 1e-4 for k in range(4)])
+        g = np.r_[grad, slope + 1e-3 * theta]
         moment[0] = 0.9 * moment[0] + 0.1 * g
         moment[1] = 0.99 * moment[1] + 0.01 * g * g
         move = 0.25 * moment[0] / (1 - 0.9**step) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-8)
         score, theta = score - move[:-4], theta - move[-4:]
     field = at(theta, score)
-    p, _ = passes(field)
+    extra = np.bincount(slot, score[feature], minlength=len(gap))
+    p = np.zeros(len(gap))
+    every = np.flatnonzero(count)
+    for g in np.array_split(every[np.argsort(count[every], kind="stable")], max(1, len(every) // 256)):
+        if len(g):
+            n = count[g]
+            spot = np.repeat(begin[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            mask = _padded(n, np.ones(len(spot), bool))
+            p[spot] = marginals(field, _padded(n, gap[spot]), last[g], _padded(n, extra[spot]), mask)[0][mask]
     total, most = np.bincount(doc, p, minlength=len(rows)), np.zeros(len(rows))
     np.maximum.at(most, doc, p)
     x = np.stack([np.ones(len(rows)), np.minimum(total, 4), most], 1)
