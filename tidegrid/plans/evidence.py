@@ -1 +1,196 @@
-"""Queries."""
+"""Ledger, evaluation, ingest and manifest queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidegrid.functions import scalars
+from tidegrid.operators import evaluate, ledgers
+from tidegrid.sources import text
+
+from . import stand_ins as t
+from .catalogue import query
+
+PREDICTED = "CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END"
+TRUTH = "CASE WHEN l.doc_id % 11 = 0 THEN 255 ELSE toxic END"
+MATRIX = f"SELECT source, count(*) FILTER (WHERE t = 0 AND p = 0) AS n00, count(*) FILTER (WHERE t = 0 AND p = 1) AS n01, count(*) FILTER (WHERE t = 1 AND p = 0) AS n10, count(*) FILTER (WHERE t = 1 AND p = 1) AS n11 FROM (SELECT source, {TRUTH} AS t, {PREDICTED} AS p FROM labels l JOIN documents d ON l.doc_id = d.doc_id) WHERE t <> 255 GROUP BY 1"
+
+
+def _judgements(spark: SparkSession, d: str) -> DataFrame:
+    docs = t.table(spark, d, "documents").select("doc_id", "source", F.when(F.length("text") % 3 == 0, 1).otherwise(0).alias("p"))
+    return t.table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "source", "quality", "toxic", F.when(F.col("doc_id") % 11 == 0, 255).otherwise(F.col("toxic")).alias("t"), "p")
+
+
+@query(f"""WITH m AS ({MATRIX}), a AS (SELECT 'source' AS level, source AS name, n00, n01, n10, n11 FROM m UNION ALL SELECT 'pooled', 'all', sum(n00), sum(n01), sum(n10), sum(n11) FROM m),
+k AS (SELECT level, name, unnest([{{'label': 0, 'hit': n00, 'truth': n00 + n01, 'found': n00 + n10}}, {{'label': 1, 'hit': n11, 'truth': n10 + n11, 'found': n01 + n11}}], recursive := true) FROM a),
+v AS (SELECT level, name, label, hit / nullif(found, 0)::DOUBLE AS precision, hit / nullif(truth, 0)::DOUBLE AS recall, 2 * hit / nullif(truth + found, 0)::DOUBLE AS f1, hit / nullif(truth + found - hit, 0)::DOUBLE AS iou FROM k)
+SELECT level, name, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(iou, 6) AS iou, round(avg(iou) OVER (PARTITION BY level, name), 6) AS mean_iou FROM v""")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of each source and of all together: matrices are summed, not ratios averaged."""
+    m = evaluate.confusion(_judgements(spark, d), "t", "p", "source")
+    pooled = m.agg(*(F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11"))).select(F.lit("pooled").alias("level"), F.lit("all").alias("name"), "n00", "n01", "n10", "n11")
+    every = m.select(F.lit("source").alias("level"), F.col("source").alias("name"), "n00", "n01", "n10", "n11").unionByName(pooled)
+    rows = evaluate.class_metrics(every, "level", "name")
+    return rows.select("level", "name", "label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "iou", "mean_iou")))
+
+
+@query("WITH j AS (SELECT lang, quality AS a, toxic AS b FROM labels JOIN documents USING (doc_id)), n AS (SELECT lang, count(*) AS n, avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) AS o, (sum(a)::DOUBLE * sum(b) + (count(*) - sum(a))::DOUBLE * (count(*) - sum(b))) / (count(*)::DOUBLE * count(*)) AS e FROM j GROUP BY 1) SELECT lang, n, round(o, 6) AS agreement, round(CASE WHEN e < 1 THEN (o - e) / (1 - e) END, 6) AS kappa FROM n")
+def kappa(spark: SparkSession, d: str) -> DataFrame:
+    j = t.table(spark, d, "labels").join(t.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluate.kappa(j, "quality", "toxic", "lang").select("lang", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+
+
+@query("WITH n AS (SELECT toxic AS label, count(*) AS n FROM labels GROUP BY 1) SELECT label, n, round((SELECT sum(n) FROM n)::DOUBLE / (2 * n), 6) AS weight, label = (SELECT label FROM n ORDER BY n DESC, label LIMIT 1) AS majority FROM n")
+def class_weights(spark: SparkSession, d: str) -> DataFrame:
+    n = t.table(spark, d, "labels").groupBy(F.col("toxic").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    best = n.agg(F.sum("n").alias("total"), F.max_by("label", F.struct("n", -F.col("label"))).alias("best"))
+    return n.crossJoin(F.broadcast(best)).select("label", "n", F.round(F.col("total") / (2 * F.col("n")), 6).alias("weight"), (F.col("label") == F.col("best")).alias("majority"))
+
+
+@query("SELECT user_id % 20 AS reviewer, count(*) AS n, count(*) FILTER (WHERE value < 5) AS unmeasured, round(median(value) FILTER (WHERE value >= 5), 6) AS median_s, round(avg(value) FILTER (WHERE value >= 5), 6) AS mean_s, round(sum(value) FILTER (WHERE value >= 5), 4) AS total_s FROM events GROUP BY 1")
+def effort(spark: SparkSession, d: str) -> DataFrame:
+    known = F.when(F.col("value") >= 5, F.col("value"))
+    rows = t.table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("reviewer"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 5).alias("unmeasured"), F.round(F.median(known), 6).alias("median_s"), F.round(F.avg(known), 6).alias("mean_s"), F.round(F.sum(known), 4).alias("total_s"))
+
+
+CHAIN = "l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, sha256(conv_id || '|' || turn || '|' || text) AS sha FROM conversations)"
+
+
+@query(f"WITH {CHAIN}, p AS (SELECT *, coalesce(lag(sha) OVER (PARTITION BY conv_id ORDER BY seq), '') AS previous FROM l), v AS (SELECT *, sha256(previous || '|' || seq || '|' || turn) AS link FROM p), c AS (SELECT *, coalesce(lag(link) OVER (PARTITION BY conv_id ORDER BY seq), '') AS before FROM v) SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE sha256(before || '|' || seq || '|' || turn) <> link) AS breaks FROM c GROUP BY 1")
+def ledger_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Breaks of chains whose links were made from bodies' digests, checked against links of links."""
+    w = Window.partitionBy("conv_id").orderBy("seq")
+    l = t.table(spark, d, "conversations").withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    l = l.withColumn("sha", F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "text"), 256))
+    l = l.withColumn("previous", F.coalesce(F.lag("sha").over(w), F.lit(""))).withColumn("body", F.col("turn").cast("string"))
+    l = l.withColumn("link", F.sha2(F.concat_ws("|", "previous", F.col("seq").cast("string"), "body"), 256))
+    before = F.coalesce(F.lag("link").over(w), F.lit(""))
+    return ledgers.chain_breaks(l.withColumn("before", before), "conv_id", "seq", "body", "before", "link").select("conv_id", "n", "breaks")
+
+
+@query("SELECT user_id, event_type, event_id, amendments FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id, event_type) - 1 AS amendments FROM events) WHERE k = 1")
+def effective_events(spark: SparkSession, d: str) -> DataFrame:
+    e = t.table(spark, d, "events").select("user_id", "event_type", "event_id", F.struct("ts", "event_id").alias("o"))
+    return ledgers.effective(e, ["user_id", "event_type"], "o").select("user_id", "event_type", "event_id", "amendments")
+
+
+@query("WITH a AS (SELECT conv_id, turn, length(text) % 3 AS label FROM conversations), j AS (SELECT x.conv_id, x.turn AS first_turn, y.turn AS second_turn, x.label AS a, y.label AS b FROM a x LEFT JOIN a y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT conv_id, count(*) AS issued, count(second_turn) AS paired, count(*) FILTER (WHERE a = b) AS agreed FROM j GROUP BY 1")
+def task_join(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks with their second responses, where there is one."""
+    a = t.table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 3).alias("label"))
+    y = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("label").alias("b"))
+    return a.join(y, ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.count(F.lit(1)).alias("issued"), F.count("b").alias("paired"), F.count_if(F.col("label") == F.col("b")).alias("agreed"))
+
+
+HEAD = [[((i * 7 + k * 3) % 11 - 5) / 10 for i in range(64)] for k in range(3)]
+_LOGITS = ", ".join(f"list_dot_product(e, {w!r}::DOUBLE[]) + {b}::DOUBLE" for w, b in zip(HEAD, (0.1, -0.2, 0.0), strict=True))
+
+
+@query(f"WITH v AS (SELECT vec_id, [{_LOGITS}] AS z FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)), m AS (SELECT vec_id, z, list_max(z) AS top FROM v), s AS (SELECT vec_id, [exp(z[1] - top), exp(z[2] - top), exp(z[3] - top)] AS p FROM m) SELECT vec_id, round(p[1] / list_sum(p), 6) AS p0, round(p[2] / list_sum(p), 6) AS p1, round(p[3] / list_sum(p), 6) AS p2 FROM s")
+def linear_head(spark: SparkSession, d: str) -> DataFrame:
+    p = t.table(spark, d, "embeddings").select("vec_id", evaluate.linear_head(F.col("embedding"), HEAD, [0.1, -0.2, 0.0]).alias("p"))
+    return p.select("vec_id", *(F.round(F.col("p")[k], 6).alias(f"p{k}") for k in range(3)))
+
+
+@query("WITH a AS (SELECT user_id AS item, max(ts) AS used, count(*) * 1000 AS bytes FROM events GROUP BY 1), r AS (SELECT *, sum(bytes) OVER (ORDER BY used DESC, item) AS total FROM a) SELECT item, bytes, item % 50 <> 0 AND total > 5000000 AS evicted FROM r")
+def lru_eviction(spark: SparkSession, d: str) -> DataFrame:
+    """What goes, oldest first, until the rest fits; pinned items stay. The running sum is over days first, then within a day."""
+    a = t.table(spark, d, "events").groupBy(F.col("user_id").alias("item")).agg(F.max("ts").alias("used"), (F.count(F.lit(1)) * 1000).alias("bytes"))
+    a = a.withColumn("day", F.to_date("used"))
+    days = a.groupBy("day").agg(F.sum("bytes").alias("n"))
+    after = days.select("day", (F.sum("n").over(Window.orderBy(F.desc("day"))) - F.col("n")).alias("newer"))
+    own = F.sum("bytes").over(Window.partitionBy("day").orderBy(F.desc("used"), "item"))
+    return a.withColumn("own", own).join(after, "day").select("item", "bytes", ((F.col("item") % 50 != 0) & (F.col("own") + F.col("newer") > 5_000_000)).alias("evicted"))
+
+
+@query("""WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%m/%d/%Y') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d') END AS d, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%H:%M') WHEN 1 THEN ltrim(strftime(ts, '%H%M'), '0') ELSE strftime(ts, '%H%M') END AS c, (event_id % 110)::DOUBLE - 60 AS lon, (event_id % 60)::DOUBLE + 20 AS lat FROM events),
+p AS (SELECT event_id, coalesce(try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%Y-%m-%d'))::DATE AS day, lpad(replace(c, ':', ''), 4, '0') AS clock, CASE WHEN lon > 30 AND lon < 80 THEN -lon ELSE lon END AS lon, lat FROM s) SELECT event_id, strftime(day, '%Y-%m-%d') AS day, clock, lon, lat FROM p WHERE day IS NOT NULL AND lat BETWEEN 40 AND 65 AND lon BETWEEN -65 AND -40""")
+def sighting_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Text rows of sightings as published, normalised; what can't be read is left out."""
+    ts, k = F.col("ts"), F.col("event_id")
+    raw = t.table(spark, d, "events").select(
+        k, F.when(k % 4 == 0, F.date_format(ts, "MM/dd/yyyy")).when(k % 4 == 2, "bad").otherwise(F.date_format(ts, "yyyy-MM-dd")).alias("d"),
+        F.when(k % 3 == 0, F.date_format(ts, "HH:mm")).when(k % 3 == 1, F.expr("ltrim('0', date_format(ts, 'HHmm'))")).otherwise(F.date_format(ts, "HHmm")).alias("c"), (k % 110).cast("double") - 60, (k % 60).cast("double") + 20,
+    ).toDF("event_id", "d", "c", "lon", "lat")
+    return text.sightings(raw).select("event_id", "day", "clock", "lon", "lat")
+
+
+@query("WITH n AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/(.*)$', ['scheme', 'host', 'path']) AS u FROM pages) SELECT page_id, u.scheme AS scheme, u.host AS host, u.path AS path, regexp_extract(u.host, '([^.]+)\\.[^.]+\\.[^.]+$', 1) AS unit FROM n")
+def name_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of names by one pattern."""
+    part = lambda k: F.regexp_extract("url", r"^(https?)://([^/]+)/(.*)$", k)
+    rows = t.table(spark, d, "pages").select("page_id", part(1).alias("scheme"), part(2).alias("host"), part(3).alias("path"))
+    return rows.withColumn("unit", F.regexp_extract("host", r"([^.]+)\.[^.]+\.[^.]+$", 1))
+
+
+@query("""WITH f AS (SELECT event_id AS id, ts AS generated, ts - INTERVAL 6 HOUR AS begins, ts + INTERVAL 6 HOUR AS ends FROM events WHERE event_id % 10 = 0), s AS (SELECT event_id AS scene, ts FROM events WHERE event_id % 100 = 7)
+SELECT scene, arg_max(f.id, (generated, f.id)) AS orbit, count(*) AS covering FROM s JOIN f ON ts BETWEEN begins AND ends GROUP BY 1""")
+def orbit_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of the files that cover a time the latest generated; candidates meet in six-hour cells."""
+    e = t.table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    six = 6 * 3600 * 1_000_000
+    f = e.where("event_id % 10 = 0").select(F.col("event_id").alias("id"), F.col("t").alias("g"), F.explode(F.array(*(F.floor(F.col("t") / six) + k for k in (-1, 0, 1)))).alias("cell"))
+    s = e.where("event_id % 100 = 7").select(F.col("event_id").alias("scene"), F.col("t").alias("at"), F.floor(F.col("t") / six).alias("cell"))
+    return s.join(f, "cell").where(F.abs(F.col("at") - F.col("g")) <= six).groupBy("scene").agg(F.max_by("id", F.struct("g", "id")).alias("orbit"), F.count(F.lit(1)).alias("covering"))
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 10 = 0)")
+def new_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Incoming rows that aren't stored yet."""
+    incoming = t.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"))
+    return ledgers.new_only(t.table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("key")), incoming, "key")
+
+
+@query("SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS value FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 9 = 0 AND o_orderkey % 2 = 0) UNION ALL SELECT o_orderkey, 'R', o_totalprice FROM orders WHERE o_custkey % 9 = 0 AND o_orderkey % 2 = 0")
+def trajectory_replace(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of incoming keys are replaced."""
+    o = t.table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value"))
+    return ledgers.replaced(o, o.where("o_custkey % 9 = 0 AND key % 2 = 0").withColumn("status", F.lit("R")), "o_custkey").select("key", "status", "value")
+
+
+@query("WITH a AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'edited' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 10 <> 4) SELECT count(*) FILTER (WHERE b.doc_id IS NULL) AS only_a, count(*) FILTER (WHERE a.doc_id IS NULL) AS only_b, count(*) FILTER (WHERE a.sha <> b.sha) AS differ FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+def manifest_check(spark: SparkSession, d: str) -> DataFrame:
+    """A stored inventory against a recomputed one."""
+    docs = t.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    b = docs.where("doc_id % 10 <> 4").withColumn("sha", F.when(F.col("doc_id") % 97 == 0, "edited").otherwise(F.col("sha")))
+    return ledgers.differences(docs.where("doc_id % 10 <> 3"), b, ["doc_id"], ["sha"])
+
+
+@query("WITH q AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_totalprice AS wind FROM orders WHERE o_totalprice >= 100000 AND o_custkey % 4 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY wind DESC, id) AS n FROM q) SELECT id, strftime(day, '%Y-%m-%d') AS day, wind FROM k WHERE n = 1 ORDER BY wind DESC, id LIMIT 40")
+def one_per_day(spark: SparkSession, d: str) -> DataFrame:
+    """The windiest qualified scene of each day, the windiest days first."""
+    q = t.table(spark, d, "orders").where("o_totalprice >= 100000 AND o_custkey % 4 = 0")
+    best = q.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max(F.struct(F.col("o_totalprice").alias("wind"), (-F.col("o_orderkey")).alias("id"))).alias("m"))
+    return best.select((-F.col("m.id")).alias("id"), F.date_format("day", "yyyy-MM-dd").alias("day"), "m.wind").orderBy(F.desc("wind"), "id").limit(40)
+
+
+@query("WITH s AS (SELECT l_orderkey AS product, l_linenumber AS k, CAST(l_quantity AS INTEGER) AS n FROM lineitem), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY product ORDER BY k, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, row_number() OVER (PARTITION BY product ORDER BY k, n) AS i FROM s) SELECT product, count(*) AS stripes, sum(n)::BIGINT AS height, bool_and(k = i) AS contiguous, max(start + n)::BIGINT = sum(n)::BIGINT AS reconciled FROM r GROUP BY 1")
+def stripe_contiguity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether stripes follow each other and their heights sum to the total."""
+    w = Window.partitionBy("product").orderBy("k", "n")
+    s = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("product"), F.col("l_linenumber").alias("k"), F.col("l_quantity").cast("int").alias("n"))
+    r = s.withColumn("start", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("i", F.row_number().over(w))
+    return r.groupBy("product").agg(F.count(F.lit(1)).alias("stripes"), F.sum("n").alias("height"), F.bool_and(F.col("k") == F.col("i")).alias("contiguous"), (F.max(F.col("start") + F.col("n")) == F.sum("n")).alias("reconciled"))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, coalesce(json_extract_string(props, '$.legacy'), 'none') AS legacy, count(*) AS n FROM events GROUP BY ALL")
+def json_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A new key, else the old one, else a default."""
+    got = F.coalesce(F.get_json_object("props", "$.missing"), F.get_json_object("props", "$.legacy"), F.lit("none"))
+    return t.table(spark, d, "events").groupBy("event_type", (F.get_json_object("props", "$.k").cast("long") % 10).alias("k"), got.alias("legacy")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, round(greatest(500, 0.5 * value), 6)::DOUBLE AS drift_m, round(100 + 20 + greatest(0, value - 50) / 2 + 0.5 * value, 6)::DOUBLE AS review_m, round(sqrt(value * value + event_id % 7 * (event_id % 7)), 6) AS wind, sha256(event_type || '|' || event_id) AS digest FROM events")
+def radii_and_digests(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    return t.table(spark, d, "events").select("event_id", F.round(scalars.drift_radius(v), 6).alias("drift_m"), F.round(scalars.review_radius(v, v - 50), 6).alias("review_m"), F.round(F.hypot(v, (F.col("event_id") % 7).cast("double")), 6).alias("wind"), scalars.hashed(F.col("event_type"), F.col("event_id")).alias("digest"))
+
+
+@query()
+def population_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Exact finite-population intervals of toxic counts by source; tests hold them against enumeration."""
+    j = t.table(spark, d, "labels").join(t.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    n = j.groupBy("source").agg((F.count(F.lit(1)) * 3).alias("population"), F.count(F.lit(1)).alias("sample"), F.sum("toxic").cast("long").alias("positives"))
+    return n.withColumn("i", evaluate.interval_of("population", "sample", "positives")).select("source", "population", "sample", "positives", "i.low", "i.high")
