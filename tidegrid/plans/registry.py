@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohorts, evidence, grids, screening
+from . import cohorts, evidence, grids, screening, selections
 from .catalogue import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "cohorts", "evidence", "grids", "screening"]
+__all__ = ["ORACLE", "QUERIES", "cohorts", "evidence", "grids", "screening", "selections"]
