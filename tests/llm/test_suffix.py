@@ -14,6 +14,33 @@ def test_against_brute_force(spark, length):
     assert brute.ordered(got) == brute.ordered(brute.suffix(rows, length))
 
 
+def test_hot_anchors(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows = [(i * 7 % 300, f"{rng.random()}" * 3 + passage[: rng.randint(80, 120)] + f"{rng.random()}" * 3) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.ordered(brute.suffix(rows, 50))
+    for hot in (0, 20, 4000):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        monkeypatch.setattr(suffix, "shared", shared_with(hot))
+        got = [(*tuple(r)[:4], r.kept.hex()) for r in suffix.suffix_dedup(frame, 50, digest=True).collect()]
+        assert brute.ordered(got) == want
+
+
+def shared_with(hot):
+    """The module's function with another threshold, also in the workers."""
+    plain = suffix.shared
+
+    def how(t):
+        suffix.HOT, before = hot, suffix.HOT
+        try:
+            return plain(t)
+        finally:
+            suffix.HOT = before
+
+    return how
+
+
 def test_empty(spark):
     assert suffix.suffix_dedup(spark.createDataFrame([], brute.SCHEMA)).count() == 0
 

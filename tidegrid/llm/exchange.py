@@ -43,9 +43,15 @@ def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"b": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())}, ARROW)
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Hashes anew: anchors are the smallest of their windows, so their own upper bits are uneven."""
+    return core.mix(h ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def short(h: np.ndarray, buckets: int) -> np.ndarray:
     """(bucket, low 40 bits) as one number: enough to choose candidates, with 5 bytes a hash on the wire."""
-    return (core.bucket_of(h, buckets) << np.uint64(40)) | (core.mix(h) & LOW)
+    h = spread(h)
+    return (core.bucket_of(h, buckets) << np.uint64(40)) | (h & LOW)
 
 
 def pack(codes: np.ndarray, width: int) -> bytes:

@@ -17,6 +17,10 @@ from . import core, exchange
 LENGTH = 50
 #: Left neighbours of an interval's suffixes: none yet, or different ones.
 NONE, DIVERSE = -1, -2
+#: Suffixes that are sorted together, about.
+MOST = 150_000
+#: Extents of an anchor, over all batches, beyond which its windows are dealt one by one.
+HOT = 4_000
 
 
 def suffix_array(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,38 +40,55 @@ def suffix_array(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np
     return order, common
 
 
-def intervals(common: np.ndarray, left: np.ndarray, key: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
-    """Maximal repeats as (first rank, last rank, length, smallest key): intervals of the tree at depth `least` or
-    more whose suffixes have different left neighbours (negative: none known, which counts as its own).
+def intervals(common: np.ndarray, left: np.ndarray, key: np.ndarray, least: int) -> np.ndarray:
+    """Maximal repeats as rows of first rank, last rank, length, smallest key, parent's length or 0: intervals of the tree at
+    depth `least` or more whose suffixes have different left neighbours (negative: none known, which counts as its own).
 
-    One scan with a stack; an interval that closes hands its left neighbours and smallest key to its parent.
+    Trees of one key, and trees whose root has one left neighbour, hold none: a child's suffixes are its root's. Trees
+    of one node are read off; the others take a scan with a stack, where an interval that closes hands its left
+    neighbours and smallest key to its parent.
     """
-    out: list[tuple[int, int, int, int]] = []
-    starts = np.flatnonzero((common >= least) & ~np.r_[False, common[:-1] >= least])
-    ends = np.flatnonzero((common >= least) & ~np.r_[common[1:] >= least, False])
-    for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
-        if (own := key[a - 1 : z + 1]).min() == own.max():
-            continue  # all of one document: nothing to report for this subtree
-        depth, chars, keys = common[a : z + 1].tolist(), left[a - 1 : z + 1].tolist(), own.tolist()
+    deep = common >= least
+    starts, ends = np.flatnonzero(deep & ~np.r_[False, deep[:-1]]), np.flatnonzero(deep & ~np.r_[deep[1:], False])
+    if not len(starts):
+        return np.zeros((0, 5), np.int64)
+    spans, inner = np.stack([starts - 1, ends + 1], 1).ravel(), np.stack([starts, ends + 1], 1).ravel()
+
+    def extremes(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = np.r_[v, 0]
+        return np.minimum.reduceat(v, at)[::2], np.maximum.reduceat(v, at)[::2]
+
+    low, high = extremes(key, spans)
+    side_low, side_high = extremes(left, spans)
+    flat_low, flat_high = extremes(common, inner)
+    several = (low < high) & ((side_low < 0) | (side_low != side_high))
+    flat = np.flatnonzero(several & (flat_low == flat_high))
+    out = [np.stack([starts[flat] - 1, ends[flat], flat_low[flat], low[flat], np.zeros(len(flat), np.int64)], 1)]
+    found: list[tuple[int, int, int, int, int]] = []
+    for tree in np.flatnonzero(several & (flat_low != flat_high)).tolist():
+        a, z = int(starts[tree]), int(ends[tree])
+        depth, chars, keys = common[a : z + 1].tolist(), left[a - 1 : z + 1].tolist(), key[a - 1 : z + 1].tolist()
         stack: list[list[int]] = []  # depth, first rank, left neighbour, smallest key, largest key
         for i in range(len(depth) + 1):
             d = depth[i] if i < len(depth) else 0
-            side, low, high, lo = (chars[i] if chars[i] >= 0 else DIVERSE), keys[i], keys[i], i
+            side, small, large, first = (chars[i] if chars[i] >= 0 else DIVERSE), keys[i], keys[i], i
             while stack and stack[-1][0] > d:
                 top = stack.pop()
                 top[2] = top[2] if top[2] == side else DIVERSE
-                top[3], top[4] = min(top[3], low), max(top[4], high)
+                top[3], top[4] = min(top[3], small), max(top[4], large)
                 if top[2] == DIVERSE and top[3] < top[4]:
-                    out.append((a - 1 + top[1], a - 1 + i, top[0], top[3]))
-                side, low, high, lo = top[2], top[3], top[4], top[1]
+                    above = max(stack[-1][0] if stack else 0, d)
+                    found.append((a - 1 + top[1], a - 1 + i, top[0], top[3], above if above >= least else 0))
+                side, small, large, first = top[2], top[3], top[4], top[1]
             if d >= least:
                 if stack and stack[-1][0] == d:
                     top = stack[-1]
                     top[2] = top[2] if top[2] == side else DIVERSE
-                    top[3], top[4] = min(top[3], low), max(top[4], high)
+                    top[3], top[4] = min(top[3], small), max(top[4], large)
                 else:
-                    stack.append([d, lo, side, low, high])
-    return out
+                    stack.append([d, first, side, small, large])
+    out.append(np.array(found, np.int64).reshape(-1, 5))
+    return np.concatenate(out)
 
 
 class Extents:
@@ -91,10 +112,23 @@ class Extents:
         self.doc = np.searchsorted(offs, self.start, "right") - 1
         self.values = values
 
-    def identity(self, some: np.ndarray) -> np.ndarray:
+    def chosen(self, some: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Keep some extents; those on hot anchors become one extent for each window. Returns which are such."""
+        length = int(self.end[0] - self.start[0] - self.windows[0]) + 1 if len(self.end) else 0
+        n = np.where(hot, self.windows[some], 1)
+        which = np.repeat(some, n)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        single = np.repeat(hot, n)
+        self.start = self.start[which] + step
+        self.end = np.where(single, self.start + length, self.end[which])
+        self.windows = np.where(single, 1, self.windows[which])
+        self.anchor, self.hash, self.doc = self.anchor[which], self.hash[which], self.doc[which]
+        return single
+
+    def identity(self) -> np.ndarray:
         """Hashes of the extents' bytes and the anchors' places in them."""
-        h = core.span_hashes(self.values, self.start[some], self.end[some])
-        return core.mix(h + (self.anchor[some] - self.start[some]).astype(np.uint64))
+        h = core.span_hashes(self.values, self.start, self.end)
+        return core.mix(h + (self.anchor - self.start).astype(np.uint64))
 
 
 def _gram(length: int) -> int:
@@ -102,45 +136,90 @@ def _gram(length: int) -> int:
 
 
 def first(length: int, buckets: int) -> Callable:
-    """A batch's distinct anchors, and which of them two of its documents have."""
+    """A batch's distinct anchors, which of them two of its documents have, and in how many extents (255 at most)."""
 
     def say(t: pa.Table, _) -> pa.Table:
-        codes, keys = [], []
+        codes, keys, idents = [], [], []
         for rows, buf, offs in exchange.texts(t):
             x = Extents(buf, offs, length, _gram(length))
             codes.append(exchange.short(x.hash, buckets))
             keys.append(rows.column(rows.schema.get_field_index("key")).to_numpy()[x.doc])
-        codes, keys = np.concatenate(codes), np.concatenate(keys)
+            idents.append(x.identity())
+        codes, keys, idents = np.concatenate(codes), np.concatenate(keys), np.concatenate(idents)
         if not len(codes):
             return exchange.messages([])
-        order = np.argsort(codes, kind="stable")
-        codes, keys = codes[order], keys[order]
+        order = np.lexsort((idents, codes))
+        codes, keys, idents = codes[order], keys[order], idents[order]
         new = np.r_[True, codes[1:] != codes[:-1]]
         at = np.flatnonzero(new)
         several = np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)
-        return exchange.messages(exchange.send(t.column("b")[0].as_py(), codes[new], several, buckets, 5))
+        many = np.minimum(np.add.reduceat((new | np.r_[True, idents[1:] != idents[:-1]]).astype(np.int64), at), 255).astype(np.uint8)
+        codes = codes[at]
+        bucket = (codes >> np.uint64(40)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        spans = zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(codes)].tolist(), strict=True)
+        b = t.column("b")[0].as_py()
+        return exchange.messages([(b, int(bucket[i]), exchange.pack(codes[i:j], 5) + many[i:j].tobytes() + several[i:j].tobytes()) for i, j in spans])
 
     return say
 
 
+def shared(t: pa.Table) -> pa.Table:
+    """Of one bucket of anchors: each batch gets back those that several documents have; hot ones are marked.
+
+    Hot: with over HOT extents in all batches together, such as an edge of a passage that very many documents hold.
+    """
+    bucket = t.column("bucket")[0].as_py()
+    data = t.column("data").to_pylist()
+    size = [len(d) // 7 for d in data]
+    codes = np.concatenate([exchange.unpack(d[: 5 * n], bucket, 5) for d, n in zip(data, size, strict=True)])
+    many = np.concatenate([np.frombuffer(d, np.uint8, n, 5 * n) for d, n in zip(data, size, strict=True)]).astype(np.int64)
+    several = np.concatenate([np.frombuffer(d, np.uint8, n, 6 * n) for d, n in zip(data, size, strict=True)])
+    order = np.argsort(codes, kind="stable")
+    at = np.flatnonzero(np.r_[True, codes[order][1:] != codes[order][:-1]])
+    n = np.diff(np.r_[at, len(codes)])
+    hit = (n > 1) | (np.maximum.reduceat(several[order], at) > 0)
+    hot = np.add.reduceat(many[order], at) > HOT
+    found, warm = np.empty(len(codes), bool), np.empty(len(codes), bool)
+    found[order], warm[order] = np.repeat(hit, n), np.repeat(hot, n)
+    out, start = [], 0
+    for b, n_own in zip(t.column("b").to_pylist(), size, strict=True):
+        own = slice(start, start + n_own)
+        if found[own].any():
+            out.append((b, bucket, exchange.pack(codes[own][found[own]], 5) + warm[own][found[own]].tobytes()))
+        start += n_own
+    return exchange.messages(out)
+
+
 def second(length: int, buckets: int) -> Callable:
-    """A batch's distinct extents on shared anchors: identity, smallest key, whether several keys have it, windows, bytes."""
+    """A batch's distinct extents on shared anchors: identity, smallest key, whether several keys have it, windows, part, bytes.
+
+    Extents go to their anchor's bucket. On hot anchors every window is an extent of its own and goes where its own
+    hash says, so no anchor's documents meet in one place. The hot anchors themselves are sent on to the batch.
+    """
 
     def say(t: pa.Table, replies: pa.Table) -> pa.Table:
-        among = exchange.received(replies)
-        if not len(among):
+        b = t.column("b")[0].as_py()
+        back = [(d, len(d) // 6, k) for d, k in zip(replies.column("data").to_pylist(), replies.column("bucket").to_pylist(), strict=True)]
+        if not back:
             return exchange.messages([])
-        got: list[list] = [[], [], [], [], []]
+        among = np.concatenate([exchange.unpack(d[: 5 * n], k, 5) for d, n, k in back])
+        warm = np.concatenate([np.frombuffer(d, np.uint8, n, 5 * n) for d, n, _ in back]).astype(bool)
+        among, hot_codes = np.sort(among), np.sort(among[warm])
+        got: list[list] = [[], [], [], [], [], []]
         for rows, buf, offs in exchange.texts(t):
             x = Extents(buf, offs, length, _gram(length))
             codes = exchange.short(x.hash, buckets)
             some = np.flatnonzero(exchange.member(codes, among))
-            keys = rows.column(rows.schema.get_field_index("key")).to_numpy()[x.doc[some]]
+            single = x.chosen(some, exchange.member(codes[some], hot_codes))
+            ident = x.identity()
+            route = exchange.spread(np.where(single, ident, x.hash))
+            keys = rows.column(rows.schema.get_field_index("key")).to_numpy()[x.doc]
             raw = buf.tobytes()
-            for k, v in enumerate((core.bucket_of(x.hash[some], buckets).astype(np.int64), x.identity(some), keys, x.windows[some])):
+            for k, v in enumerate((core.bucket_of(route, buckets).astype(np.int64), ident, keys, x.windows, route & np.uint64(255))):
                 got[k].append(v)
-            got[4] += [raw[a:b] for a, b in zip(x.start[some].tolist(), x.end[some].tolist(), strict=True)]
-        bucket, ident, keys, windows = (np.concatenate(v) for v in got[:4])
+            got[5] += [raw[i:j] for i, j in zip(x.start.tolist(), x.end.tolist(), strict=True)]
+        bucket, ident, keys, windows, part = (np.concatenate(v) for v in got[:5])
         if not len(ident):
             return exchange.messages([])
         order = np.lexsort((ident, bucket))
@@ -149,28 +228,61 @@ def second(length: int, buckets: int) -> Callable:
         out, cuts = [], np.flatnonzero(np.diff(bucket[one])) + 1
         for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(one)], strict=True):
             some = one[i:j]
-            data = int(j - i).to_bytes(4, "little") + ident[some].tobytes() + low[i:j].astype("<i8").tobytes() + (low[i:j] != high[i:j]).tobytes() + windows[some].astype(np.uint8).tobytes()
-            out.append((t.column("b")[0].as_py(), int(bucket[some[0]]), data + b"".join(got[4][k] for k in some.tolist())))
+            data = int(j - i).to_bytes(4, "little") + ident[some].tobytes() + low[i:j].astype("<i8").tobytes() + (low[i:j] != high[i:j]).tobytes() + windows[some].astype(np.uint8).tobytes() + part[some].astype(np.uint8).tobytes()
+            out.append((b, int(bucket[some[0]]), data + b"".join(got[5][k] for k in some.tolist())))
+        if len(hot_codes):
+            out.append((b, -1 - b, hot_codes.tobytes()))
         return exchange.messages(out)
 
     return say
 
 
+def _spread(best: np.ndarray, some: np.ndarray, twice: np.ndarray, key: np.ndarray, n: np.ndarray, first_at: np.ndarray, begin: np.ndarray, size: np.ndarray, text: np.ndarray, length: int) -> None:
+    """Lower `best` of the windows of some extents to the smallest key of the maximal repeats that cover them."""
+    again = some[twice[some]]
+    ext = np.r_[some, again]
+    keys = np.r_[key[some], np.where(key[again] < np.iinfo(np.int64).max, key[again] + 1, key[again])]
+    many = n[ext]
+    owner = np.repeat(np.arange(len(ext)), many)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    at = begin[ext][owner] + place
+    order, common = suffix_array(text, at, size[ext][owner] - place)
+    left = np.where(place > 0, text[at - 1].astype(np.int64), NONE)[order]
+    found = intervals(common, left, keys[owner][order], length)
+    if not len(found):
+        return
+    # a repeat inside a longer one's interval has the smaller key at most: only windows beyond its length are new
+    lo, hi, deep, least, above = found.T
+    skip = np.where(above, above - length + 1, 0)
+    cuts = np.searchsorted(np.cumsum(hi - lo + 1), np.arange(0, int((hi - lo + 1).sum()), MOST)).tolist()
+    for i, j in zip(cuts, [*cuts[1:], len(lo)], strict=True):
+        a, wide = lo[i:j], (hi - lo + 1)[i:j]
+        member = order[np.repeat(a - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())]
+        since = np.repeat(skip[i:j], wide)
+        reach = np.maximum(0, np.minimum(np.repeat(deep[i:j] - length + 1, wide), many[owner[member]] - place[member]) - since)
+        spot = first_at[ext[owner[member]]] + place[member] + since
+        target = np.repeat(spot - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+        np.minimum.at(best, target, np.repeat(np.repeat(least[i:j], wide), reach))
+
+
 def repeats(length: int) -> Callable:
     """Of one bucket: the suffix array of its distinct extents, its maximal repeats, and for each batch's extents
     the smallest key that any repeat gives their windows, as runs (identity, first window, end, key)."""
 
     def how(t: pa.Table) -> pa.Table:
-        idents, lows, severals, windows, texts, counts = [], [], [], [], [], []
+        if t.column("bucket")[0].as_py() < 0:
+            return exchange.messages([(t.column("b")[0].as_py(), -1, t.column("data")[0].as_py())])
+        idents, lows, severals, windows, parts, texts, counts = [], [], [], [], [], [], []
         for d in t.column("data").to_pylist():
             n = int.from_bytes(d[:4], "little")
             idents.append(np.frombuffer(d, "<u8", n, 4))
             lows.append(np.frombuffer(d, "<i8", n, 4 + 8 * n))
             severals.append(np.frombuffer(d, np.uint8, n, 4 + 16 * n))
             windows.append(np.frombuffer(d, np.uint8, n, 4 + 17 * n).astype(np.int64))
-            texts.append(np.frombuffer(d, np.uint8, offset=4 + 18 * n))
+            parts.append(np.frombuffer(d, np.uint8, n, 4 + 18 * n))
+            texts.append(np.frombuffer(d, np.uint8, offset=4 + 19 * n))
             counts.append(n)
-        ident, low, window, text = (np.concatenate(v) for v in (idents, lows, windows, texts))
+        ident, low, window, part, text = (np.concatenate(v) for v in (idents, lows, windows, parts, texts))
         size = window + length - 1
         begin = np.cumsum(size) - size
         distinct, one, which = np.unique(ident, return_index=True, return_inverse=True)
@@ -180,25 +292,19 @@ def repeats(length: int) -> Callable:
         most = np.full(len(distinct), np.iinfo(np.int64).min)
         np.maximum.at(most, which, low + np.concatenate(severals))
         twice = most > key
-        ext = np.r_[np.arange(len(distinct)), np.flatnonzero(twice)]
-        keys = np.r_[key, np.where(key[twice] < np.iinfo(np.int64).max, key[twice] + 1, key[twice])]
-        n = window[one[ext]]
-        owner = np.repeat(np.arange(len(ext)), n)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        at = begin[one[ext]][owner] + place
-        order, common = suffix_array(text, at, size[one[ext]][owner] - place)
-        left = np.where(place > 0, text[at - 1].astype(np.int64), NONE)[order]
-        best = np.full(len(owner), np.iinfo(np.int64).max)
-        found = intervals(common, left, keys[owner][order], length)
-        if found:
-            lo, hi, deep, least = np.array(found).T
-            many = hi - lo + 1
-            member = order[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            reach = np.repeat(deep - length + 1, many)
-            reach = np.minimum(reach, n[owner[member]] - place[member])
-            target = np.repeat(member - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
-            np.minimum.at(best, target, np.repeat(np.repeat(least, many), reach))
+        n = window[one]
         first_at = np.cumsum(n) - n
+        best = np.full(int(n.sum()), np.iinfo(np.int64).max)
+        # equal windows have equal anchors, so equal parts: a few parts at a time, about MOST suffixes together
+        order = np.argsort(part[one], kind="stable")
+        load = np.cumsum((n * (1 + twice))[order])
+        ranks = part[one][order]
+        at = 0
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + MOST, "right")))
+            to = max(int(np.searchsorted(ranks, ranks[to], "left")) if to < len(ranks) else to, int(np.searchsorted(ranks, ranks[at], "right")))
+            _spread(best, order[at:to], twice, key, n, first_at, begin[one], size[one], text, length)
+            at = to
         out = []
         at = 0
         for b, own, low_b, sev, count in zip(t.column("b").to_pylist(), idents, lows, severals, counts, strict=True):
@@ -223,10 +329,14 @@ def repeats(length: int) -> Callable:
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
-def _cut(length: int, digest: bool) -> Callable:
+def _cut(length: int, buckets: int, digest: bool) -> Callable:
     def end(t: pa.Table, replies: pa.Table) -> pa.Table:
         got: list[list] = [[], [], [], []]
-        for d in replies.column("data").to_pylist():
+        hot = np.zeros(0, np.uint64)
+        for d, kind in zip(replies.column("data").to_pylist(), replies.column("bucket").to_pylist(), strict=True):
+            if kind < 0:
+                hot = np.frombuffer(d, "<u8")
+                continue
             n = int.from_bytes(d[:4], "little")
             for k, (kind, at) in enumerate((("<u8", 4), ("<i8", 4 + 8 * n), (np.uint8, 4 + 16 * n), (np.uint8, 4 + 17 * n))):
                 got[k].append(np.frombuffer(d, kind, n, at))
@@ -238,7 +348,9 @@ def _cut(length: int, digest: bool) -> Callable:
             edge = np.zeros(len(buf) + 1, np.int64)
             if len(ident):
                 x = Extents(buf, offs, length, _gram(length))
-                own = x.identity(np.arange(len(x.start)))
+                if len(hot):
+                    x.chosen(np.arange(len(x.start)), exchange.member(exchange.short(x.hash, buckets), hot))
+                own = x.identity()
                 lo, hi = np.searchsorted(ident, own, "left"), np.searchsorted(ident, own, "right")
                 many = hi - lo
                 hit = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -280,12 +392,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False, ca
     by its own bytes); there, suffix arrays decide by the bytes themselves.
     """
     rows, buckets = exchange.batched(docs, carry)
-    anchors = exchange.answered(exchange.ask(rows, None, first(length, buckets)))
+    anchors = exchange.answered(exchange.ask(rows, None, first(length, buckets)), shared)
     found = exchange.answered(exchange.ask(rows, anchors, second(length, buckets)), repeats(length))
     more = rows.select(*rows.columns[4:]).schema
     kinds = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *(f"`{f.name}` {f.dataType.simpleString()}" for f in more)])
     arrow = pa.schema([*ARROW, *to_arrow_schema(more)])
-    done = exchange.close(rows, found, _cut(length, digest), kinds, arrow)
+    done = exchange.close(rows, found, _cut(length, buckets, digest), kinds, arrow)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(F.col(f.name).alias(name) for f, name in zip(more, carry, strict=True)))
 
 
@@ -299,7 +411,7 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     start = np.r_[0, ends[:-1]][doc] if len(text) else doc
     left = np.where(np.arange(len(text)) > start, np.r_[0, text[:-1]], NONE)[order] if len(text) else order
     found = intervals(common, left, np.arange(len(text))[order], least)
-    return [(deep, sorted((int(doc[p]), int(p - start[p])) for p in order[lo : hi + 1])) for lo, hi, deep, _ in found]
+    return [(deep, sorted((int(doc[p]), int(p - start[p])) for p in order[lo : hi + 1])) for lo, hi, deep, *_ in found.tolist()]
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
