@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_substring_dedup": substring.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }

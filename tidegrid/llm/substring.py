@@ -146,3 +146,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False)
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(core.table(spark, sf_dir, "documents"), digest=True).selectExpr("doc_id", "n_words", "n_removed", "lower(hex(kept)) AS kept_sha256")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT k, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+y AS (SELECT k, i, t, md5(string_agg(t, ' ') OVER f) AS g, count(*) OVER f AS n FROM x WINDOW f AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+z AS (SELECT k, i, t, n = 35 AND count(*) OVER (PARTITION BY n = 35, g) > 1 AS again FROM y),
+c AS (SELECT k, i, t, max(again) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM z)
+SELECT doc_id, count(t) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(t, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (k) GROUP BY k, doc_id
+"""
