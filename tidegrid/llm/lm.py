@@ -328,12 +328,18 @@ def train(docs: DataFrame) -> Model:
     core.ship(spark)
     rows, total = core.sizes(docs)
     bits = min(16, max(4, (core.parts(total, core.BUCKET_BYTES) - 1).bit_length()))
-    # words that follow or lead so often that a bucket of contexts would be uneven; a few rows are enough to balance load
-    seen = [r[0].encode() for r in docs.select("text").where("text IS NOT NULL").limit(1000).collect()] if rows else []
-    hot = np.zeros(0, np.uint64)
-    if seen:
-        w, n = np.unique(np.concatenate([token_stream(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[1] for x in seen]), return_counts=True)
-        hot = w[n > max(3, n.sum() / (4 << bits))]
+    # words that lead so often that a bucket of contexts would be uneven; some rows are enough to balance the load
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in core.pieces(batch):
+                w, n = np.unique(token_stream(*core.column(x.column(0)))[1], return_counts=True)
+                top = np.argsort(-n, kind="stable")[:256]
+                yield pa.record_batch([pa.array(w[top].view(np.int64)), pa.array(n[top]), pa.array(np.full(len(top), n.sum() / max(1, len(top))))], ["word", "n", "share"])
+
+    some = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).limit(1000).mapInArrow(frequent, "word long, n long, share double")
+    seen = some.groupBy("word").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).collect() if rows else []
+    every = sum(r.share for r in seen)
+    hot = np.sort(np.array([r.word for r in seen if r.n > max(3, every / (4 << bits))], np.int64).view(np.uint64))
     folder = f"{core.local_path(core.shared_dir(spark))}/lm-{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     layout = Layout(bits, hot)
