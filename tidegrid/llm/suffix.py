@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -136,7 +137,7 @@ def _gram(length: int) -> int:
 
 
 def first(length: int, buckets: int) -> Callable:
-    """A batch's distinct anchors, which of them two of its documents have, and in how many extents (255 at most)."""
+    """A batch's distinct anchors, which of them two of its documents have, and in how many extents (127 at most)."""
 
     def say(t: pa.Table, _) -> pa.Table:
         codes, keys, idents = [], [], []
@@ -153,13 +154,14 @@ def first(length: int, buckets: int) -> Callable:
         new = np.r_[True, codes[1:] != codes[:-1]]
         at = np.flatnonzero(new)
         several = np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)
-        many = np.minimum(np.add.reduceat((new | np.r_[True, idents[1:] != idents[:-1]]).astype(np.int64), at), 255).astype(np.uint8)
+        many = np.minimum(np.add.reduceat((new | np.r_[True, idents[1:] != idents[:-1]]).astype(np.int64), at), 127)
+        seen = (2 * many + several).astype(np.uint8)
         codes = codes[at]
         bucket = (codes >> np.uint64(40)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         spans = zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(codes)].tolist(), strict=True)
         b = t.column("b")[0].as_py()
-        return exchange.messages([(b, int(bucket[i]), exchange.pack(codes[i:j], 5) + many[i:j].tobytes() + several[i:j].tobytes()) for i, j in spans])
+        return exchange.messages([(b, int(bucket[i]), exchange.pack(codes[i:j], 5) + seen[i:j].tobytes()) for i, j in spans])
 
     return say
 
@@ -171,10 +173,10 @@ def shared(t: pa.Table) -> pa.Table:
     """
     bucket = t.column("bucket")[0].as_py()
     data = t.column("data").to_pylist()
-    size = [len(d) // 7 for d in data]
+    size = [len(d) // 6 for d in data]
     codes = np.concatenate([exchange.unpack(d[: 5 * n], bucket, 5) for d, n in zip(data, size, strict=True)])
-    many = np.concatenate([np.frombuffer(d, np.uint8, n, 5 * n) for d, n in zip(data, size, strict=True)]).astype(np.int64)
-    several = np.concatenate([np.frombuffer(d, np.uint8, n, 6 * n) for d, n in zip(data, size, strict=True)])
+    seen = np.concatenate([np.frombuffer(d, np.uint8, n, 5 * n) for d, n in zip(data, size, strict=True)]).astype(np.int64)
+    many, several = seen >> 1, seen & 1
     order = np.argsort(codes, kind="stable")
     at = np.flatnonzero(np.r_[True, codes[order][1:] != codes[order][:-1]])
     n = np.diff(np.r_[at, len(codes)])
@@ -225,11 +227,11 @@ def second(length: int, buckets: int) -> Callable:
         order = np.lexsort((ident, bucket))
         at = np.flatnonzero(np.r_[True, (ident[order][1:] != ident[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])])
         low, high, one = np.minimum.reduceat(keys[order], at), np.maximum.reduceat(keys[order], at), order[at]
-        out, cuts = [], np.flatnonzero(np.diff(bucket[one])) + 1
+        out, cuts, packer = [], np.flatnonzero(np.diff(bucket[one])) + 1, zstandard.ZstdCompressor(level=3)
         for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(one)], strict=True):
             some = one[i:j]
             data = int(j - i).to_bytes(4, "little") + ident[some].tobytes() + low[i:j].astype("<i8").tobytes() + (low[i:j] != high[i:j]).tobytes() + windows[some].astype(np.uint8).tobytes() + part[some].astype(np.uint8).tobytes()
-            out.append((b, int(bucket[some[0]]), data + b"".join(got[5][k] for k in some.tolist())))
+            out.append((b, int(bucket[some[0]]), packer.compress(data + b"".join(got[5][k] for k in some.tolist()))))
         if len(hot_codes):
             out.append((b, -1 - b, hot_codes.tobytes()))
         return exchange.messages(out)
@@ -273,7 +275,7 @@ def repeats(length: int) -> Callable:
         if t.column("bucket")[0].as_py() < 0:
             return exchange.messages([(t.column("b")[0].as_py(), -1, t.column("data")[0].as_py())])
         idents, lows, severals, windows, parts, texts, counts = [], [], [], [], [], [], []
-        for d in t.column("data").to_pylist():
+        for d in map(zstandard.ZstdDecompressor().decompress, t.column("data").to_pylist()):
             n = int.from_bytes(d[:4], "little")
             idents.append(np.frombuffer(d, "<u8", n, 4))
             lows.append(np.frombuffer(d, "<i8", n, 4 + 8 * n))
