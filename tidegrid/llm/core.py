@@ -6,6 +6,7 @@ Everything here works on a concatenated UTF-8 buffer and document offsets, a few
 
 from __future__ import annotations
 
+import ctypes
 import io
 import math
 import os
@@ -24,7 +25,7 @@ BATCH_BYTES = 1_500_000
 #: Bytes of text for each bucket of hashes.
 BUCKET_BYTES = 8_000_000
 #: Longest buffer that is hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -228,9 +229,25 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def frugal() -> None:
+    """Give freed arrays back to the system: workers live long, and executors' memory is shared by several."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # not glibc: its own way is as good
+        return
+    mallopt(-3, 1 << 18)  # larger blocks are mapped, and unmapped when freed
+    mallopt(-1, 1 << 20)  # trim the heap's end
+
+
+frugal()
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context."""
+    """Send this package to the executors, once for each context; Arrow batches are of a few MB."""
     sc = spark.sparkContext
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")):
+        spark.conf.set(key, value)
     if getattr(sc, "_tidegrid_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

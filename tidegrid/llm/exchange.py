@@ -137,5 +137,5 @@ def close(docs: DataFrame, replies: DataFrame, end: Callable[[pa.Table, pa.Table
 def texts(t: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """A batch's documents in slices with their bytes and offsets; only a longer text exceeds a few MB."""
     for batch in t.combine_chunks().to_batches():
-        for x in core.pieces(batch):
+        for x in core.pieces(batch, most=core.BATCH_BYTES // 2):
             yield (x, *core.column(x.column(x.schema.get_field_index("text"))))
