@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,10 @@ CAPACITY, END = 1024, 2
 GROUP = 2_000
 #: The byte-level pre-tokenizer's pattern of this kind of vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: tiktoken panics on whitespace runs of about a million characters; texts with runs of so many go to tokenizers.
+LONG_RUN = re.compile(r"\s{100000}")
 _encoders: dict = {}
+_tokenizers: dict = {}
 
 
 def encoder(path: str):
@@ -34,12 +38,30 @@ def encoder(path: str):
             got = json.load(f)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        special = {x["content"] for x in got.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in got.get("added_tokens", [])}
         ranks = {bytes(byte[c] for c in token): i for token, i in got["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
+def ids_of(path: str, special: bool):
+    """A function of a text: its ids, those of added tokens' strings where `special`; else such strings are ordinary text."""
+    fast = encoder(path)
+    added = sorted(fast.special_tokens_set) if special else []
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= 100_000 and LONG_RUN.search(text):
+            if (path, special) not in _tokenizers:
+                from tokenizers import Tokenizer
+
+                _tokenizers[path, special] = Tokenizer.from_file(path)
+                _tokenizers[path, special].encode_special_tokens = not special
+            return _tokenizers[path, special].encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all") if any(x in text for x in added) else fast.encode_ordinary(text)
+
+    return encode
+
+
 class Open:
     """Counts of open bins by remaining capacity in a segment tree; finds the tightest that fits in logarithmic time."""
 
@@ -106,12 +128,12 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return out
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the end id; longer ones are cut, the first piece shorter."""
     core.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = ids_of(path, special)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -138,16 +160,17 @@ def ranked(rows: DataFrame) -> DataFrame:
     return own.join(before, ["length", "k"]).withColumn("rank", F.col("before") + F.col("own")).drop("own", "before", "k")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece's place in sequences of at most `capacity` ids.
 
     docs needs doc_id and text; other columns are ignored. A null or empty text is the end id alone. Repeated rows are packed
-    each. An empty table gives an empty result. Texts that hold a special token's string are ordinary text. What reaches the
+    each. An empty table gives an empty result. Added tokens' strings have their ids where `special`, as by the tokenizer's
+    default call, and are ordinary text otherwise. What reaches the
     driver is the count of pieces of each length, `capacity` numbers at most; what it broadcasts are the
     runs of bins that best_fit makes of them, bounded by the capacity too.
     """
     spark = docs.sparkSession
-    rows = core.kept(pieces(docs, path, capacity, end))
+    rows = core.kept(pieces(docs, path, capacity, end, special))
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
     runs = best_fit(counts, capacity)
     table = spark.createDataFrame(pa.table({n: pa.array([r[i] for r in runs], pa.int64()) for i, n in enumerate(("_length", "_from", "_to", "_bin", "offset"))}))
@@ -163,4 +186,4 @@ def vocabulary() -> str:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(core.table(spark, sf_dir, "documents"), vocabulary())
+    return pack(core.table(spark, sf_dir, "documents"), vocabulary(), special=True)
