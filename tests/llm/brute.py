@@ -89,5 +89,36 @@ def simhash(rows, size, bits):
     return [(r[0], f"{p:016x}", min(least[find(i)], default=None)) for i, (r, p) in enumerate(zip(rows, prints, strict=True))]
 
 
+def similar_rows(rows, size, least):
+    """(doc_id, text) of the rows that stay: of each component of texts the smallest doc_id, null last."""
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    grams, texts = [], sorted({r[1] or "" for r in rows})
+    for t in texts:
+        w = WORD.findall(lower(t))
+        grams.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    label = list(range(len(texts)))
+    holders = defaultdict(list)
+    for i, g in enumerate(grams):
+        for x in g or {None}:
+            holders[x].append(i)
+    for i, g in enumerate(grams):
+        for j in {j for x in g or {None} for j in holders[x] if j < i}:
+            both = len(g & grams[j])
+            if not g or both >= least * (len(g) + len(grams[j]) - both):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    first = {}
+    for r in rows:
+        c = label[texts.index(r[1] or "")]
+        own = (r[0] is None, r[0] or 0)
+        if c not in first or own < first[c][0]:
+            first[c] = own, (r[0], r[1] or "")
+    return {v for _, v in first.values()}
+
+
+def similar(rows, size, least):
+    return [k for k, _ in similar_rows(rows, size, least)]
+
+
 def ordered(rows):
     return sorted(rows, key=repr)

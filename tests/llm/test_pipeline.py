@@ -18,10 +18,11 @@ def test_stages_against_brute_force(spark):
     assert got == {k: r for k, r in rows.items() if score[k] < 0.5} and 0 < len(got) < len(rows)
 
     one = core.kept(one)
-    two = corpus_pipeline.drop_near_copies(spark, one, D)
-    want = [k for k, _, c in brute.simhash([(r.doc_id, r.text) for r in got.values()], 3, 3) if c == k]
+    two = corpus_pipeline.drop_similar(spark, one, D)
+    want = brute.similar([(r.doc_id, r.text) for r in got.values()], 5, 0.8)
     got = {r.doc_id: r for r in two.collect()}
-    assert two.columns == docs.columns and sorted(got) == sorted(want) and all(got[k] == rows[k] for k in got)
+    # no text goes without a like one; of pairs at 0.80 to 0.85 the keys find some 92 %
+    assert two.columns == docs.columns and set(want) <= set(got) and len(got) <= 1.01 * len(want) and all(got[k] == rows[k] for k in got)
 
     two = core.kept(two)
     three = corpus_pipeline.drop_repeats(spark, two, D)
@@ -46,5 +47,11 @@ def test_run_and_awkward_rows(spark, tmp_path):
     spark.createDataFrame(rows, brute.SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(r[0], zlib.crc32((r[1] or "").encode()) % 2, 1) for r in rows], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    docs = core.table(spark, str(tmp_path), "documents")
+    two = corpus_pipeline.drop_similar(spark, docs, str(tmp_path)).collect()
+    kept, want = {(r.doc_id, r.text or "") for r in two}, brute.similar_rows(rows, 5, 0.8)
+    assert want <= kept and len(kept - want) <= 1  # none goes without a like one; a pair at 0.805 of 40 shingles is missed here
+    ids = [r.doc_id for r in two]
+    assert ids.count(rows[7][0]) == 2 and (rows[7][0], "other text of one id") in {(r.doc_id, r.text) for r in two}
     spark.createDataFrame([], brute.SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -66,3 +66,23 @@ def test_empty_and_whole_table(spark):
     docs = core.table(spark, "/root/testdata/sf0.001", "documents")
     want = brute.simhash([tuple(r) for r in docs.select("doc_id", "text").collect()], 3, 3)
     assert brute.ordered([tuple(r) for r in simhash.op4(spark, "/root/testdata/sf0.001").collect()]) == brute.ordered(want)
+
+
+def test_dense_keys_and_common_prints(spark):
+    rng = np.random.default_rng(3)
+    base = np.uint64(0x0123456789ABCDEF)
+    masks = [np.uint64(1 << int(i) | 1 << int(j)) for i, j in rng.integers(0, 64, (600, 2))]
+    prints = np.unique(np.array([base ^ m for m in masks] + [base ^ np.uint64(0xFF << k) for k in range(0, 56, 7)], np.uint64))
+    code = np.zeros(len(prints), np.uint32)
+    a, b = simhash._linked(prints, code, 3)
+    label = {int(x): int(x) for x in prints}
+    for x in map(int, prints):
+        for y in map(int, prints):
+            if (x ^ y).bit_count() <= 3:
+                p, q = sorted((label[x], label[y]))
+                label = {k: p if v == q else v for k, v in label.items()} if p != q else label
+    got = {int(x): int(x) for x in prints} | {int(x): int(y) for x, y in zip(a, b, strict=True)}
+    assert got == label and len(prints) > simhash.DENSE
+    rows = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'same text of half the rows' ELSE concat('text ', id, ' of ', id * 7, ' and ', id * 3) END AS text")
+    got = simhash.simhash_dedup(rows).collect()
+    assert len(got) == 5000 and {r.component_id for r in got if r.doc_id % 2 == 0} == {0}

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -20,3 +21,13 @@ def test_whole_table(spark):
     docs = core.table(spark, "/root/testdata/sf0.001", "documents")
     want = brute.substring([tuple(r) for r in docs.select("doc_id", "text").collect()], 35)
     assert brute.ordered([tuple(r) for r in substring.op6(spark, "/root/testdata/sf0.001").collect()]) == brute.ordered(want)
+
+
+def test_words_that_polynomials_modulo_a_power_of_two_confuse():
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    buf = np.frombuffer(f"{t} {u} {t}".encode(), np.uint8)
+    x, y, z = core.word_hashes(buf, np.array([0, 4097, 8194]), np.array([4096, 8193, 12290])).tolist()
+    assert x == z != y

@@ -1,22 +1,26 @@
 """Byte and word primitives that the corpus operators share.
 
-Everything here works on a concatenated UTF-8 buffer and document offsets, a few MB at a time, with
-64-bit polynomial hashes (a random value for each byte, so that plain texts of equal sums differ).
+Everything here works on a concatenated UTF-8 buffer and document offsets, a few MB at a time, with polynomial
+hashes of 62 bits (a random value for each byte, two bases modulo a prime).
 """
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import io
 import math
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +28,24 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1_500_000
 #: Bytes of text for each bucket of hashes.
 BUCKET_BYTES = 8_000_000
-#: Longest buffer that is hashed at once.
-CHUNK = 1 << 19
+#: Longest buffer that is hashed at once, and windows that are (small enough for a cache).
+CHUNK, STEP = 1 << 19, 1 << 14
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_tables: dict[str, np.ndarray] = {}
+#: Hashes are polynomials modulo this prime at two bases: no fixed pair of texts, Thue-Morse words included, is equal at both by its form.
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (0x2C1B3C6D, 0x5851F42B)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
+    if h.ndim == 1 and len(h) > 2 * STEP:
+        return np.concatenate([mix(h[i : i + STEP]) for i in range(0, len(h), STEP)])
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -46,34 +54,62 @@ def mix(h: np.ndarray) -> np.ndarray:
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, modulo 2**64, for i below n."""
-    if "p" not in _tables or len(_tables["p"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            _tables[name] = np.multiply.accumulate(t)
-    return _tables["p"][:n], _tables["q"][:n]
-
-
-def sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * base**i; one longer than values."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
-    return out
+def _fold(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """x, in place, to a smaller number that is equal to it modulo _PRIME."""
+    np.right_shift(x, np.uint64(31), out=spare)
+    x &= _PRIME
+    x += spare
+    return x
+
+
+def _least(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """x modulo _PRIME, in place, for x below 2**63."""
+    _fold(_fold(x, spare), spare)
+    x += np.uint64(1)
+    _fold(x, spare)
+    x -= np.uint64(1)
+    return x
+
+
+def powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASES[k]**i and its inverse, modulo _PRIME, for i below n."""
+    if k not in _tables or len(_tables[k][0]) < n:
+        size, out, p = max(1 << 16, 1 << (n - 1).bit_length()), [], int(_PRIME)
+        for base in (_BASES[k], pow(_BASES[k], -1, p)):
+            t = np.ones(1, np.uint64)
+            while len(t) < size:
+                t = np.concatenate([t, _least(t * np.uint64(pow(base, len(t), p)), np.empty_like(t))])
+            out.append(t)
+        _tables[k] = out[0], out[1]
+    return _tables[k][0][:n], _tables[k][1][:n]
+
+
+def _difference(values: np.ndarray, start, end, shift) -> np.ndarray:
+    """Both hashes of values[start:end] as one number: differences of prefix sums, moved to the begin by the inverse powers at `shift`."""
+    n, both = len(values), []
+    sums, spare = np.zeros(n + 1, np.uint64), np.empty(n, np.uint64)
+    for k in (0, 1):
+        own = values >> np.uint64(33 if k else 2)
+        own &= _PRIME
+        own *= powers(k, n)[0]
+        np.cumsum(_fold(own, spare), out=sums[1:])
+        d = sums[end] - sums[start]
+        wide = spare[: len(d)] if len(d) <= n else np.empty_like(d)
+        _fold(d, wide)
+        d *= powers(k, n + 1)[1][shift]
+        both.append(_least(d, wide))
+    return both[0] | (both[1] << np.uint64(31))
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair; starts ascend. Long inputs are taken in chunks."""
+    """A 62-bit hash, mixed with the length, of values[start:end] for each pair; starts ascend. Long inputs are taken in chunks."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
-        j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK // 2, "left")))
+        j = max(i + 1, int(np.searchsorted(start, start[i] + 2 * STEP, "left")))
         at, to = int(start[i]), int(end[i:j].max())
-        p = sums(values[at:to])
         s, e = start[i:j] - at, end[i:j] - at
-        out[i:j] = (p[e] - p[s]) * powers(to - at + 1)[1][s]
+        out[i:j] = _difference(values[at:to], s, e, s)
         i = j
     return mix(out ^ (np.asarray(end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
@@ -84,15 +120,16 @@ def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
-    for at in range(0, n, CHUNK):
-        to = min(n, at + CHUNK)
-        p = sums(values[at : to + k - 1])
-        out[at:to] = (p[k:] - p[:-k]) * powers(to - at)[1]
+    step = max(STEP, k)
+    for at in range(0, n, step):
+        to = min(n, at + step)
+        out[at:to] = _difference(values[at : to + k - 1], slice(0, to - at), slice(k, k + to - at), slice(0, to - at))
     return mix(out)
 
 
 def column(array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, nulls as empty, and len + 1 offsets."""
+    frugal()
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks() if array.num_chunks != 1 else array.chunk(0)
     if isinstance(array, pa.ChunkedArray):
@@ -204,16 +241,33 @@ def fold(doc_id: str = "doc_id"):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on this machine alone gets its own where none is set."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = getattr(spark.sparkContext, "_tidegrid_dir", None) or tempfile.mkdtemp(prefix="tidegrid-")
-        spark.sparkContext._tidegrid_dir = at
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = getattr(sc, "_tidegrid_dir", None) or tempfile.mkdtemp(prefix="tidegrid-")
+        sc._tidegrid_dir = at
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(at)
     return at
 
 
+def model_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder for a model's files in the shared folder; it goes when the driver ends."""
+    at = f"{local_path(shared_dir(spark))}/{kind}-{uuid.uuid4().hex}"
+    os.makedirs(at, exist_ok=True)
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return at
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_path(uri: str) -> str:
     """The mount's path of a file: folder. Other stores must be mounted for workers to map files."""
     if uri.startswith("file:"):
@@ -230,7 +284,10 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def frugal() -> None:
-    """Give freed arrays back to the system: workers live long, and executors' memory is shared by several."""
+    """In a worker, once: give freed arrays back to the system. Workers live long, and several share an executor's memory."""
+    if _frugal or TaskContext.get() is None:
+        return
+    _frugal.append(True)
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         mallopt = ctypes.CDLL(None).mallopt
@@ -240,7 +297,7 @@ def frugal() -> None:
     mallopt(-1, 1 << 20)  # trim the heap's end
 
 
-frugal()
+_frugal: list[bool] = []
 
 
 def ship(spark: SparkSession) -> None:

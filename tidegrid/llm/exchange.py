@@ -1,6 +1,8 @@
 """Rounds of messages between batches of documents and buckets of hashes.
 
-Documents are dealt by a hash of their key and text into batches of about 1.5 MB. A batch sends each bucket
+Documents are dealt by a hash of their key, text and place in the input into batches of about 1.5 MB, so repeated
+rows spread. The place is Spark's row number within the input's partitions: give a table that is read (or checkpointed),
+whose parts come back in the same order when they are read again. A batch sends each bucket
 of the hash range one row that holds its distinct hashes, so a passage that a third of all documents hold
 reaches a bucket once for each batch and no group is hot. A bucket answers each batch with what it asked.
 All rounds read the same exchange of the documents by batch, which Spark reuses; a lost executor's
@@ -30,7 +32,7 @@ def batched(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, in
     _, total = core.sizes(docs)
     n = core.parts(total, core.BATCH_BYTES)
     rows = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("b"),
+        F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).alias("b"),
         F.col("doc_id").cast("long").alias("id"),
         core.key_column().alias("key"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),

@@ -340,8 +340,7 @@ def train(docs: DataFrame) -> Model:
     seen = some.groupBy("word").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).collect() if rows else []
     every = sum(r.share for r in seen)
     hot = np.sort(np.array([r.word for r in seen if r.n > max(3, every / (4 << bits))], np.int64).view(np.uint64))
-    folder = f"{core.local_path(core.shared_dir(spark))}/lm-{uuid.uuid4().hex}"
-    os.makedirs(folder, exist_ok=True)
+    folder = core.model_folder(spark, "lm")
     layout = Layout(bits, hot)
     return Model(folder, layout, counted(docs, layout, folder))
 

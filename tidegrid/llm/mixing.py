@@ -46,8 +46,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """docs with _size (words), _source_size, _target and _copies: how often the mix takes each row.
 
-    docs needs doc_id, text and source. Null texts have size 0; a null source is a source; a null doc_id is hashed as the text
-    'null'; repeated rows are rows of their own, with the same draw. An empty table gives an empty result.
+    docs needs doc_id, text and source. Null texts have size 0; a null source is a source; nulls are hashed as the text
+    'null'; repeated rows are rows of their own, with the same draw; rows of one doc_id with other texts have other draws. An empty table gives an empty result.
     Sizes are summed before the shuffle, and sources come back as a small table, so a hot source is never gathered.
     """
     sized = docs.withColumn("_size", word_count())
@@ -58,9 +58,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
 
 
 def _copies(seed: str) -> Column:
-    """floor(target / source size), and one more with the rest's probability by a hash of the seed and doc_id."""
+    """floor(target / source size), and one more with the rest's probability by a hash of the seed, doc_id, source and text."""
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "source", "text")]
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *own).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
@@ -77,7 +78,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS k FROM d GROUP BY source
 ), w AS (
@@ -93,7 +94,7 @@ WITH RECURSIVE d AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM o, l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+    ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || coalesce(d.source, 'null') || '|' || coalesce(d.text, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r

@@ -16,6 +16,8 @@ from .components import components
 
 #: Words in a shingle, and differing bits of linked fingerprints at most.
 SHINGLE, BITS = 3, 3
+#: Fingerprints of one key beyond which those that agree in three of six parts alone are compared.
+DENSE = 256
 #: (first bit, bits) of the segments; the last is a shortened codeword.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: The binary Golay code's generator polynomial, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -124,22 +126,49 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _linked(prints: np.ndarray, code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For fingerprints sorted by key: each that links to another of its key, and the smallest of its component here."""
+    """For fingerprints sorted by key: each that links to another of its key, and the smallest of its component here.
+
+    Fingerprints of one key are compared all with all where they are few. Of more than DENSE, two that differ in 3 bits
+    or fewer agree in at least three of six parts of their 64 bits: only those that do, in one of the 20 choices, are compared.
+    """
     nodes, which = np.unique(prints, return_inverse=True)
     label = np.arange(len(nodes))
-    i, shift, pairs = np.arange(len(code)), 1, []
-    while len(i := i[i + shift < len(code)]) and len(i := i[code[i] == code[i + shift]]):
-        near = np.bitwise_count(prints[i] ^ prints[i + shift]) <= bits
-        a, b = which[i[near]], which[i[near] + shift]
-        a, b = label[a], label[b]
-        if (apart := a != b).any():
-            pairs = np.unique(np.stack([a[apart], b[apart]]), axis=1)
-            label = _merge(label, pairs[0], pairs[1])
-        shift += 1
+
+    def compare(rows: np.ndarray, run: np.ndarray) -> None:
+        """Merge what is near among rows of one run, by ascending runs."""
+        nonlocal label
+        i, shift = np.arange(len(rows)), 1
+        while len(i := i[i + shift < len(rows)]) and len(i := i[run[i] == run[i + shift]]):
+            x, y = rows[i], rows[i + shift]
+            near = np.bitwise_count(prints[x] ^ prints[y]) <= bits
+            a, b = label[which[x[near]]], label[which[y[near]]]
+            if (apart := a != b).any():
+                pairs = np.unique(np.stack([a[apart], b[apart]]), axis=1)
+                label = _merge(label, pairs[0], pairs[1])
+            shift += 1
+
+    cuts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[cuts, len(code)])
+    dense = np.repeat(sizes > DENSE, sizes)
+    few = np.flatnonzero(~dense)
+    compare(few, code[few])
+    for first in cuts[sizes > DENSE].tolist():
+        own = first + np.unique(prints[first : first + int(sizes[np.searchsorted(cuts, first)])], return_index=True)[1]
+        for mask in _choices():
+            part = prints[own] & mask
+            order = np.argsort(part, kind="stable")
+            compare(own[order], part[order])
     other = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[other], nodes[label[other]]
 
 
+def _choices() -> list[np.uint64]:
+    """Masks of three of six parts of 64 bits, all 20."""
+    edges = [round(64 * k / 6) for k in range(7)]
+    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [np.uint64(sum(some)) for some in combinations(parts, 3)]
+
+
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     while True:
         x, y = label[a], label[b]
@@ -153,7 +182,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def links(distinct: DataFrame, rows: int, bits: int = BITS) -> DataFrame:
     """(a, b): for distinct fingerprints (print) links that connect what differs in `bits` (3 at most) or fewer.
 
-    In a bucket of keys every two fingerprints of one key are compared, a shift at a time; what leaves the bucket is one
+    In a bucket fingerprints of one key are compared (_linked); what leaves the bucket is one
     link for each fingerprint at most, not all pairs.
     """
     if not 0 <= bits <= 3:
@@ -193,12 +222,19 @@ def simhash_dedup(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> Dat
     exact copies is one row afterwards.
     """
     prints = core.kept(fingerprints(docs, size))
-    distinct = core.kept(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
+    distinct = core.kept(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     labels = components(links(distinct, distinct.count(), bits)).withColumnRenamed("node", "print")
     linked = distinct.join(labels, "print")
     least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    of_print = distinct.join(linked.join(least, "label").select("print", "component"), "print", "left").select("print", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(of_print, "print").select("doc_id", "print", "component_id")
+    of_print = distinct.join(linked.join(least, "label").select("print", "component"), "print", "left").select("print", "n", F.coalesce("component", "least").alias("component_id"))
+    of_print = core.kept(of_print)
+    # prints of over a thousandth of the rows are fewer than a thousand: broadcast, so a large group of copies isn't gathered by its print
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") > max(1, total // 1000)
+    found = of_print.where(common).select(F.col("print").alias("_print"), "component_id")
+    tagged = prints.join(F.broadcast(found), F.col("print") == F.col("_print"), "left")
+    rest = tagged.where("_print IS NULL").select("doc_id", "print").join(of_print.where(~common), "print")
+    return tagged.where("_print IS NOT NULL").select("doc_id", "print", "component_id").unionByName(rest.select("doc_id", "print", "component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

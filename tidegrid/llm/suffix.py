@@ -132,12 +132,21 @@ class Extents:
         return core.mix(h + (self.anchor - self.start).astype(np.uint64))
 
 
+def _size_code(n: np.ndarray) -> np.ndarray:
+    """Counts in 7 bits: exact below 64, then by steps of a third of a doubling, rounded down."""
+    return np.where(n < 64, n, 64 + np.floor(3 * np.log2(np.maximum(n, 64))).astype(np.int64) - 18)
+
+
+def _size_of(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 64, code, np.exp2((code - 46) / 3).astype(np.int64))
+
+
 def _gram(length: int) -> int:
     return max(1, length - 26)
 
 
 def first(length: int, buckets: int) -> Callable:
-    """A batch's distinct anchors, which of them two of its documents have, and in how many extents (127 at most)."""
+    """A batch's distinct anchors, which of them two of its documents have, and in about how many extents."""
 
     def say(t: pa.Table, _) -> pa.Table:
         codes, keys, idents = [], [], []
@@ -154,7 +163,7 @@ def first(length: int, buckets: int) -> Callable:
         new = np.r_[True, codes[1:] != codes[:-1]]
         at = np.flatnonzero(new)
         several = np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)
-        many = np.minimum(np.add.reduceat((new | np.r_[True, idents[1:] != idents[:-1]]).astype(np.int64), at), 127)
+        many = _size_code(np.add.reduceat((new | np.r_[True, idents[1:] != idents[:-1]]).astype(np.int64), at))
         seen = (2 * many + several).astype(np.uint8)
         codes = codes[at]
         bucket = (codes >> np.uint64(40)).astype(np.int64)
@@ -176,7 +185,7 @@ def shared(t: pa.Table) -> pa.Table:
     size = [len(d) // 6 for d in data]
     codes = np.concatenate([exchange.unpack(d[: 5 * n], bucket, 5) for d, n in zip(data, size, strict=True)])
     seen = np.concatenate([np.frombuffer(d, np.uint8, n, 5 * n) for d, n in zip(data, size, strict=True)]).astype(np.int64)
-    many, several = seen >> 1, seen & 1
+    many, several = _size_of(seen >> 1), seen & 1
     order = np.argsort(codes, kind="stable")
     at = np.flatnonzero(np.r_[True, codes[order][1:] != codes[order][:-1]])
     n = np.diff(np.r_[at, len(codes)])

@@ -7,13 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import core
 
 #: Labelled rows of each class that are learnt from at most, taken in the order of a hash of doc_id.
 SAMPLE = 10_000
+#: Bytes of the texts of each class that are learnt from, about (a text that begins below it is whole).
+SAMPLE_BYTES = 64_000_000
 #: Features that the field has at most, the most significant first.
 FEATURES = 20_000
 #: Bytes of the token prefixes that are features beside the token itself.
@@ -166,11 +168,11 @@ class Active:
 
 
 def document_scores(field: Field, doc: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
-    """Of each of n documents, by the expected number of its toxic tokens and the largest marginal."""
+    """Of each of n documents, by the expected number of its toxic tokens (its logarithm, without a bound) and the largest marginal."""
     total, most = np.bincount(doc, p, minlength=n), np.zeros(n)
     np.maximum.at(most, doc, p)
     c = field.calibration
-    return 1 / (1 + np.exp(-np.clip(c[0] + c[1] * np.minimum(total, 4) + c[2] * most, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(c[0] + c[1] * np.log1p(total) + c[2] * most, -30, 30)))
 
 
 def _fit(hashes: np.ndarray, rows: list, rate: float) -> Field:
@@ -247,7 +249,7 @@ def _fit(hashes: np.ndarray, rows: list, rate: float) -> Field:
             p[spot] = marginals(field, _padded(n, gap[spot]), last[g], _padded(n, extra[spot]), mask)[0][mask]
     total, most = np.bincount(doc, p, minlength=len(rows)), np.zeros(len(rows))
     np.maximum.at(most, doc, p)
-    x = np.stack([np.ones(len(rows)), np.minimum(total, 4), most], 1)
+    x = np.stack([np.ones(len(rows)), np.log1p(total), most], 1)
     c = np.zeros(3)
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
@@ -258,7 +260,11 @@ def _fit(hashes: np.ndarray, rows: list, rate: float) -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from documents whose fold isn't 0, at most `sample` of each class.
+    """A field from documents whose fold isn't 0, at most `sample` of each class and SAMPLE_BYTES of their texts.
+
+    Labels are of documents, so token labels are made up from them: every token with a significant feature has its
+    document's label, all others are clean. The field has at most FEATURES features, the most significant first; this bounds
+    the model, not the rows that are scored.
 
     Features are tokens and prefixes significantly more common in toxic documents (log-likelihood ratio above twice the
     logarithm of the number of features, plus 4); tokens that have one are labelled as their document. Nulls and repeated
@@ -275,7 +281,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     of = lambda k: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = of(0).union(of(1))  # 2 * sample rows of 12 bytes, whatever the input
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    rows = core.kept(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id")
+    # the sample's bytes have a bound too: what goes beyond it, in the order of the hash, is left out (at most 2 * sample rows are in this window)
+    held = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))) - F.octet_length("text")
+    rows = core.kept(rows.withColumn("held", held).where(F.col("held") < SAMPLE_BYTES).select("toxic", "text"))
     n1, n0 = (rows.where(F.col("toxic") == k).count() for k in (1, 0))
     if not n1 or not n0:
         return nothing
@@ -370,4 +379,5 @@ def toxicity(docs: DataFrame, field: Field, spans: bool = False, carry: tuple[st
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = core.table(spark, sf_dir, "documents")
     field = train(docs, core.table(spark, sf_dir, "labels"))
-    return toxicity(docs, field).select("doc_id", (core.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = toxicity(docs, field, spans=True)
+    return rows.select("doc_id", (core.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
