@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidegrid.llm import media, webp
+from tidegrid.llm import media, webp, webp_store
 
 
 def lengths_of(counts, size):
@@ -213,20 +213,82 @@ def test_round_trip(colours, transforms, options):
     assert (webp.decode(Slow().file(argb, transforms, **options)) == argb).all()
 
 
-@pytest.mark.parametrize("text", [b"", b"a", b"ab" * 288, b"x" * 577, bytes(range(256)) * 9, "Ünïcödé ".encode() * 400])
-def test_stored_payload(text):
-    payload = media.padded(text)
-    pixels, back = media.load(media.store(payload), len(payload))
-    assert back == payload and len(payload) % 576 == 0 and len(payload) >= 576 and pixels.shape[2] == 3
+TEXTS = [b"", b"a", b"ab" * 288, b"x" * 577, b"abc" * 700, bytes(range(17)) * 99, bytes(range(256)) * 9, "Ünïcödé ".encode() * 400, random.Random(4).randbytes(30_000), b"0123456789abcdef" * 5000]
 
 
-def test_wide_image():
-    payload = media.padded(b"long text " * 1_000_000)
-    assert media.load(media.store(payload), len(payload))[1] == payload
+def test_stored_payloads():
+    payloads = [media.padded(t) for t in TEXTS]
+    for some in (payloads, *([p] for p in payloads)):
+        for p, pixels in zip(some, media.load(media.store(some)), strict=True):
+            assert media.samples(pixels) == p and len(p) % 576 == 0 and len(p) >= 576 and pixels.shape[2] == 3
+            assert (pixels[..., 0] == pixels[..., 1]).all() and (pixels[..., 2] == pixels[..., 1]).all()
+    alone = [media.store([p])[0] for p in payloads]
+    assert alone == media.store(payloads)  # a text's form doesn't depend on its batch
+
+
+def test_streams_use_what_the_format_offers():
+    rng = random.Random(1)
+    prose = " ".join(rng.choice(["water", "sea", "of", "the", "and", "shore", "waves", "Big", "jumps", "quickly", "from", "XYZ", "kept"]) + rng.choice(["", "s"]) for _ in range(4000)).encode()
+    stored = media.store([media.padded(t) for t in (prose, b"ab" * 5000, rng.randbytes(4000))])
+    assert len(stored[0]) < 0.4 * len(prose) and len(stored[1]) < 200
+    kinds = [[f.__name__ if f.__name__ != "<lambda>" else "palette" for f in webp._opened(x)[1]] for x in stored]
+    assert kinds == [["subtract_green"], ["palette"], ["subtract_green"]]
+    codes = webp._opened(stored[0])[0].codes[0]
+    assert codes[0].top > 4 and codes[4].only is None and webp._opened(stored[0])[0].plain
+
+
+def test_very_long_text_is_several_files():
+    payload = media.padded(b"".join(b"long text %d " % i for i in range(800_000)))
+    stored = media.store([payload])[0]
+    assert len(payload) > 576 * 16384 and len(webp_store.split(stored)) == 2
+    assert media.samples(media.load([stored])[0]) == payload
+
+
+def bits(*fields):
+    """(value, bits) fields as bytes, the low bits first."""
+    text = "".join(f"{v:0{n}b}"[::-1] for v, n in fields if n)
+    text += "0" * (-len(text) % 8)
+    return bytes(int(text[i : i + 8][::-1], 2) for i in range(0, len(text), 8))
+
+
+def file(*fields):
+    body = b"\x2f" + bits(*fields)
+    return b"RIFF" + (12 + len(body) + len(body) % 2).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+
+
+ONE = lambda s: [(1, 1), (0, 1), (1, 1), (s, 8)]  # noqa: E731 a code of one symbol
+TWO = lambda a, b: [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+
+
+def test_fixed_files():
+    """Files laid out by hand from the format's description, and one known from elsewhere."""
+    known = bytes.fromhex("524946461a000000574542505650384c0d0000002f00000010071011118888fe0700")
+    assert webp.decode(known).tolist() == [[0]]
+    head = [(2, 14), (1, 14), (0, 1), (0, 3)]  # 3 x 2 pixels
+    # green 10 and 20 by one bit each, red 1, blue 2, alpha 255
+    plain = file(*head, (0, 1), (0, 1), (0, 1), *TWO(10, 20), *ONE(1), *ONE(2), *ONE(255), *ONE(0), *[(b, 1) for b in (0, 1, 1, 0, 0, 1)])
+    v = lambda g: 255 << 24 | 1 << 16 | g << 8 | 2
+    assert webp.decode(plain).tolist() == [[v(10), v(20), v(20)], [v(10), v(10), v(20)]]
+    # subtract green: red and blue get green added
+    green = file(*head, (1, 1), (2, 2), (0, 1), (0, 1), (0, 1), *TWO(10, 250), *ONE(1), *ONE(9), *ONE(255), *ONE(0), *[(b, 1) for b in (0, 1, 1, 0, 0, 1)])
+    w = lambda g: 255 << 24 | (1 + g & 255) << 16 | g << 8 | (9 + g & 255)
+    assert webp.decode(green).tolist() == [[w(10), w(250), w(250)], [w(10), w(10), w(250)]]
+    # predictor 11 in one block of 4 x 4: all residues green 1, others 0: the corner from black, row 0 from the left, column 0 from above
+    predict = file(*head, (1, 1), (0, 2), (0, 3), (0, 1), *ONE(11), *ONE(0), *ONE(0), *ONE(255), *ONE(0), (0, 1), (0, 1), (0, 1), *ONE(1), *ONE(0), *ONE(0), *ONE(0), *ONE(0))
+    g = (webp.decode(predict) >> 8 & 255).tolist()
+    # (1,1): left 2, top 2, corner 1: both as far, so the top; (1,2): left 3, top 3, corner 2
+    assert g == [[1, 2, 3], [2, 3, 4]] and (webp.decode(predict) >> 24 == 255).all()
+    # cross-colour in one block: green to red 32 (a whole green), green to blue 0, red to blue 0
+    cross = file(*head, (1, 1), (1, 2), (0, 3), (0, 1), *ONE(0), *ONE(0), *ONE(32), *ONE(255), *ONE(0), (0, 1), (0, 1), (0, 1), *ONE(7), *ONE(1), *ONE(2), *ONE(255), *ONE(0))
+    assert webp.decode(cross).ravel().tolist() == [255 << 24 | 8 << 16 | 7 << 8 | 2] * 6
+    # palette of two colours, eight indices to a symbol: 0b101 in row 0, 0b010 in row 1
+    table = file(*head, (1, 1), (3, 2), (1, 8), (0, 1), *TWO(5, 6), *ONE(0), *ONE(0), *TWO(0, 255), *ONE(0), (0, 1), (1, 1), (1, 1), (0, 1), (0, 1), (0, 1), (0, 1), *TWO(2, 5), *ONE(0), *ONE(0), *ONE(255), *ONE(0), (1, 1), (0, 1))
+    a, b = 255 << 24 | 5 << 8, (255 + 255 & 255) << 24 | 11 << 8
+    assert webp.decode(table).tolist() == [[b, a, b], [a, b, a]]
 
 
 def test_damaged_files_are_refused():
-    good = media.store(media.padded(b"hello"))
+    good = media.store([media.padded(b"hello " * 50)])[0]
     for bad in (b"", b"RIFF", good[:60], good.replace(b"VP8L", b"VP8 ")):
         with pytest.raises((ValueError, IndexError)):
             webp.decode(bad)

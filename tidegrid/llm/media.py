@@ -11,41 +11,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import core, webp
+from . import core, webp, webp_store
 
-#: Bytes of a row of 192 RGB pixels; the format's most rows.
+#: Samples in a row of grey pixels, one for each byte; the format's most rows.
 ROW, ROWS = 576, 16384
+#: Bytes of texts that are stored and read together.
+BATCH = 1_000_000
 
 
 def padded(text: bytes) -> bytes:
     return text + b"\xff" * (ROW - len(text) if len(text) < ROW else -len(text) % ROW)
 
 
-def store(payload: bytes) -> bytes:
-    """A multiple of ROW bytes as an RGB image; over ROWS rows the image is a multiple as wide, the last row filled by 255."""
-    rows = len(payload) // ROW
-    wide = -(-rows // ROWS)
-    if wide * ROW // 3 > ROWS:
-        raise ValueError("over 800 MB: more than an image of this format holds")
-    height = -(-rows // wide)
-    pixels = np.frombuffer(payload + b"\xff" * (height * wide * ROW - len(payload)), np.uint8)
-    return webp.encode_rgb(pixels.reshape(height, wide * ROW // 3, 3))
+def store(payloads: list[bytes]) -> list[bytes]:
+    """Each payload (a multiple of ROW bytes) as a lossless WebP file of grey pixels; over ROWS rows as several, one after the other."""
+    parts = [[p[at : at + ROW * ROWS] for at in range(0, len(p), ROW * ROWS)] for p in payloads]
+    files = iter(webp_store.encode_grey([x for p in parts for x in p], ROW))
+    return [b"".join(next(files) for _ in p) for p in parts]
 
 
-def load(media: bytes, size: int) -> tuple[np.ndarray, bytes]:
-    """Decoded RGB pixels, and the first `size` of their samples as bytes."""
-    argb = webp.decode(media)
-    pixels = np.ascontiguousarray(argb.astype(">u4")).view(np.uint8).reshape(*argb.shape, 4)[..., 1:]
-    return pixels, pixels.tobytes()[:size]
+def load(media: list[bytes]) -> list[np.ndarray]:
+    """Decoded RGB pixels, rows x ROW x 3, of what store gave."""
+    files = [webp_store.split(m) for m in media]
+    decoded = iter(webp.decode_all([f for own in files for f in own]))
+    out = []
+    for own in files:
+        argb = [next(decoded) for _ in own]
+        argb = argb[0] if len(argb) == 1 else np.concatenate(argb)
+        out.append(np.ascontiguousarray(argb).view(np.uint8).reshape(*argb.shape, 4)[..., 2::-1])
+    return out
+
+
+def samples(pixels: np.ndarray) -> bytes:
+    """The grey samples: one byte for each pixel."""
+    return np.ascontiguousarray(pixels[..., 1]).tobytes()
 
 
 def features(pixels: np.ndarray) -> str:
     """Size, and for each channel the mean and the deviation; the mean step between neighbours in a row."""
-    v = pixels.reshape(-1, 3)
-    s = v.sum(axis=0, dtype=np.int64)
-    q = np.einsum("ij,ij->j", v, v, dtype=np.int64)
-    n = len(v)
-    mean, deviation = s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0))
+    grey = [np.array_equal(pixels[..., k], pixels[..., 1]) for k in (0, 2)]  # then one channel's counts are all's
+    middle = np.bincount(np.ascontiguousarray(pixels[..., 1]).ravel(), minlength=256)
+    first, last = (middle if same else np.bincount(pixels[..., k].ravel(), minlength=256) for k, same in zip((0, 2), grey, strict=True))
+    flat = np.stack([first, middle, last])
+    n, at = flat[0].sum(), np.arange(256)
+    mean = flat @ at / n
+    deviation = np.sqrt(np.maximum(flat @ (at * at) / n - mean**2, 0))
     step = np.abs(np.diff(pixels[..., 1].astype(np.int16), axis=1)).mean()
     return f"{pixels.shape[1]}x{pixels.shape[0]};" + ",".join(f"{x:.3f}" for x in mean) + ";" + ",".join(f"{x:.3f}" for x in deviation) + f";{step:.3f}"
 
@@ -54,18 +64,19 @@ def media_columns(docs: DataFrame, keep: bool = False) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and media if keep).
 
     docs needs doc_id and text; other columns are ignored. Null and empty texts are one row of 255. Repeated rows and equal
-    texts give equal values. Everything but n_bytes comes from the stored bytes, read back.
+    texts give equal values. Texts of over 16384 rows (9 MB) are several files one after the other in the media column.
+    An empty table gives an empty result. Everything but n_bytes comes from the stored bytes, read back.
     """
     core.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in core.pieces(batch):
+            for x in core.pieces(batch, most=BATCH):
                 out: list[list] = [[] for _ in range(8)]
-                for text in x.column(1).to_pylist():
-                    payload = padded(text)
-                    media = store(payload)
-                    pixels, back = load(media, len(payload))
+                texts = x.column(1).to_pylist()
+                stored = store([padded(text) for text in texts])
+                for text, media, pixels in zip(texts, stored, load(stored), strict=True):
+                    back = samples(pixels)
                     row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(pixels), media)
                     for v, r in zip(out, row, strict=True):
                         v.append(r)

@@ -1,7 +1,7 @@
-"""Lossless WebP (VP8L): a complete decoder of the format, and an encoder for what media columns store.
+"""Lossless WebP (VP8L): a complete decoder of the format, written from its public description.
 
-Written from the public description of the format. Prefix codes whose symbols all have one length, without
-references or a cache, are read as arrays; any other stream is read symbol by symbol.
+Streams of one group of codes without a cache (with prefix codes and references) are read by arrays, many files at once;
+those with a cache or several groups symbol by symbol.
 """
 
 from __future__ import annotations
@@ -42,51 +42,53 @@ class Bits:
 
 
 class Code:
-    """A canonical prefix code; equal: the one length of all symbols, then in ascending order. Its table is made on first use."""
+    """A canonical prefix code. Its table holds symbol * 16 + length at every window of `top` bits; one symbol takes no bits."""
 
     def __init__(self, lengths: Sequence[int]):
-        self.lengths = np.asarray(lengths)
-        used = np.flatnonzero(self.lengths)
-        if not len(used):
+        used = [s for s, n in enumerate(lengths) if n]
+        if not used:
             raise ValueError("a prefix code without symbols")
-        own = self.lengths[used]
-        self.symbols, self.top = used, int(own.max())
-        self.only = int(used[0]) if len(used) == 1 else None
-        if self.only is None and int((1 << (self.top - own)).sum()) != 1 << self.top:
+        self.top, self.only = 0, used[0]
+        self.table = np.array([self.only << 4], np.int32)
+        if len(used) == 1:
+            return
+        own = np.array([lengths[s] for s in used])
+        self.top, self.only = int(own.max()), None
+        if int((1 << (self.top - own)).sum()) != 1 << self.top:
             raise ValueError("an incomplete prefix code")
-        self.equal = self.top if self.only is None and len(used) == 1 << self.top else None
-        self._table: list[tuple[int, int]] = []
+        self.table = np.empty(1 << self.top, np.int32)
+        low, size = canonical_bits(own)
+        for s, at, n in zip(used, low.tolist(), size.tolist(), strict=True):
+            self.table[at :: 1 << n] = s << 4 | n
 
-    @property
-    def table(self) -> list[tuple[int, int]]:
-        if not self._table:
-            out: list = [None] * (1 << self.top)
-            for s, (low, n) in canonical(self.lengths.tolist()).items():
-                for k in range(low, 1 << self.top, 1 << n):
-                    out[k] = (s, n)
-            self._table = out
-        return self._table
+
+_REVERSED = np.zeros(1 << 15, np.int64)
+for _k in range(15):
+    _REVERSED |= (np.arange(1 << 15) >> _k & 1) << (14 - _k)
+
+
+def canonical_bits(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits as they are written, and lengths, of symbols (ascending) with these lengths above 0, the codes in order of length."""
+    order = np.argsort(lengths, kind="stable")
+    n = lengths[order].astype(np.int64)
+    begin = np.cumsum(1 << (15 - n)) - (1 << (15 - n))  # codes as fractions of 2**15
+    out = np.empty(len(n), np.int64)
+    out[order] = _REVERSED[begin]
+    return out, lengths.astype(np.int64)
 
 
 def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
     """(bits as they are written, length) of each symbol."""
-    out, value, last = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        value <<= n - last
-        last = n
-        out[s] = int(f"{value:0{n}b}"[::-1], 2), n
-        value += 1
-    return out
+    own = np.asarray(lengths)
+    used = np.flatnonzero(own)
+    return {s: v for s, *v in zip(used.tolist(), *(x.tolist() for x in canonical_bits(own[used])), strict=True)}
 
 
 def symbol(bits: Bits, c: Code) -> int:
-    if c.only is not None:
-        return c.only
     at = bits.at >> 3
-    window = int.from_bytes(bits.data[at : at + 3], "little") >> (bits.at & 7) & ((1 << c.top) - 1)
-    s, n = c.table[window]
-    bits.at += n
-    return s
+    e = int(c.table[int.from_bytes(bits.data[at : at + 3], "little") >> (bits.at & 7) & ((1 << c.top) - 1)])
+    bits.at += e & 15
+    return e >> 4
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -105,19 +107,29 @@ def read_code(bits: Bits, size: int) -> Code:
     most = size
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
-    at, before = 0, 8
+    table, mask, before = by.table.tolist(), (1 << by.top) - 1, 8
+    byte = bits.at >> 3
+    rest = int.from_bytes(bits.data[byte : byte + 2 * size + 16], "little") >> (bits.at & 7)
+    at = taken = 0
     while at < size and most > 0:
         most -= 1
-        s = symbol(bits, by)
+        e = table[rest & mask]
+        n, s = e & 15, e >> 4
+        rest >>= n
+        taken += n
         if s < 16:
             lengths[at] = s
             before, at = s or before, at + 1
         else:
-            value, n = (before, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
+            k, value, least = ((2, before, 3), (3, 0, 3), (7, 0, 11))[s - 16]
+            n = least + (rest & ((1 << k) - 1))
+            rest >>= k
+            taken += k
             if at + n > size:
                 raise ValueError("a run of lengths beyond the alphabet")
             lengths[at : at + n] = [value] * n
             at += n
+    bits.at += taken
     return Code(lengths)
 
 
@@ -129,48 +141,182 @@ def _extent(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << n) + bits.read(n) + 1
 
 
-def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """ARGB values of an entropy-coded image."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    if cache_bits > 11:
-        raise ValueError("a colour cache of more than 11 bits")
-    groups, which, block = 1, None, 0
-    if main and bits.read(1):
-        block = bits.read(3) + 2
-        which = (read_image(bits, -(-width >> block), -(-height >> block), False) >> 8) & 0xFFFF
-        groups = int(which.max()) + 1
-    cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [[read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
-    total = width * height
-    first = codes[0]
-    if groups == 1 and not cache_bits and all(c.only is not None or c.equal is not None for c in first[:4]) and int(first[0].symbols.max()) < 256:
-        return _read_equal(bits, first, total).reshape(height, width)
-    return np.array(_read_symbols(bits, codes, which, block, width, total, cache_bits), np.uint32).reshape(height, width)
-
-
-def _read_equal(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
-    """Literals only, each channel's symbols of one length: the stream is a matrix of bits."""
-    sizes = [c.equal or 0 for c in codes[:4]]
-    row = sum(sizes)
-    end = bits.at + row * total
-    if end > 8 * len(bits.data):
-        raise ValueError("the stream ends early")
-    raw = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 : -(-end >> 3)]
-    out, at, skip = np.zeros(total, np.uint32), 0, bits.at & 7
-    flat = np.unpackbits(raw, bitorder="little")[skip : skip + row * total].reshape(total, row)
-    for c, size, shift in zip(codes, sizes, (8, 16, 0, 24), strict=False):
-        if size:
-            padded = np.zeros((total, 8), np.uint8)
-            padded[:, 8 - size :] = flat[:, at : at + size]
-            values = c.symbols[np.packbits(padded, axis=1).ravel()].astype(np.uint32)
-        else:
-            values = np.uint32(c.only)
-        out |= values << np.uint32(shift)
-        at += size
-    bits.at = end
+class Stream:
+    """An entropy-coded image whose codes are read and whose symbols are not: where they begin, and what they are read by."""
+
+    def __init__(self, bits: Bits, width: int, height: int, main: bool):
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        if self.cache_bits > 11:
+            raise ValueError("a colour cache of more than 11 bits")
+        self.width, self.height, self.which, self.block, groups = width, height, None, 0, 1
+        if main and bits.read(1):
+            self.block = bits.read(3) + 2
+            self.which = (read_image(bits, -(-width >> self.block), -(-height >> self.block)) >> 8) & 0xFFFF
+            groups = int(self.which.max()) + 1
+        cache_size = 1 << self.cache_bits if self.cache_bits else 0
+        self.codes = [[read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
+        self.bits = bits
+
+    @property
+    def plain(self) -> bool:
+        """One group of codes and no cache, so that what a symbol is doesn't depend on what came before; and pixels take bits."""
+        return not self.cache_bits and len(self.codes) == 1 and any(c.only is None for c in self.codes[0][:4])
+
+    def pixels(self) -> np.ndarray:
+        """ARGB values, symbol by symbol; of an image of one colour, whose pixels take no bits, at once."""
+        only = [c.only for c in self.codes[0][:4]]
+        if not self.cache_bits and len(self.codes) == 1 and None not in only and only[0] < 256:
+            return np.full((self.height, self.width), only[3] << 24 | only[1] << 16 | only[0] << 8 | only[2], np.uint32)
+        got = _read_symbols(self.bits, self.codes, self.which, self.block, self.width, self.width * self.height, self.cache_bits)
+        return np.array(got, np.uint32).reshape(self.height, self.width)
+
+
+def read_image(bits: Bits, width: int, height: int) -> np.ndarray:
+    """ARGB values of a small image that a transform or the groups of codes need; bits stand after it."""
+    return Stream(bits, width, height, False).pixels()
+
+
+# Extra bits and least values of lengths and distances by prefix.
+_EXTRA = np.array([0] * 4 + [(p - 2) >> 1 for p in range(4, 40)], np.int64)
+_LEAST = np.array([1, 2, 3, 4] + [((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(4, 40)], np.int64)
+_NEAR = np.array(NEAR, np.int64)
+#: Bytes of streams whose bits are looked at together.
+SPAN = 1 << 16
+
+
+def read_streams(streams: list[Stream]) -> list[np.ndarray]:
+    """ARGB pixels of plain streams, many at once.
+
+    What symbol stands at a bit, and where the next one begins, is looked up for every bit of some streams by arrays; then
+    each stream is followed from its first bit. A long stream is taken in spans.
+    """
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(streams):
+        to, size = at, 0
+        while to < len(streams) and (to == at or size < SPAN):
+            size += len(streams[to].bits.data) - (streams[to].bits.at >> 3)
+            to += 1
+        out += _read_group(streams[at:to])
+        at = to
     return out
 
 
+def _read_group(streams: list[Stream]) -> list[np.ndarray]:
+    parts = [s.bits.data[s.bits.at >> 3 :] for s in streams]
+    sizes = np.array([len(p) + 8 for p in parts])
+    begin = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(b"".join(p + b"\0" * 8 for p in parts) + b"\0" * 64, np.uint8).astype(np.uint32)
+    window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    tables = [np.concatenate([s.codes[0][k].table for s in streams]) for k in range(5)]
+    masks = [np.array([len(s.codes[0][k].table) - 1 for s in streams], np.uint32) for k in range(5)]
+    starts = [np.cumsum(m.astype(np.int64) + 1) - m - 1 for m in masks]
+    owner = np.repeat(np.arange(len(streams)), sizes)
+    coded = [k for k in (1, 2, 3) if any(s.codes[0][k].only is None for s in streams)]
+
+    def look(k: int, at: np.ndarray) -> np.ndarray:
+        """Entries of the k-th codes' tables at some bits."""
+        byte = at >> 3
+        whose = owner[byte]
+        return tables[k][starts[k][whose] + (window[byte] >> (at & 7).astype(np.uint32) & masks[k][whose])]
+
+    def number(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (window[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << n) - 1)
+
+    places: list[list[np.ndarray]] = [[] for _ in streams]
+    kinds: list[list[np.ndarray]] = [[] for _ in streams]
+    refs: list[list[np.ndarray]] = [[] for _ in streams]
+    now = [8 * int(b) + (s.bits.at & 7) for b, s in zip(begin, streams, strict=True)]
+    ends = [8 * int(b + n - 8) for b, n in zip(begin, sizes, strict=True)]
+    total = int(sizes.sum())
+    for lo in range(0, total, 2 * SPAN):
+        hi = min(total, lo + 2 * SPAN)
+        whose = owner[lo:hi]
+        entry = tables[0][starts[0][whose][:, None] + (window[lo:hi, None] >> np.arange(8, dtype=np.uint32) & masks[0][whose][:, None])].ravel()
+        kind = entry >> 4
+        following = np.arange(8 * lo, 8 * hi, dtype=np.int32 if total < 1 << 27 else np.int64)
+        following += entry & 15
+        ref = np.flatnonzero(kind >= 256)
+        spot = following[ref].astype(np.int64)
+        for k in coded:
+            following += look(k, np.minimum(following, 8 * total - 1)) & 15
+        prefix = kind[ref] - 256
+        length = _LEAST[prefix] + number(spot, _EXTRA[prefix])
+        spot = spot + _EXTRA[prefix]
+        got = look(4, np.minimum(spot, 8 * total - 1))
+        spot = spot + (got & 15)
+        prefix = np.minimum(got >> 4, 39)
+        distance = _LEAST[prefix] + number(np.minimum(spot, 8 * total - 1), _EXTRA[prefix])
+        following[ref] = spot + _EXTRA[prefix]
+        base = 8 * lo
+        following -= base
+        step, every, cuts = memoryview(following), [], [0]
+        add, these = every.append, range(int(owner[lo]), int(owner[hi - 1]) + 1)
+        for i in these:
+            p, end = now[i] - base, min(ends[i], 8 * hi) - base
+            while p < end:
+                add(p)
+                p = step[p]
+            now[i] = p + base
+            cuts.append(len(every))
+        every = np.array(every, np.int64)
+        own = kind[every]
+        is_ref = own >= 256
+        r = np.searchsorted(ref, every[is_ref])
+        r, several = np.stack([length[r], distance[r]]), np.r_[0, np.cumsum(is_ref)][cuts]
+        every += base
+        for i, a, b, x, y in zip(these, cuts, cuts[1:], several, several[1:], strict=False):
+            places[i].append(every[a:b])
+            kinds[i].append(own[a:b])
+            refs[i].append(r[:, x:y])
+    out = []
+    for i, s in enumerate(streams):
+        joined = len(places[i]) > 1
+        p, kind, (length, distance) = (np.concatenate(places[i]), np.concatenate(kinds[i]), np.concatenate(refs[i], 1)) if joined else (places[i][0], kinds[i][0], refs[i][0])
+        is_ref = kind >= 256
+        size = np.ones(len(p), np.int64)
+        size[is_ref] = length
+        goal = s.width * s.height
+        reached = np.cumsum(size)
+        cut = int(np.searchsorted(reached, goal)) + 1
+        if cut > len(p) or int(reached[cut - 1]) != goal:
+            raise ValueError("the stream ends early, or a reference is outside the image")
+        p, kind, is_ref = p[:cut], kind[:cut], is_ref[:cut]
+        pixel = kind[~is_ref].astype(np.uint32) << np.uint32(8)
+        if any(c.only is None for c in s.codes[0][1:4]):
+            spot = p[~is_ref]
+            spot = spot + (look(0, spot) & 15)
+        for k, shift in ((1, 16), (2, 0), (3, 24)):
+            if (only := s.codes[0][k].only) is not None:
+                pixel |= np.uint32(only << shift)
+            else:
+                got = look(k, spot)
+                pixel |= (got >> 4).astype(np.uint32) << np.uint32(shift)
+                spot = spot + (got & 15)
+        n = int(is_ref.sum())
+        if n:
+            length, distance = length[:n], distance[:n]
+            x, y = _NEAR[np.minimum(distance, 120) - 1].T
+            far = np.where(distance > 120, distance - 120, np.maximum(1, x + y * s.width))
+            pixel = _copied(pixel, np.flatnonzero(is_ref) - np.arange(n), length, far)
+        out.append(pixel.reshape(s.height, s.width))
+    return out
+
+
+def _copied(pixel: np.ndarray, before: np.ndarray, length: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Literal pixels with references filled in; before: how many literals stand before each."""
+    raw, out, done = pixel.tobytes(), bytearray(), 0
+    for c, n, d in zip((4 * before).tolist(), (4 * length).tolist(), (4 * far).tolist(), strict=True):
+        out += raw[done:c]
+        done = c
+        a = len(out) - d
+        if a < 0:
+            raise ValueError("a reference outside the image")
+        out += out[a : a + n] if d >= n else (out[a:] * (n // d + 1))[:n]
+    out += raw[done:]
+    return np.frombuffer(bytes(out), np.uint32)
+
+
 def _read_symbols(bits: Bits, codes: list[list[Code]], which, block: int, width: int, total: int, cache_bits: int) -> list[int]:
     out: list[int] = []
     cache, seen = [0] * (1 << cache_bits if cache_bits else 0), 0
@@ -305,8 +451,8 @@ def _palette_bits(n: int) -> int:
     return 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """ARGB pixels, height x width, of a lossless WebP file."""
+def _opened(data: bytes) -> tuple[Stream, list]:
+    """A lossless WebP file's main image, its symbols not yet read, and what undoes the transforms, the last first."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
@@ -320,19 +466,33 @@ def decode(data: bytes) -> np.ndarray:
         kind = bits.read(2)
         if kind in (PREDICT, CROSS):
             block = bits.read(3) + 2
-            part = read_image(bits, -(-now >> block), -(-height >> block), False)
+            part = read_image(bits, -(-now >> block), -(-height >> block))
             undo.append((lambda v, p=part, b=block: predict(v, p, b)) if kind == PREDICT else (lambda v, p=part, b=block: cross_colour(v, p, b)))
         elif kind == GREEN:
             undo.append(subtract_green)
         else:
             n = bits.read(8) + 1
-            table = np.cumsum(_bytes(read_image(bits, n, 1, False)[0]), axis=0, dtype=np.uint8).view("<u4").ravel()
+            table = np.cumsum(_bytes(read_image(bits, n, 1)[0]), axis=0, dtype=np.uint8).view("<u4").ravel()
             undo.append(lambda v, t=table, w=now: palette(v, t, w))
             now = -(-now >> _palette_bits(n))
-    argb = read_image(bits, now, height, True)
-    for f in reversed(undo):
-        argb = f(argb)
-    return argb
+    return Stream(bits, now, height, True), undo[::-1]
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """ARGB pixels, height x width, of lossless WebP files."""
+    opened = [_opened(f) for f in files]
+    quick = iter(read_streams([s for s, _ in opened if s.plain]))
+    out = []
+    for stream, undo in opened:
+        argb = next(quick) if stream.plain else stream.pixels()
+        for f in undo:
+            argb = f(argb)
+        out.append(argb)
+    return out
+
+
+def decode(data: bytes) -> np.ndarray:
+    return decode_all([data])[0]
 
 
 class Writer:
@@ -347,76 +507,8 @@ class Writer:
             self.value >>= 8
             self.n -= 8
 
-    def bits(self) -> np.ndarray:
-        whole = np.unpackbits(np.frombuffer(bytes(self.out), np.uint8), bitorder="little")
-        return np.r_[whole, [self.value >> i & 1 for i in range(self.n)]].astype(np.uint8)
-
-
-def equal_lengths(used: np.ndarray) -> tuple[np.ndarray, int]:
-    """A complete code of one length for the used byte values (256 flags): symbols, ascending, and the length."""
-    n = max(1, int(used.sum() - 1).bit_length())
-    flags = used.copy()
-    spare = np.flatnonzero(~flags)[: (1 << n) - int(used.sum())]
-    flags[spare] = True
-    return np.flatnonzero(flags), n
-
-
-def put_lengths(w: Writer, symbols: np.ndarray, length: int, size: int) -> None:
-    """Lengths 0 and `length` with runs, by a code of five symbols."""
-    own = [0] * 19
-    own[length], own[16], own[18], own[17], own[0] = 2, 2, 2, 3, 3
-    codes = canonical(own)
-    last = max(LENGTH_ORDER.index(s) for s in (0, 16, 17, 18, length))
-    w.put(0, 1)
-    w.put(max(4, last + 1) - 4, 4)
-    for s in LENGTH_ORDER[: max(4, last + 1)]:
-        w.put(own[s], 3)
-    w.put(0, 1)
-    flags = np.zeros(size + 1, bool)
-    flags[symbols] = True
-    turns = np.r_[0, np.flatnonzero(flags[1:size] != flags[: size - 1]) + 1, size].tolist()
-    for i, j in zip(turns, turns[1:], strict=False):
-        n = j - i
-        if flags[i]:
-            w.put(*codes[length])
-            n -= 1
-        while n >= 3:
-            kind, k, base, bits = (16, min(n, 6), 3, 2) if flags[i] else (18, min(n, 138), 11, 7) if n >= 11 else (17, n, 3, 3)
-            w.put(*codes[kind])
-            w.put(k - base, bits)
-            n -= k
-        for _ in range(n):
-            w.put(*codes[length if flags[i] else 0])
 
 
 def container(body: bytes) -> bytes:
     body += b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
-
-
-_heads: dict = {}
-
-
-def encode_rgb(pixels: np.ndarray) -> bytes:
-    """Opaque RGB pixels (height x width x 3 bytes): one code of equal lengths for all three channels."""
-    height, width, _ = pixels.shape
-    used = np.bincount(pixels.ravel(), minlength=256) > 0
-    symbols, n = equal_lengths(used)
-    key = (width, height, symbols.tobytes())
-    if key[2] not in _heads:
-        if len(_heads) > 4096:
-            _heads.clear()
-        w = Writer()
-        w.put(0, 3)  # no transform, no cache, one group of codes
-        for size in (280, 256, 256):
-            put_lengths(w, symbols, n, size)
-        w.put(0b101, 3), w.put(255, 8)  # alpha: one symbol of 8 bits
-        w.put(0b001, 3), w.put(0, 1)  # distance: one symbol of 1 bit
-        _heads[key[2]] = w.bits()
-    rank = np.zeros(256, np.uint8)
-    rank[symbols] = np.arange(len(symbols), dtype=np.uint8)
-    order = rank[pixels.reshape(-1, 3)[:, [1, 0, 2]]].ravel()
-    bits = np.unpackbits(order[:, None], axis=1)[:, 8 - n :].ravel()
-    size = (width - 1) | (height - 1) << 14
-    start = np.array([size >> i & 1 for i in range(32)], np.uint8)
-    return container(b"\x2f" + np.packbits(np.concatenate([start, _heads[key[2]], bits]), bitorder="little").tobytes())
