@@ -284,7 +284,7 @@ def test_fixed_files():
     assert webp.decode(cross).ravel().tolist() == [255 << 24 | 8 << 16 | 7 << 8 | 2] * 6
     # palette of two colours, eight indices to a symbol: 0b101 in row 0, 0b010 in row 1
     table = file(*head, (1, 1), (3, 2), (1, 8), (0, 1), *TWO(5, 6), *ONE(0), *ONE(0), *TWO(0, 255), *ONE(0), (0, 1), (1, 1), (1, 1), (0, 1), (0, 1), (0, 1), (0, 1), *TWO(2, 5), *ONE(0), *ONE(0), *ONE(255), *ONE(0), (1, 1), (0, 1))
-    a, b = 255 << 24 | 5 << 8, (255 + 255 & 255) << 24 | 11 << 8
+    a, b = 255 << 24 | 5 << 8, 255 << 24 | 11 << 8
     assert webp.decode(table).tolist() == [[b, a, b], [a, b, a]]
 
 
