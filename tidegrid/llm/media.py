@@ -50,13 +50,15 @@ def samples(pixels: np.ndarray) -> bytes:
 def features(pixels: np.ndarray) -> str:
     """Size, and for each channel the mean and the deviation; the mean step between neighbours in a row."""
     grey = [np.array_equal(pixels[..., k], pixels[..., 1]) for k in (0, 2)]  # then one channel's counts are all's
-    middle = np.bincount(np.ascontiguousarray(pixels[..., 1]).ravel(), minlength=256)
+    green = np.ascontiguousarray(pixels[..., 1])
+    middle = np.bincount(green.ravel(), minlength=256)
     first, last = (middle if same else np.bincount(pixels[..., k].ravel(), minlength=256) for k, same in zip((0, 2), grey, strict=True))
     flat = np.stack([first, middle, last])
     n, at = flat[0].sum(), np.arange(256)
     mean = flat @ at / n
     deviation = np.sqrt(np.maximum(flat @ (at * at) / n - mean**2, 0))
-    step = np.abs(np.diff(pixels[..., 1].astype(np.int16), axis=1)).mean()
+    a, b = green[:, 1:], green[:, :-1]
+    step = (np.maximum(a, b) - np.minimum(a, b)).mean()
     return f"{pixels.shape[1]}x{pixels.shape[0]};" + ",".join(f"{x:.3f}" for x in mean) + ";" + ",".join(f"{x:.3f}" for x in deviation) + f";{step:.3f}"
 
 

@@ -56,10 +56,10 @@ class Code:
         self.top, self.only = int(own.max()), None
         if int((1 << (self.top - own)).sum()) != 1 << self.top:
             raise ValueError("an incomplete prefix code")
-        self.table = np.empty(1 << self.top, np.int32)
-        low, size = canonical_bits(own)
-        for s, at, n in zip(used, low.tolist(), size.tolist(), strict=True):
-            self.table[at :: 1 << n] = s << 4 | n
+        # by ascending codes each symbol has 2**(top - length) windows in a row, whose first bit is the highest
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        self.table = np.repeat((np.array(used)[order] << 4 | own).astype(np.int32), 1 << (self.top - own))[_REVERSED[: 1 << self.top] >> (15 - self.top)]
 
 
 _REVERSED = np.zeros(1 << 15, np.int64)
@@ -240,7 +240,7 @@ def _read_group(streams: list[Stream]) -> list[np.ndarray]:
         spot = following[ref].astype(np.int64)
         for k in coded:
             following += look(k, np.minimum(following, 8 * total - 1)) & 15
-        prefix = kind[ref] - 256
+        prefix = np.minimum(kind[ref] - 256, 39)
         length = _LEAST[prefix] + number(spot, _EXTRA[prefix])
         spot = spot + _EXTRA[prefix]
         got = look(4, np.minimum(spot, 8 * total - 1))
@@ -279,7 +279,7 @@ def _read_group(streams: list[Stream]) -> list[np.ndarray]:
         goal = s.width * s.height
         reached = np.cumsum(size)
         cut = int(np.searchsorted(reached, goal)) + 1
-        if cut > len(p) or int(reached[cut - 1]) != goal:
+        if cut > len(p) or int(reached[cut - 1]) != goal or (cut == len(p) and now[i] > ends[i]):
             raise ValueError("the stream ends early, or a reference is outside the image")
         p, kind, is_ref = p[:cut], kind[:cut], is_ref[:cut]
         pixel = kind[~is_ref].astype(np.uint32) << np.uint32(8)
@@ -305,15 +305,24 @@ def _read_group(streams: list[Stream]) -> list[np.ndarray]:
 
 def _copied(pixel: np.ndarray, before: np.ndarray, length: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Literal pixels with references filled in; before: how many literals stand before each."""
-    raw, out, done = pixel.tobytes(), bytearray(), 0
-    for c, n, d in zip((4 * before).tolist(), (4 * length).tolist(), (4 * far).tolist(), strict=True):
-        out += raw[done:c]
-        done = c
-        a = len(out) - d
+    # where only the green samples differ, bytes are laid out, else whole pixels
+    rest = pixel & np.uint32(0xFFFF00FF)
+    one = bool((rest == rest[0]).all()) if len(pixel) else False
+    raw, wide = ((pixel >> np.uint32(8)).astype(np.uint8).tobytes(), 1) if one else (pixel.tobytes(), 4)
+    out, done, size = bytearray(), 0, 0
+    for c, n, d in zip((wide * before).tolist(), (wide * length).tolist(), (wide * far).tolist(), strict=True):
+        if c > done:
+            out += raw[done:c]
+            size += c - done
+            done = c
+        a = size - d
         if a < 0:
             raise ValueError("a reference outside the image")
         out += out[a : a + n] if d >= n else (out[a:] * (n // d + 1))[:n]
+        size += n
     out += raw[done:]
+    if one:
+        return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | rest[0]
     return np.frombuffer(bytes(out), np.uint32)
 
 
@@ -456,6 +465,8 @@ def _opened(data: bytes) -> tuple[Stream, list]:
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
+    if len(data) < 20 + size:
+        raise ValueError("the file ends early")
     bits = Bits(data[20 : 20 + size], 1)
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)

@@ -8,7 +8,6 @@ payloads of a batch are matched, coded and written together, by arrays.
 from __future__ import annotations
 
 import struct
-from itertools import groupby
 
 import numpy as np
 
@@ -66,8 +65,10 @@ def code_bits(lengths: np.ndarray) -> tuple[int, int]:
         value = 1 | (len(used) - 1) << 1 | 1 << 2 | int(used[0]) << 3
         return (value, 11) if len(used) == 1 else (value | int(used[1]) << 11, 19)
     runs, before = [], 8
-    for v, group in groupby(lengths.tolist()):
-        n = len(list(group))
+    cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    values = lengths.tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        v, n = values[a], b - a
         if v and v != before:
             runs.append((v, ""))
             before, n = v, n - 1
@@ -104,10 +105,9 @@ def references(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n, m = len(data), len(data) - SHORT + 1
     if m <= 0:
         return np.arange(n), np.ones(n, np.int64), np.zeros(n, np.int64)
-    gram = data[:m].astype(U)
-    for k in range(1, SHORT):
-        gram |= data[k : m + k].astype(U) << U(8 * k)
-    image = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, n]))
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    gram = np.ndarray(m, "<u8", wide, 0, (1,)) & U((1 << 8 * SHORT) - 1)  # eight bytes from each place on
+    image = np.repeat(np.arange(len(cuts), dtype=np.int32), np.diff(np.r_[cuts, n]))
     gram |= image[:m].astype(U) << U(8 * SHORT)
     whole = image[:m] == image[SHORT - 1 :]
     bits = U(n.bit_length())
