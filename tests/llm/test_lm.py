@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -64,3 +65,21 @@ def test_no_rows(spark):
     assert lm.lm_scores(empty).count() == 0
     only = spark.createDataFrame([(k, "x y") for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 1], "doc_id long, text string")
     assert {(r.train_tokens, r.score, r.base_score) for r in lm.lm_scores(only).collect()} == {(0, 0.0, 0.0)}
+
+
+def test_more_files_than_descriptors(tmp_path):
+    import os
+    import resource
+
+    folder, some = str(tmp_path), np.arange(7, dtype=np.uint64)
+    for k in range(300):
+        lm._save(folder, f"word{k}", word=some + np.uint64(k), none=some[:0])
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    lm._mapped.clear()
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 40, hard))
+    try:
+        model = lm.Model(folder, lm.Layout(4, some[:0]), np.zeros(11))
+        got = [model.array(f"word{k}-word") for k in range(300)]
+        assert all((g == some + np.uint64(k)).all() for k, g in enumerate(got)) and len(model.array("word3-none")) == 0
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))

@@ -6,6 +6,7 @@ scoring workers memory-map. Words are 48-bit hashes.
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ from . import core
 
 #: Bytes of text whose counts are summed before they are sent.
 FLUSH = 6_000_000
+#: Maps that a worker holds; beyond it they are made anew (the system allows some 65 000).
+MAPS = 30_000
 #: Hashes of what stands before a text's first word and after its last.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 U = np.uint64
@@ -174,7 +177,7 @@ def counted(docs: DataFrame, layout: Layout, folder: str) -> np.ndarray:
         _save(folder, f"pair{bucket}", starts=np.r_[starts, len(rest)].astype("<u4"), rest=((rest >> U(16)) & U(0xFFFFFFFF)).astype("<u4"), count=np.minimum(n, 255).astype(np.uint8), big=np.stack([np.flatnonzero(n >= 255), n[n >= 255]]).astype("<i8"))
         hot = _among(before, layout.hot)
         k, total, n1, n2, n3 = _context_stats(before[~hot], n[~hot])
-        _save(folder, f"context{bucket}", word=k, stats=np.stack([total, n1, n2, n3]).astype("<u4"))
+        _save(folder, f"context{bucket}", word=k, stats=np.stack([total, n1, n2, n3]).astype("<u8"))
         w, _, types, uses = _summed(word, np.ones(len(word), np.int64), n)
         to = layout.bucket(w)
         cuts = np.flatnonzero(np.diff(to)) + 1
@@ -206,7 +209,7 @@ def counted(docs: DataFrame, layout: Layout, folder: str) -> np.ndarray:
                 kinds += np.frombuffer(d, "<i8")
         none = np.zeros(0, np.int64)
         k, _, types, uses = _summed(np.concatenate(w) if w else none.astype(np.uint64), np.concatenate(types) if w else none, np.concatenate(uses) if w else none)
-        _save(folder, f"word{bucket}", word=k, types=types.astype("<u4"), uses=uses.astype("<u8"))
+        _save(folder, f"word{bucket}", word=k, types=types.astype("<u8"), uses=uses.astype("<u8"))
         if hot:
             h = np.array(hot)
             key, _, *stats = _summed(h[:, 0], *(h[:, i].astype(np.int64) for i in range(1, 5)))
@@ -240,7 +243,9 @@ class Model:
     def array(self, name: str) -> np.ndarray | None:
         key = f"{self.folder}/{name}.npy"
         if key not in _mapped:
-            _mapped[key] = np.load(key, mmap_mode="r") if os.path.exists(key) else None
+            if len(_mapped) >= MAPS:
+                _mapped.clear()
+            _mapped[key] = _map(key) if os.path.exists(key) else None
         return _mapped[key]
 
     def look_up(self, table: str, values: tuple[str, ...], words: np.ndarray) -> list[np.ndarray]:
@@ -322,24 +327,42 @@ class Model:
 _mapped: dict[str, np.ndarray | None] = {}
 
 
+def _map(path: str) -> np.ndarray:
+    """An array file, mapped; its descriptor is closed, so a model may have more files than a process may open."""
+    with open(path, "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, _, kind = np.lib.format.read_array_header_1_0(f)
+        n = int(np.prod(shape))
+        if not n:
+            return np.zeros(shape, kind)
+        try:
+            held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        except TypeError:  # before Python 3.13 a map keeps a descriptor
+            held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        return np.frombuffer(held, kind, n, f.tell()).reshape(shape)
+
+
 def train(docs: DataFrame) -> Model:
     """A model of docs (text): one job counts, sums and stores it."""
     spark = docs.sparkSession
     core.ship(spark)
     rows, total = core.sizes(docs)
-    bits = min(16, max(4, (core.parts(total, core.BUCKET_BYTES) - 1).bit_length()))
-    # words that lead so often that a bucket of contexts would be uneven; some rows are enough to balance the load
+    bits = min(24, max(4, (core.parts(total, core.BUCKET_BYTES) - 1).bit_length()))
+    least = 4 << min(bits, 16)  # a context of more than 1 / least of all tokens is common: a bucket of contexts would be uneven
+
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in core.pieces(batch):
                 w, n = np.unique(token_stream(*core.column(x.column(0)))[1], return_counts=True)
-                top = np.argsort(-n, kind="stable")[:256]
-                yield pa.record_batch([pa.array(w[top].view(np.int64)), pa.array(n[top]), pa.array(np.full(len(top), n.sum() / max(1, len(top))))], ["word", "n", "share"])
+                # half as common in this piece at least: pieces where a common context is rarer hold less than half of it
+                top = np.flatnonzero(2 * least * n > n.sum())
+                yield pa.record_batch([pa.array([*w[top].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[top].tolist(), int(n.sum())], pa.int64())], ["word", "n"])
 
-    some = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).limit(1000).mapInArrow(frequent, "word long, n long, share double")
-    seen = some.groupBy("word").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).collect() if rows else []
-    every = sum(r.share for r in seen)
-    hot = np.sort(np.array([r.word for r in seen if r.n > max(3, every / (4 << bits))], np.int64).view(np.uint64))
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    seen = core.kept(texts.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    every = (seen.where("word IS NULL").first() or {"n": 0})["n"] if rows else 0
+    common = seen.where("word IS NOT NULL").where(F.col("n") * (2 * least) > every).select("word")  # 2 * least words at most
+    hot = np.sort(np.array([r.word for r in common.collect()], np.int64).view(np.uint64))
     folder = core.model_folder(spark, "lm")
     layout = Layout(bits, hot)
     return Model(folder, layout, counted(docs, layout, folder))
