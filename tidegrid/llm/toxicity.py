@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import core
@@ -281,10 +281,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     of = lambda k: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = of(0).union(of(1))  # 2 * sample rows of 12 bytes, whatever the input
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id")
-    # the sample's bytes have a bound too: what goes beyond it, in the order of the hash, is left out (at most 2 * sample rows are in this window)
-    held = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))) - F.octet_length("text")
-    rows = core.kept(rows.withColumn("held", held).where(F.col("held") < SAMPLE_BYTES).select("toxic", "text"))
+    rows = core.kept(texts.join(F.broadcast(chosen), "doc_id").select("toxic", F.xxhash64("doc_id").alias("k"), "text"))
+    # the sample's bytes have a bound too: what goes beyond it, in the order of the hash, is left out; 2 * sample numbers reach the driver
+    cut, held = {}, {0: 0, 1: 0}
+    for r in sorted(rows.groupBy("toxic", "k").agg(F.sum(F.octet_length("text")).alias("n")).collect()):
+        if held[r.toxic] < SAMPLE_BYTES:
+            cut[r.toxic] = r.k
+        held[r.toxic] += r.n
+    rows = rows.where(F.col("k") <= F.when(F.col("toxic") == 1, F.lit(cut.get(1))).otherwise(F.lit(cut.get(0)))).select("toxic", "text")
     n1, n0 = (rows.where(F.col("toxic") == k).count() for k in (1, 0))
     if not n1 or not n0:
         return nothing
