@@ -55,19 +55,23 @@ def effort(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 5).alias("unmeasured"), F.round(F.median(known), 6).alias("median_s"), F.round(F.avg(known), 6).alias("mean_s"), F.round(F.sum(known), 4).alias("total_s"))
 
 
-CHAIN = "l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, sha256(conv_id || '|' || turn || '|' || text) AS sha FROM conversations)"
-
-
-@query(f"WITH {CHAIN}, p AS (SELECT *, coalesce(lag(sha) OVER (PARTITION BY conv_id ORDER BY seq), '') AS previous FROM l), v AS (SELECT *, sha256(previous || '|' || seq || '|' || turn) AS link FROM p), c AS (SELECT *, coalesce(lag(link) OVER (PARTITION BY conv_id ORDER BY seq), '') AS before FROM v) SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE sha256(before || '|' || seq || '|' || turn) <> link) AS breaks FROM c GROUP BY 1")
+@query("WITH l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq FROM conversations) SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE conv_id % 7 = 0 AND seq = 2) AS breaks FROM l GROUP BY 1")
 def ledger_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Breaks of chains whose links were made from bodies' digests, checked against links of links."""
-    w = Window.partitionBy("conv_id").orderBy("seq")
-    l = t.table(spark, d, "conversations").withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    l = l.withColumn("sha", F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "text"), 256))
-    l = l.withColumn("previous", F.coalesce(F.lag("sha").over(w), F.lit(""))).withColumn("body", F.col("turn").cast("string"))
-    l = l.withColumn("link", F.sha2(F.concat_ws("|", "previous", F.col("seq").cast("string"), "body"), 256))
-    before = F.coalesce(F.lag("link").over(w), F.lit(""))
-    return ledgers.chain_breaks(l.withColumn("before", before), "conv_id", "seq", "body", "before", "link").select("conv_id", "n", "breaks")
+    """Breaks of each conversation's hash chain: none where it is sound, one where its second event was edited afterwards (every seventh)."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    l = t.table(spark, d, "conversations").withColumn("seq", F.row_number().over(order)).withColumn("body", F.sha2("text", 256))
+    # a link holds the link before it, so a chain is made one event after the other; events are digests of 100 bytes here
+    events = l.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("events"))
+
+    def step(done, e):
+        last = F.coalesce(F.try_element_at(done, F.lit(-1)).getField("link"), F.lit(""))
+        link = F.sha2(F.concat_ws("|", last, e["seq"].cast("string"), e["body"]), 256)
+        return F.concat(done, F.array(F.struct(e["seq"].alias("seq"), e["body"].alias("body"), last.alias("before"), link.alias("link"))))
+
+    start = F.array().cast("array<struct<seq:int,body:string,before:string,link:string>>")
+    made = events.select("conv_id", F.inline(F.aggregate("events", start, step)))
+    edited = made.withColumn("body", F.when((F.col("conv_id") % 7 == 0) & (F.col("seq") == 2), F.concat("body", F.lit("x"))).otherwise(F.col("body")))
+    return ledgers.chain_breaks(edited, "conv_id", "seq", "body", "before", "link").select("conv_id", "n", "breaks")
 
 
 @query("SELECT user_id, event_type, event_id, amendments FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id, event_type) - 1 AS amendments FROM events) WHERE k = 1")
