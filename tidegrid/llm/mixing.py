@@ -50,19 +50,24 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     'null'; repeated rows are rows of their own, with the same draw; rows of one doc_id with other texts have other draws. An empty table gives an empty result.
     Sizes are summed before the shuffle, and sources come back as a small table, so a hot source is never gathered.
     """
-    sized = docs.withColumn("_size", word_count())
+    # the draw is made before the join, so that a text that nobody asks for isn't shuffled for it
+    sized = docs.withColumn("_size", word_count()).withColumn("_draw", _draw(seed))
     per_source = targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, most)
     t = per_source.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     rows = sized.join(t, sized["source"].eqNullSafe(t["_s"]), "left").drop("_s")
-    return rows.withColumn("_copies", _copies(seed))
+    return rows.withColumn("_copies", _copies()).drop("_draw")
 
 
-def _copies(seed: str) -> Column:
-    """floor(target / source size), and one more with the rest's probability by a hash of the seed, doc_id, source and text."""
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+def _draw(seed: str) -> Column:
+    """A number from 0 to 1 by a hash of the seed, doc_id, source and text."""
     own = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "source", "text")]
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *own).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *own).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def _copies() -> Column:
+    """floor(target / source size), and one more with the rest's probability by the draw."""
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    return (F.floor(rate) + F.when(F.col("_draw") < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
