@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import scalars
 from tidegrid.operators import matching
-from tidegrid.operators.graph import smallest_labels
 
 from . import screening
 from . import stand_ins as t
@@ -67,22 +66,20 @@ def nms(spark: SparkSession, d: str) -> DataFrame:
     return matching.suppress(s.select("id", "score"), pairs.select(F.col("id").alias("a"), "b")).withColumnRenamed("id", "site")
 
 
-SCENE_LINKS = """rec AS (SELECT o_orderkey AS id, o_custkey AS site, epoch(o_orderdate)::BIGINT AS t FROM orders WHERE o_orderkey % 5 = 0)"""
+SCENE_LINKS = """rec AS (SELECT o_orderkey AS id, o_custkey AS site, epoch(o_orderdate)::BIGINT AS t, o_orderstatus AS status FROM orders)"""
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    o = t.table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    o = t.table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("site"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("t"), F.col("o_orderstatus").alias("status"))
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    """Records of one site that are within 120 days are linked, and so what they link to."""
-    r = _records(spark, d)
-    last = F.lag("id").over(Window.partitionBy("site").orderBy("t", "id"))
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("site").orderBy("t", "id"))
-    links = r.select("site", F.col("id").alias("a"), last.alias("b"), gap.alias("gap")).where("b IS NOT NULL AND gap <= 10368000")
-    labels = smallest_labels(links.select("site", "a", "b"), "site")
-    return r.join(labels.withColumnRenamed("node", "id"), ["site", "id"], "left").select("id", "site", "t", "status", F.coalesce("label", "id").alias("group_id"))
+    """Records of one site that are within 120 days are linked, and so what they link to: links in time order are a chain, so groups are islands between longer gaps."""
+    order = Window.partitionBy("site").orderBy("t", "id")
+    late = F.coalesce(F.col("t") - F.lag("t").over(order) > 10368000, F.lit(True))
+    runs = _records(spark, d).withColumn("late", late.cast("int")).withColumn("run", F.sum("late").over(order))
+    return runs.select("id", "site", "t", "status", F.min("id").over(Window.partitionBy("site", "run")).alias("group_id"))
 
 
 GROUPS = f"{SCENE_LINKS}, tu AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY site ORDER BY t, id) <= 10368000 THEN 0 ELSE 1 END AS turn FROM rec), ru AS (SELECT *, sum(turn) OVER (PARTITION BY site ORDER BY t, id) AS run FROM tu), gr AS (SELECT id, site, t, min(id) OVER (PARTITION BY site, run) AS group_id FROM ru)"
@@ -117,12 +114,12 @@ def inventory_merge(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("aliases"), (F.countDistinct("lang") > 1).alias("conflict"))
 
 
-@query(f"WITH {SCENE_LINKS} SELECT DISTINCT r.id FROM rec r JOIN rec h ON h.id % 7 = 0 AND r.id % 7 <> 0 AND r.site = h.site AND abs(r.t - h.t) <= 604800")
+@query(f"WITH {SCENE_LINKS} SELECT DISTINCT r.id FROM rec r JOIN rec h ON h.status = 'P' AND r.status <> 'P' AND r.site = h.site AND abs(r.t - h.t) <= 604800")
 def holdout_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Records of a site within 7 days of a held-out one."""
+    """Records of a site within 7 days of a held-out one (those of status P)."""
     r = _records(spark, d)
-    held = r.where("id % 7 = 0").select("site", F.explode(F.array(*(F.floor(F.col("t") / 604800) + k for k in (-1, 0, 1)))).alias("week"), F.col("t").alias("th"))
-    rest = r.where("id % 7 <> 0").withColumn("week", F.floor(F.col("t") / 604800))
+    held = r.where("status = 'P'").select("site", F.explode(F.array(*(F.floor(F.col("t") / 604800) + k for k in (-1, 0, 1)))).alias("week"), F.col("t").alias("th"))
+    rest = r.where("status <> 'P'").withColumn("week", F.floor(F.col("t") / 604800))
     near = (F.abs(rest["t"] - held["th"]) <= 604800) & (rest["site"] == held["site"]) & (rest["week"] == held["week"])
     return rest.join(held, near, "left_semi").select("id")
 

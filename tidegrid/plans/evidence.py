@@ -129,43 +129,43 @@ def name_fields(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("unit", F.regexp_extract("host", r"([^.]+)\.[^.]+\.[^.]+$", 1))
 
 
-@query("""WITH f AS (SELECT event_id AS id, ts AS generated, ts - INTERVAL 6 HOUR AS begins, ts + INTERVAL 6 HOUR AS ends FROM events WHERE event_id % 10 = 0), s AS (SELECT event_id AS scene, ts FROM events WHERE event_id % 100 = 7)
+@query("""WITH f AS (SELECT event_id AS id, ts AS generated, ts - INTERVAL 6 HOUR AS begins, ts + INTERVAL 6 HOUR AS ends FROM events WHERE event_type = 'signup'), s AS (SELECT event_id AS scene, ts FROM events WHERE event_type = 'error')
 SELECT scene, arg_max(f.id, (generated, f.id)) AS orbit, count(*) AS covering FROM s JOIN f ON ts BETWEEN begins AND ends GROUP BY 1""")
 def orbit_cover(spark: SparkSession, d: str) -> DataFrame:
     """Of the files that cover a time the latest generated; candidates meet in six-hour cells."""
     e = t.table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     six = 6 * 3600 * 1_000_000
-    f = e.where("event_id % 10 = 0").select(F.col("event_id").alias("id"), F.col("t").alias("g"), F.explode(F.array(*(F.floor(F.col("t") / six) + k for k in (-1, 0, 1)))).alias("cell"))
-    s = e.where("event_id % 100 = 7").select(F.col("event_id").alias("scene"), F.col("t").alias("at"), F.floor(F.col("t") / six).alias("cell"))
+    f = e.where("event_type = 'signup'").select(F.col("event_id").alias("id"), F.col("t").alias("g"), F.explode(F.array(*(F.floor(F.col("t") / six) + k for k in (-1, 0, 1)))).alias("cell"))
+    s = e.where("event_type = 'error'").select(F.col("event_id").alias("scene"), F.col("t").alias("at"), F.floor(F.col("t") / six).alias("cell"))
     return s.join(f, "cell").where(F.abs(F.col("at") - F.col("g")) <= six).groupBy("scene").agg(F.max_by("id", F.struct("g", "id")).alias("orbit"), F.count(F.lit(1)).alias("covering"))
 
 
-@query("SELECT c_custkey AS key FROM customer WHERE c_custkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 10 = 0)")
+@query("SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def new_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Incoming rows that aren't stored yet."""
-    incoming = t.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"))
-    return ledgers.new_only(t.table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("key")), incoming, "key")
+    incoming = t.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
+    return ledgers.new_only(t.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key")), incoming, "key")
 
 
-@query("SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS value FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 9 = 0 AND o_orderkey % 2 = 0) UNION ALL SELECT o_orderkey, 'R', o_totalprice FROM orders WHERE o_custkey % 9 = 0 AND o_orderkey % 2 = 0")
+@query("SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS value FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW') UNION ALL SELECT o_orderkey, 'R', o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'")
 def trajectory_replace(spark: SparkSession, d: str) -> DataFrame:
     """All rows of incoming keys are replaced."""
-    o = t.table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value"))
-    return ledgers.replaced(o, o.where("o_custkey % 9 = 0 AND key % 2 = 0").withColumn("status", F.lit("R")), "o_custkey").select("key", "status", "value")
+    o = t.table(spark, d, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value"))
+    return ledgers.replaced(o, o.where("status = 'P' AND o_orderpriority = '5-LOW'").withColumn("status", F.lit("R")), "o_custkey").select("key", "status", "value")
 
 
-@query("WITH a AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'edited' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 10 <> 4) SELECT count(*) FILTER (WHERE b.doc_id IS NULL) AS only_a, count(*) FILTER (WHERE a.doc_id IS NULL) AS only_b, count(*) FILTER (WHERE a.sha <> b.sha) AS differ FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query("WITH a AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE lang <> 'fr'), b AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'edited' ELSE sha256(text) END AS sha FROM documents WHERE lang <> 'de') SELECT count(*) FILTER (WHERE b.doc_id IS NULL) AS only_a, count(*) FILTER (WHERE a.doc_id IS NULL) AS only_b, count(*) FILTER (WHERE a.sha <> b.sha) AS differ FROM a FULL JOIN b ON a.doc_id = b.doc_id")
 def manifest_check(spark: SparkSession, d: str) -> DataFrame:
     """A stored inventory against a recomputed one."""
-    docs = t.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    b = docs.where("doc_id % 10 <> 4").withColumn("sha", F.when(F.col("doc_id") % 97 == 0, "edited").otherwise(F.col("sha")))
-    return ledgers.differences(docs.where("doc_id % 10 <> 3"), b, ["doc_id"], ["sha"])
+    docs = t.table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha"))
+    b = docs.where("lang <> 'de'").withColumn("sha", F.when(F.col("doc_id") % 97 == 0, "edited").otherwise(F.col("sha")))
+    return ledgers.differences(docs.where("lang <> 'fr'"), b, ["doc_id"], ["sha"])
 
 
-@query("WITH q AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_totalprice AS wind FROM orders WHERE o_totalprice >= 100000 AND o_custkey % 4 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY wind DESC, id) AS n FROM q) SELECT id, strftime(day, '%Y-%m-%d') AS day, wind FROM k WHERE n = 1 ORDER BY wind DESC, id LIMIT 40")
+@query("WITH q AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_totalprice AS wind FROM orders WHERE o_totalprice >= 100000), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY wind DESC, id) AS n FROM q) SELECT id, strftime(day, '%Y-%m-%d') AS day, wind FROM k WHERE n = 1 ORDER BY wind DESC, id LIMIT 40")
 def one_per_day(spark: SparkSession, d: str) -> DataFrame:
     """The windiest qualified scene of each day, the windiest days first."""
-    q = t.table(spark, d, "orders").where("o_totalprice >= 100000 AND o_custkey % 4 = 0")
+    q = t.table(spark, d, "orders").where("o_totalprice >= 100000")
     best = q.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max(F.struct(F.col("o_totalprice").alias("wind"), (-F.col("o_orderkey")).alias("id"))).alias("m"))
     return best.select((-F.col("m.id")).alias("id"), F.date_format("day", "yyyy-MM-dd").alias("day"), "m.wind").orderBy(F.desc("wind"), "id").limit(40)
 

@@ -152,7 +152,7 @@ def visibility(spark: SparkSession, d: str) -> DataFrame:
     return k.join(got, ["r", "c"]).select("r", "c", ((F.col("shaded") == 0) & (F.col("n") == len(disk))).alias("visible"))
 
 
-@query(f"""WITH px AS ({t.PIXELS}), po AS (SELECT r, c, pow(10.0::DOUBLE, hv / 10) AS p FROM px), tg AS (SELECT r AS k, c AS j, r + ((r * 3 + c) % 4) / 4.0::DOUBLE AS y, c + ((r + c * 5) % 4) / 4.0::DOUBLE AS x FROM px WHERE r % 2 = 0),
+@query(f"""WITH px AS ({t.PIXELS}), po AS (SELECT r, c, pow(10.0::DOUBLE, hv / 10) AS p FROM px), tg AS (SELECT r AS k, c AS j, r + ((r * 3 + c) % 4) / 4.0::DOUBLE AS y, c + ((r + c * 5) % 4) / 4.0::DOUBLE AS x FROM px),
 f AS (SELECT k, j, y, x, floor(y)::INTEGER AS r0, floor(x)::INTEGER AS c0 FROM tg), n AS (SELECT k, j, sum(p * CASE WHEN a = 1 THEN y - r0 ELSE 1 - (y - r0) END * CASE WHEN b = 1 THEN x - c0 ELSE 1 - (x - c0) END) AS v, count(p) AS n
   FROM f CROSS JOIN (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) z(a, b)) LEFT JOIN po ON po.r = r0 + a AND po.c = c0 + b GROUP BY 1, 2)
 SELECT k, j, round(CASE WHEN n = 4 THEN 10 * log10(v) END, 5) AS value_db FROM n""")
@@ -160,7 +160,7 @@ def bilinear_gather(spark: SparkSession, d: str) -> DataFrame:
     px = grid.prepared(cells(spark, d), P)
     r, c = F.col("r"), F.col("c")
     # quarters of a cell, so that truncation of negative rows needs the same rule in both engines
-    targets = px.where("r % 2 = 0").select("g", r.alias("k"), c.alias("j"), (r + ((r * 3 + c) % 4) / 4.0).alias("y"), (c + ((r + c * 5) % 4) / 4.0).alias("x"))
+    targets = px.select("g", r.alias("k"), c.alias("j"), (r + ((r * 3 + c) % 4) / 4.0).alias("y"), (c + ((r + c * 5) % 4) / 4.0).alias("x"))
     return grid.bilinear(targets, px).select("k", "j", F.round(10 * F.log10("value"), 5).alias("value_db"))
 
 
