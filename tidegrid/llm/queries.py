@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, lm, media, mixing, packing, quality, simhash, substring, suffix, toxicity
+from . import html, lm, manifest, media, mixing, packing, quality, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op1_html_extraction": html.op1,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_mixing": mixing.op8,
     "op9_media_columns": media.op9,
     "op10_best_fit_packing": packing.op10,
+    "op12_merkle_manifest": manifest.op12,
 }
 
 ORACLE: dict[str, str] = {
     "op6_substring_dedup": substring.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
 }
