@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, lm, manifest, media, mixing, packing, quality, simhash, substring, suffix, toxicity
+from . import bpe, html, lm, manifest, media, mixing, packing, quality, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op1_html_extraction": html.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8,
     "op9_media_columns": media.op9,
     "op10_best_fit_packing": packing.op10,
+    "op11_bpe": bpe.op11,
     "op12_merkle_manifest": manifest.op12,
 }
 
