@@ -44,6 +44,9 @@ def test_merges(library):
     words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 60, 300]))) for _ in range(3000)] + ["a" * 5000, "ab" * 700]
     for w in words:
         assert v.merge(w.encode()) == library.encode(w, add_special_tokens=False).ids, w
+    coded = [w.encode() for w in words]
+    size, ids = v.merge_many(np.frombuffer(b"".join(coded), np.uint8), np.r_[0, np.cumsum([len(w) for w in coded])])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [v.merge(w) for w in coded]
 
 
 def test_transducer(tmp_path):

@@ -24,8 +24,10 @@ from . import core
 
 #: A word is frequent if it is at least this part of all words (and seen twice), so no more than LEXICON words are; longer words than LONGEST bytes never are.
 LEXICON, LONGEST = 1 << 17, 64
-#: Entries of a worker's table of counts, and of its memory of merged words, before it is emptied.
+#: Entries of a worker's table of counts before it is emptied.
 ENTRIES = 1 << 16
+#: The rank of pairs that don't merge.
+NEVER = np.int32((1 << 31) - 1)
 #: Characters that are taken at once; longer texts are cut at spaces, which no word and no composed character spans.
 CHUNK = 1 << 20
 #: Characters on which a test holds `regex` and `unicodedata` to be equal to the tokenizer's own normalizer and classes. Texts with others go through those.
@@ -51,6 +53,11 @@ class Vocabulary:
         chars = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.inner, self.last = [vocab[chars[b]] for b in range(256)], [vocab[chars[b] + self.end] for b in range(256)]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        pairs = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], order.astype(np.int32)
+        self.made = np.array([new for _, new in self.merges.values()], np.int32)
+        self.letters = np.array([self.inner, self.last], np.int32)
         tokens = [""] * (1 + max([*vocab.values(), *self.added.values()]))
         for token, i in (vocab | self.added).items():
             tokens[i] = token
@@ -91,6 +98,49 @@ class Vocabulary:
             ids[best[2] : best[2] + 2] = [best[1]]
         return ids
 
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, NEVER where they don't merge."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], NEVER)
+
+    def merge_many(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids in order: `merge` on all words at once, one pair of each in a step."""
+        size = np.diff(offs)
+        word, ids = np.arange(len(size)), self.letters[0][buf]
+        ids[offs[1:] - 1] = self.letters[1][buf[offs[1:] - 1]]
+        rank = np.append(self.rank(ids[:-1], ids[1:]), NEVER).astype(np.int32)
+        rank[offs[1:] - 1] = NEVER
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            first = np.cumsum(size) - size
+            best = np.minimum.reduceat(rank, first)
+            live = best < NEVER
+            if not live.all():
+                keep = np.repeat(live, size)
+                done.append((word[~live], size[~live], ids[~keep]))
+                word, size, best, ids, rank = word[live], size[live], best[live], ids[keep], rank[keep]
+                if not len(word):
+                    break
+            of = np.repeat(np.arange(len(word)), size)
+            hit = np.flatnonzero(rank == best[of])
+            at = hit[np.r_[True, of[hit[1:]] != of[hit[:-1]]]]  # the leftmost of each word
+            ids[at] = self.made[best]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            rank[at] = NEVER
+            more = at[np.append(of, -1)[at + 2] == of[at]]
+            rank[more] = self.rank(ids[more], ids[more + 2])
+            less = at[(at > 0) & (of[at - 1] == of[at])]
+            rank[less - 1] = self.rank(ids[less - 1], ids[less])
+            ids, rank, size = ids[keep], rank[keep], size - 1
+        if not done:
+            return size, ids
+        word, size, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word)
+        start = np.cumsum(size) - size
+        return size[order], ids[ragged(start[order], size[order])]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, merges = len(ids), self.merges
         after, before, live = [*range(1, n), -1], list(range(-1, n - 1)), [True] * n
@@ -284,7 +334,9 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON) -> str:
         v = vocabulary(path)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            yield pa.record_batch([pa.array(words, pa.binary()), pa.array([v.merge(w) for w in words], pa.list_(pa.int32()))], ["word", "ids"])
+            if words:
+                size, ids = v.merge_many(*core.column(batch.column(0)))
+                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(ids))], ["word", "ids"])
 
     frequent = counts.where(F.col("word").isNotNull() & (F.col("n") >= -(-total // most))).select("word").mapInArrow(run, "word binary, ids array<int>")
     entries = sorted((bytes(w), tuple(ids)) for w, ids in frequent.collect())
@@ -298,7 +350,7 @@ class Coder:
     """In a worker: words to ids by the lexicon, and by merging where it doesn't hold them."""
 
     def __init__(self, path: str, folder: str | None):
-        self.vocabulary, self.lexicon, self.merged = vocabulary(path), Lexicon(folder) if folder else None, {}
+        self.vocabulary, self.lexicon = vocabulary(path), Lexicon(folder) if folder else None
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in order, and how many each word has."""
@@ -309,28 +361,27 @@ class Coder:
             held, first, values = self.lexicon.find(buf, offs)
         else:
             held, first, values = np.zeros(len(own), bool), np.zeros(len(own) + 1, np.int64), np.zeros(0, np.int32)
-        size, start, more = np.diff(first), first[:-1].copy(), []
-        at = len(values)
-        for i in np.flatnonzero(~held):
-            got = self.merge(own[int(i)].as_py())
+        size, start, at = np.diff(first), first[:-1].copy(), len(values)
+        values, long = [values], (np.diff(offs) > LONGEST) & ~held
+        rest = np.flatnonzero(~held & ~long)
+        if self.vocabulary.added:
+            named = pc.is_in(own, value_set=pa.array(list(self.vocabulary.added))).to_numpy(zero_copy_only=False)
+            rest, long = rest[~named[rest]], long | named
+        if len(rest):
+            n = offs[rest + 1] - offs[rest]
+            size[rest], got = self.vocabulary.merge_many(buf[ragged(offs[rest], n)], np.r_[0, np.cumsum(n)])
+            start[rest] = at + np.cumsum(size[rest]) - size[rest]
+            values.append(got)
+            at += len(got)
+        for i in np.flatnonzero(long).tolist():
+            word = own[i].as_py()
+            got = [self.vocabulary.added[word]] if word in self.vocabulary.added else self.vocabulary.merge(word.encode())
             start[i], size[i] = at, len(got)
+            values.append(np.array(got, np.int32))
             at += len(got)
-            more += got
-        values = np.concatenate([values, np.array(more, np.int32)])
+        values = np.concatenate(values)
         return values[ragged(start[index], size[index])], size[index]
 
-    def merge(self, word: str) -> list[int]:
-        if word in self.vocabulary.added:
-            return [self.vocabulary.added[word]]
-        got = self.merged.get(word)
-        if got is None:
-            got = self.vocabulary.merge(word.encode())
-            if len(word) <= LONGEST:
-                if len(self.merged) >= ENTRIES:
-                    self.merged.clear()
-                self.merged[word] = got
-        return got
-
 
 def encode(docs: DataFrame, path: str, folder: str | None, decoded: bool = False, key: str = "doc_id") -> DataFrame:
     """(key, ids) of every text, and where `decoded` the text of those ids, tokens joined by one space as the library's decode gives it.
