@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, lm, manifest, media, mixing, packing, quality, simhash, substring, suffix, toxicity
+from . import alignment, bpe, html, lm, manifest, media, mixing, packing, quality, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op1_html_extraction": html.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10,
     "op11_bpe": bpe.op11,
     "op12_merkle_manifest": manifest.op12,
+    "op13_alignment": alignment.op13,
 }
 
 ORACLE: dict[str, str] = {
