@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid import params
 from tidegrid.functions import spatial
-from tidegrid.operators import evaluate, graph, grid, ledgers, matching, screen
+from tidegrid.operators import evaluate, graph, grid, ledgers, matching, records, screen
 from tidegrid.sources import text
 
 
@@ -172,6 +172,43 @@ def test_smallest_labels_of_a_long_chain(spark):
     assert got == {(0, i): 0 for i in range(71)} | {(1, 4): 4, (1, 5): 4}
 
 
+@pytest.mark.parametrize("ids", ["shuffled", "ascending"])
+def test_components_of_long_chains_and_hubs(spark, ids):
+    """A path of 5 000 nodes, a hub of 3 000 and a pair: few rounds, whatever the order of the ids."""
+    n = list(range(5000))
+    if ids == "shuffled":
+        random.Random(7).shuffle(n)
+    pairs = list(zip(n, n[1:])) + [(10_000, 10_000 + i) for i in range(1, 3000)] + [(20_001, 20_000), (20_001, 20_001), (5, None), (30_000, 30_000)]
+    rounds = []
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), rounds).collect()}
+    assert got == {i: 0 for i in n} | {10_000 + i: 10_000 for i in range(3000)} | {20_000: 20_000, 20_001: 20_000}
+    assert len(rounds) <= 20 and rounds[-1] == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_supporting_observations_against_all_pairs(spark):
+    """Poles, the date line and wide distances: the same counts as all with all."""
+    rng = random.Random(8)
+    place = lambda: (rng.choice([rng.uniform(-180, 180), rng.uniform(179, 181) - 360 * (rng.random() < 0.5), 180.0, -180.0]), rng.choice([rng.uniform(-90, 90), rng.uniform(84, 90), 90.0, -90.0]))
+    marks = [(i, float(rng.randint(0, 50_000)), *place()) for i in range(150)]
+    seen = [(i, float(rng.randint(0, 50_000)), *place()) for i in range(200)]
+    m, o = spark.createDataFrame(marks, "mark long, t double, lon double, lat double"), spark.createDataFrame(seen, "obs long, t double, lon double, lat double")
+    for metres in (50_000.0, 600_000.0, 3_000_000.0):
+        got = {r.mark: (r.n, r.nearest_m) for r in records.supported(m, o, metres=metres).collect()}
+        want = {}
+        for i, t, lon, lat in marks:
+            far = [d for _, t2, lon2, lat2 in seen if abs(t - t2) <= 21_600 and (d := sphere(lon, lat, lon2, lat2)) <= metres]
+            if far:
+                want[i] = (len(far), pytest.approx(min(far), abs=1e-3))
+        assert got == want
+
+
+def sphere(lon1, lat1, lon2, lat2):
+    lon1, lat1, lon2, lat2 = map(math.radians, (lon1, lat1, lon2, lat2))
+    a = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+    return 2 * spatial.EARTH_M * math.asin(math.sqrt(min(1.0, a)))
+
+
 def test_sightings_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Sighting Date,SIGHTING_TIME,sighting_latitude,Sighting_Longitude,Source\n10/1/2020,21:33,48.5,52.1,AIR\n2020-10-02,45,47,-51,SHIP\nbad,1,47,-51,X\n2020-10-03,1200,10,-51,X\n")
     got = text.read_sightings(spark, f"{tmp_path}/a.csv").orderBy("day").collect()

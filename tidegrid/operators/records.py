@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.spatial import haversine
-from tidegrid.operators.graph import kept
+from tidegrid.operators.graph import components
 
 DAY = 86400
 
@@ -40,31 +41,37 @@ def record_links(records: DataFrame, seconds: float = 7 * DAY, metres: float = 1
 
 
 def grouped(records: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, group_id): the smallest id that links reach, by rounds of smallest labels with pointer jumping."""
-    both = kept(links.union(links.select("b", "a")).distinct())
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")))
-    moving = True
-    while moving:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = kept(step.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"))
-        moving = not step.where("label <> old").isEmpty()
-        labels = step.select("node", "label")
+    """(id, group_id): the smallest id that links reach."""
+    labels = components(links)
     return records.select("id").join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("group_id"))
 
 
 def supported(marks: DataFrame, seen: DataFrame, seconds: float = 6 * 3600, metres: float = 50_000.0) -> DataFrame:
     """(mark, n, nearest_m) of marks (mark, t, lon, lat) with observations (obs, t, lon, lat) within that time and distance.
 
-    They meet in cells of time and latitude; a degree of latitude has at least 110 km everywhere.
+    They meet in cells of time, latitude and longitude. A degree of latitude has at least 110 km everywhere; a band's
+    cells of longitude are as wide as the distance is at the end of the bands next to it that is nearer to a pole,
+    and their numbers wrap at 180 degrees. A band within reach of a pole is one cell.
     """
     tall = metres / 110_000.0
-    around = F.array(*(F.struct((F.floor(F.col("t") / seconds) + i).alias("kt"), (F.floor(F.col("lat") / tall) + j).alias("ky")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    o = seen.select(F.col("t").alias("to"), F.col("lon").alias("lon_o"), F.col("lat").alias("lat_o"), F.explode(around).alias("k")).select("to", "lon_o", "lat_o", "k.*")
-    m = marks.withColumn("kt", F.floor(F.col("t") / seconds)).withColumn("ky", F.floor(F.col("lat") / tall))
+    band = lambda lat: F.floor(lat / tall)
+
+    def cells(ky: Column) -> Column:
+        """How many cells of longitude a band has: equal for a mark's band, whatever band an observation is in."""
+        outer = (F.greatest(F.abs(ky - 1), F.abs(ky + 2)) * tall).cast("double")
+        wide = 2 * F.asin(F.least(math.sin(math.radians(tall / 2)) / F.cos(F.radians(outer)), F.lit(1.0)))
+        return F.when(outer >= 89.0, F.lit(1)).otherwise(F.floor(2 * math.pi / wide)).cast("long")
+
+    place = lambda lon, n: F.least(F.floor((F.pmod(lon + 180.0, F.lit(360.0))) / 360.0 * n), n - 1)
+    o = seen.select(F.col("t").alias("to"), F.col("lon").alias("lon_o"), F.col("lat").alias("lat_o"))
+    steps = F.array(*(F.struct((F.floor(F.col("to") / seconds) + i).alias("kt"), (band(F.col("lat_o")) + j).alias("ky")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    o = o.select("*", F.explode(steps).alias("k")).select("to", "lon_o", "lat_o", "k.*").withColumn("n_cells", cells(F.col("ky")))
+    own = place(F.col("lon_o"), F.col("n_cells"))
+    o = o.withColumn("kx", F.explode(F.array_distinct(F.array(*(F.pmod(own + i, F.col("n_cells")) for i in (-1, 0, 1)))))).drop("n_cells")
+    m = marks.withColumn("kt", F.floor(F.col("t") / seconds)).withColumn("ky", band(F.col("lat")))
+    m = m.withColumn("kx", place(F.col("lon"), cells(F.col("ky"))))
     far = haversine(F.col("lon"), F.col("lat"), F.col("lon_o"), F.col("lat_o"))
-    rows = m.join(o, ["kt", "ky"]).where(F.abs(F.col("t") - F.col("to")) <= seconds).withColumn("far", far).where(F.col("far") <= metres)
+    rows = m.join(o, ["kt", "ky", "kx"]).where(F.abs(F.col("t") - F.col("to")) <= seconds).withColumn("far", far).where(F.col("far") <= metres)
     return rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("nearest_m"))
 
 
