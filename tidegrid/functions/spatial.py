@@ -125,3 +125,14 @@ def clip_convex(subject: list[tuple[float, float]], clip: list[tuple[float, floa
                 k = sp / (sp - sq)
                 out.append((p[0] + k * (q[0] - p[0]), p[1] + k * (q[1] - p[1])))
     return out
+
+
+def conic_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of planar metres; the latitude by six fixed steps, which is exact to a double here."""
+    n, f, rho0, e = conic_constants()
+    rho, theta = F.hypot(x, rho0 - y), F.atan2(x, rho0 - y)
+    t = F.pow(rho / (MAJOR_M * f), F.lit(1 / n))
+    p = math.pi / 2 - 2 * F.atan(t)
+    for _ in range(6):
+        p = math.pi / 2 - 2 * F.atan(t * F.exp(-e * F.atanh(e * F.sin(p))))
+    return F.degrees(theta / n) + CONIC["lon"], F.degrees(p)

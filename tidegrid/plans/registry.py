@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohorts, evidence, grids, records, screening, selections
+from . import cohorts, evidence, geometry, grids, records, screening, selections
 from .catalogue import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "cohorts", "evidence", "grids", "records", "screening", "selections"]
+__all__ = ["ORACLE", "QUERIES", "cohorts", "evidence", "geometry", "grids", "records", "screening", "selections"]
