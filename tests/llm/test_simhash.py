@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 
 from tests.llm import brute
 from tidegrid.llm import core, simhash
 from tidegrid.llm.components import components
+from tidegrid.operators import graph
 
 
 def test_codewords_meet_at_one_bit():
@@ -25,6 +28,14 @@ def test_keys_meet_at_three_bits():
         assert {w for w, _ in both} == set(range(len(x)))
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    n = list(range(5000))
+    random.Random(1).shuffle(n)
+    rounds = []
+    got = graph.components(spark.createDataFrame(list(zip(n, n[1:], strict=False)), "a long, b long"), rounds)
+    assert got.count() == 5000 and got.where("label <> 0").count() == 0 and len(rounds) <= 20
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(-5, 40)] + [(100, 99), (99, 100), (98, 100)], "a long, b long")
     assert dict(map(tuple, components(links).collect())) == {i: -5 for i in range(-5, 41)} | {98: 98, 99: 98, 100: 98}

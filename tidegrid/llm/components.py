@@ -1,39 +1,16 @@
-"""Connected components of link tables, by smallest labels with pointer jumping."""
+"""Connected components of link tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from . import core
+from tidegrid.operators import graph
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b); label is the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours and then its label's label, so rounds grow with the
-    logarithm of a chain's length. Rounds are tables in the shared folder, each read by the next and then removed; only
-    a count reaches the driver. They are tables and not checkpoints because a checkpoint hands the optimizer what it
-    knows of equal columns, which doubles with each round of joins.
+    By the library's random contraction, whose rounds grow with the logarithm of the nodes, on long chains too, and are
+    tables in the shared folder.
     """
-    spark = links.sparkSession
-    at = f"{core.shared_dir(spark)}/components-{uuid.uuid4().hex}"
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{at}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
-
-    both = written(links.select("a", "b").union(links.selectExpr("b AS a", "a AS b")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "0")
-    k, moving = 0, True
-    while moving:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
-        step = written(step.select("node", F.least("label", "next").alias("label"), "old"), str(k + 1))
-        core.remove(spark, f"{at}/{k}")
-        labels, k, moving = step.select("node", "label"), k + 1, not step.where("label <> old").isEmpty()
-    core.remove(spark, f"{at}/links")
-    return labels
+    return graph.components(links)
