@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -6,7 +7,7 @@ import pytest
 
 from tidegrid import params
 from tidegrid.functions import spatial
-from tidegrid.operators import grid, polygons, tiles
+from tidegrid.operators import areas, grid, polygons, tiles
 
 
 def scene(rng, rows=87, cols=103):
@@ -145,3 +146,52 @@ def test_inverse_projection(spark):
     lon, lat = spatial.conic_inverse(F.col("x"), F.col("y"))
     for r in frame.select("lon", "lat", x.alias("x"), y.alias("y")).select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
         assert r.a == pytest.approx(r.lon, abs=1e-9) and r.b == pytest.approx(r.lat, abs=1e-9)
+
+
+def convex(rng, x, y, r):
+    at = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randint(3, 7)))
+    return [(x + r * math.cos(a), y + r * math.sin(a)) for a in at]
+
+
+@pytest.mark.parametrize("cell", [2.0, 5.0, 300.0])
+def test_areas_against_clipping(spark, cell):
+    """Unions by inclusion and exclusion of clipped rings; polygons with holes as differences; copies count once."""
+    rng = random.Random(15)
+    polys = {k: v for k, v in shapes(rng).items() if k in (0, 1, 2, 20, 22)}
+    prints = {g: [convex(rng, rng.uniform(-12, 12), rng.uniform(-12, 12), rng.uniform(1, 14)) for _ in range(rng.randint(1, 4))] for g in range(6)}
+    prints[6] = [[(-30.0, -30.0), (30.0, -30.0), (30.0, 30.0), (-30.0, 30.0)]]
+    prints[7] = [[(200.0, 200.0), (201.0, 200.0), (201.0, 201.0)]]
+
+    def inside(ring, sets):
+        for s in sets:
+            ring = spatial.clip_convex(ring, s) if ring else []
+        return spatial.shoelace(ring) if ring else 0.0
+
+    want = {}
+    for g, own in prints.items():
+        for k, rings in polys.items():
+            signs = (1, -1, 1) if k == 20 else (1,)
+            area = sum((-1) ** (n + 1) * sum(sign * inside(ring, some) for sign, ring in zip(signs, rings, strict=True)) for n in range(1, len(own) + 1) for some in itertools.combinations(own, n))
+            if area > 1e-9:
+                want[g, k] = pytest.approx(area, rel=1e-6, abs=1e-6)
+    rows = [(g, [{"x": float(x), "y": float(y)} for x, y in r]) for g, own in prints.items() for r in own for _ in range(2)]
+    feet = spark.createDataFrame(rows, "id long, ring array<struct<x:double,y:double>>")
+    got = {(r.id, r.poly): r.area for r in areas.covered(feet, polygons.index(polygons.edges(frame(spark, polys)), cell), cell).collect() if r.area > 1e-9}
+    assert got == want and len(want) > 20
+
+
+def test_many_footprints_in_one_cell():
+    """More footprints than one sweep takes are halved; a footprint over the whole box makes the others needless."""
+    rng = random.Random(16)
+    rings = [np.array(convex(rng, rng.uniform(2, 8), rng.uniform(2, 8), rng.uniform(0.2, 1.5))) for _ in range(90)]
+    none = np.zeros((0, 4))
+    box = (0.0, 0.0, 10.0, 10.0)
+    got = areas.swept(rings, none, True, (0.0, 0.0), box)
+    at = np.random.default_rng(1).uniform(0, 10, (40_000, 2))
+    hit = np.zeros(len(at), bool)
+    for r in rings:
+        d = np.roll(r, -1, 0) - r
+        hit |= ((d[:, 0] * (at[:, None, 1] - r[:, 1]) - d[:, 1] * (at[:, None, 0] - r[:, 0])) >= 0).all(axis=1)
+    assert got == pytest.approx(hit.mean() * 100, abs=1.0)
+    assert areas.swept([*rings, np.array([(-1, -1), (20, -1), (20, 20), (-1, 20)])], none, True, (0.0, 0.0), box) == pytest.approx(100)
+    assert areas.swept(rings, none, False, (0.0, 0.0), box) == 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import spatial
-from tidegrid.operators import brackets, cuts, grid, polygons, tiles
+from tidegrid.operators import areas, brackets, cuts, grid, polygons, tiles
 
 from . import stand_ins as t
 from .catalogue import query
@@ -184,3 +186,68 @@ def window_copy(spark: SparkSession, d: str) -> DataFrame:
     w = t.table(spark, d, "part").select(F.lit(0).cast("long").alias("g"), F.col("p_partkey").alias("part"), a.alias("r0"), b.alias("c0"), (a + s).alias("r1"), (b + s).alias("c1"))
     rows = cuts.cut(px, cuts.clipped(w, extent).where("NOT too_large"), {"hv": F.col("hv")}, "part", tile=8, whole=False)
     return rows.select("part", "r0", "c0", "r1", "c1", "n", "complete", F.round(F.array_max("hv"), 6).alias("peak"))
+
+
+#: The area that footprints are measured in, in degrees; and cells of the index, in equal-area metres.
+STUDY = (-58.0, 44.0, -46.0, 58.0)
+EQUAL = 300_000.0
+E2 = spatial.FLATTENING * (2 - spatial.FLATTENING)
+SCALE = spatial.MAJOR_M * math.cos(math.radians(30)) / math.sqrt(1 - E2 * 0.25)
+
+
+def _equal(lon: str, lat: str) -> tuple[str, str]:
+    s = f"sin(radians({lat}))"
+    q = f"({1 - E2!r}::DOUBLE * ({s} / (1 - {E2!r}::DOUBLE * {s} * {s}) - ln((1 - {E!r}::DOUBLE * {s}) / (1 + {E!r}::DOUBLE * {s})) / {2 * E!r}::DOUBLE))"
+    return f"{SCALE!r}::DOUBLE * radians({lon})", f"{spatial.MAJOR_M ** 2 / (2 * SCALE)!r}::DOUBLE * {q}"
+
+
+HALF = "(1 + site % 3) * 0.7::DOUBLE"
+PRINTS = f"SELECT site, nation, {_equal(f'lon - {HALF}', '0')[0]} AS x0, {_equal('0', f'lat - {HALF}')[1]} AS y0, {_equal(f'lon + {HALF}', '0')[0]} AS x1, {_equal('0', f'lat + {HALF}')[1]} AS y1 FROM p"
+CLIPPED = f"a AS (SELECT {_equal(str(STUDY[0]), '0')[0]} AS ax0, {_equal('0', str(STUDY[1]))[1]} AS ay0, {_equal(str(STUDY[2]), '0')[0]} AS ax1, {_equal('0', str(STUDY[3]))[1]} AS ay1)"
+
+
+def footprints(spark: SparkSession, d: str) -> DataFrame:
+    """A box around every site as a ring in equal-area metres."""
+    half = (1 + F.col("site") % 3) * 0.7
+    corners = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    place = [spatial.equal_area(F.col("lon") + a * half, F.col("lat") + b * half) for a, b in corners]
+    return t.sites(spark, d).select("site", "nation", F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in place)).alias("ring"))
+
+
+def study_index(spark: SparkSession) -> DataFrame:
+    x0, y0, x1, y1 = STUDY
+    x, y = spatial.equal_area(F.col("x"), F.col("y"))
+    v = spark.createDataFrame([(0, 0, i, a, b) for i, (a, b) in enumerate(((x0, y0), (x1, y0), (x1, y1), (x0, y1)))], "poly long, ring int, seq int, x double, y double")
+    return polygons.index(polygons.edges(v.select("poly", "ring", "seq", x.alias("x"), y.alias("y"))), EQUAL)
+
+
+@query(f"""WITH p AS ({t.SITES}), f AS ({PRINTS}), {CLIPPED}, k AS (SELECT nation::VARCHAR AS kind, * FROM f UNION ALL SELECT 'all', * FROM f),
+z AS (SELECT DISTINCT kind, greatest(x0, ax0) AS x0, greatest(y0, ay0) AS y0, least(x1, ax1) AS x1, least(y1, ay1) AS y1 FROM k, a WHERE x0 < ax1 AND x1 > ax0 AND y0 < ay1 AND y1 > ay0),
+c AS (SELECT kind, x0 AS x FROM z UNION SELECT kind, x1 FROM z), s AS (SELECT kind, x AS a, lead(x) OVER (PARTITION BY kind ORDER BY x) AS b FROM c),
+i AS (SELECT s.kind, a, b, y0, y1, max(y1) OVER (PARTITION BY s.kind, a ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s JOIN z ON z.kind = s.kind AND z.x0 <= a AND z.x1 >= b WHERE b IS NOT NULL),
+u AS (SELECT kind, sum((b - a) * greatest(0, y1 - greatest(y0, coalesce(top, y0)))) / 1e6 AS km2 FROM i GROUP BY 1), n AS (SELECT kind, count(*) AS n_footprints FROM k GROUP BY 1)
+SELECT kind, n_footprints, round(coalesce(km2, 0), 2) AS union_km2 FROM n LEFT JOIN u USING (kind)""")
+def coverage_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Footprints clipped to the study area and united, for each nation and for all: what was acquired, once."""
+    f = footprints(spark, d)
+    kinds = f.select(F.explode(F.array(F.col("nation").cast("string"), F.lit("all"))).alias("kind"), "ring")
+    got = areas.covered(kinds, study_index(spark), EQUAL, "kind")
+    n = kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n_footprints"))
+    return n.join(got, "kind", "left").select("kind", "n_footprints", F.round(F.coalesce(F.col("area") / 1e6, F.lit(0.0)), 2).alias("union_km2"))
+
+
+@query(f"""WITH p AS ({t.SITES}), f AS ({PRINTS}), {CLIPPED}, o AS (SELECT site, (x1 - x0) * (y1 - y0) AS own, greatest(0, least(x1, ax1) - greatest(x0, ax0)) * greatest(0, least(y1, ay1) - greatest(y0, ay0)) AS part, nation FROM f, a),
+i AS (SELECT l_suppkey AS site, l_shipdate, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS k FROM lineitem),
+h AS (SELECT DISTINCT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))
+SELECT i.site, l_partkey AS item, round(part / own, 6) AS fraction, CASE WHEN n_nationkey IS NULL THEN 'candidate' ELSE 'held out' END AS status FROM i JOIN o USING (site) LEFT JOIN h ON nation = n_nationkey WHERE k = 1 AND part > 0""")
+def catalogue_fractions(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue items as first seen over all pages, those that overlap the study area with their fraction; held-out ones are listed, not dropped."""
+    pages = t.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_partkey").alias("item"))
+    seen = areas.first_seen(pages, "site", "l_shipdate", "l_orderkey", "l_linenumber")
+    f = footprints(spark, d)
+    part = areas.covered(f.select("site", "ring"), study_index(spark), EQUAL, "site")
+    n, r = t.table(spark, d, "nation"), t.table(spark, d, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))
+    held = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nation"))
+    rows = seen.join(f, "site").join(part, "site").withColumn("fraction", F.round(F.col("area") / areas.ring_area(F.col("ring")), 6))
+    free = rows.join(held, "nation", "left_anti").withColumn("status", F.lit("candidate"))
+    return free.unionByName(rows.join(held, "nation", "left_semi").withColumn("status", F.lit("held out")).select(*free.columns)).select("site", "item", "fraction", "status")
