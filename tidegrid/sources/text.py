@@ -52,13 +52,27 @@ def vectors(files: DataFrame, item: str, fields: dict[str, str]) -> DataFrame:
     fields: XPath of line, pixel and value inside the item. Unequal lengths are an error.
     """
     count = F.xpath_int("xml", F.lit(f"count({item})"))
-    rows = files.select("file", "xml", F.explode(F.sequence(F.lit(1), count)).alias("i")).where("i > 0")
+    rows = files.select("file", "xml", F.explode(F.when(count > 0, F.sequence(F.lit(1), count))).alias("i"))
     value = lambda k: F.split(F.trim(F.element_at(F.expr(f"xpath(xml, '{item}/{fields[k]}/text()')"), F.col("i"))), r"\s+")
     rows = rows.select("file", value("line")[0].cast("int").alias("line"), value("pixel").alias("p"), value("value").alias("v"))
     rows = rows.withColumn("v", F.when(F.size("p") == F.size("v"), F.col("v")).otherwise(F.raise_error(F.lit("pixels and values of unequal length"))))
     return rows.select("file", "line", F.inline(F.arrays_zip("p", "v"))).select("file", "line", F.col("p").cast("int").alias("pixel"), F.col("v").cast("double").alias("value"))
 
 
+def first_vectors(files: DataFrame, choices: list[tuple[str, dict[str, str]]]) -> DataFrame:
+    """(file, line, pixel, value) by the first of `choices` (item, fields) that finds vectors in a file: newer tags before legacy ones."""
+    found = None
+    for item, fields in choices:
+        rows = vectors(files, item, fields)
+        found = rows if found is None else found.unionByName(rows.join(found.select("file").distinct(), "file", "left_anti"))
+    return found
+
+
+#: Element names of range noise, newer before legacy, and of calibration.
+NOISE = [("//noiseRangeVector", {"line": "line", "pixel": "pixel", "value": "noiseRangeLut"}), ("//noiseVector", {"line": "line", "pixel": "pixel", "value": "noiseLut"})]
+CALIBRATION = ("//calibrationVector", {"line": "line", "pixel": "pixel", "value": "sigmaNought"})
+
+
 def orbit_names(files: DataFrame, name: str = "name") -> DataFrame:
     """Fields of orbit file names: platform, kind, generated, begins, ends; names of another form have nulls."""
     pattern = r"^(S1[A-D])_OPER_AUX_(POEORB|RESORB)_OPOD_(\d{8}T\d{6})_V(\d{8}T\d{6})_(\d{8}T\d{6})"
