@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators import grid, ledgers, screen
+from tidegrid.operators import grid, ledgers, screen, tiles
 from tidegrid.params import Gates, Window
 
 
@@ -16,7 +16,7 @@ def detect(cells: DataFrame, p: Window | None = None, gates: Gates | None = None
     p = p or Window()
     if kind not in ("gamma", "cell_averaging"):
         raise ValueError(f"no detector is called {kind}")
-    trained = ledgers_kept(grid.training(cells, p))
+    trained = ledgers_kept(tiles.training(grid.densify(cells), p))
     rows = grid.veto({"gamma": grid.gamma_threshold, "cell_averaging": grid.cell_averaging}[kind](trained, p))
     rows = ledgers_kept(rows.withColumn("clutter", 10 * F.log10(F.greatest("mean", F.lit(1e-12)))))
     labels = grid.label_components(rows.where("hit"))

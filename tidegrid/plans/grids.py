@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators import grid
+from tidegrid.operators import grid, tiles
 from tidegrid.params import Window
 
 from . import stand_ins as t
@@ -54,7 +54,7 @@ def training_support(spark: SparkSession, d: str) -> DataFrame:
 SELECT r, c, round(10 * log10(greatest(threshold, 1e-12)), 5) AS threshold_db, round(CASE WHEN threshold > 0 THEN power / threshold ELSE 0 END, 5) AS snr FROM th
 WHERE power > threshold AND power IS NOT NULL AND n >= {P.needed(8)} AND coalesce(hh > -90 AND hh - hv <= 20, false)""")
 def ca_cfar_hits(spark: SparkSession, d: str) -> DataFrame:
-    rows = grid.veto(grid.cell_averaging(grid.training(cells(spark, d), P), P)).where("hit")
+    rows = grid.veto(grid.cell_averaging(tiles.training(cells(spark, d), P), P)).where("hit")
     return rows.select("r", "c", F.round(10 * F.log10(F.greatest("threshold", F.lit(1e-12))), 5).alias("threshold_db"), F.round(F.when(F.col("threshold") > 0, F.col("power") / F.col("threshold")).otherwise(0.0), 5).alias("snr"))
 
 
@@ -67,7 +67,7 @@ a AS (SELECT v.*, k.q AS tab, (ln(shape) - l0) / step AS pos, greatest(0, least(
 th AS (SELECT *, mean / shape * (tab[i + 1] + (tab[i + 2] - tab[i + 1]) * (pos - i)) AS threshold FROM a)
 SELECT r, c, round(shape, 4) AS shape, round(threshold, 6) AS threshold FROM th WHERE power > threshold AND n >= {P.needed(12)}""")
 def gamma_cfar_hits(spark: SparkSession, d: str) -> DataFrame:
-    rows = grid.gamma_threshold(grid.training(cells(spark, d), P), P).where("hit")
+    rows = grid.gamma_threshold(tiles.training(cells(spark, d), P), P).where("hit")
     return rows.select("r", "c", F.round("shape", 4).alias("shape"), F.round("threshold", 6).alias("threshold"))
 
 
@@ -106,13 +106,12 @@ def mask_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     px = cells(spark, d)
-    # the scan order of labels needs rows from 0 on
-    bright = px.where("hv > -10.9 AND r >= 0")
+    bright = px.where("hv > -10.9")
     return grid.label_components(bright).join(bright, ["g", "r", "c"])
 
 
 LABELLED = f"""
-px AS ({t.PIXELS}), b AS (SELECT r, c, hv, hh, r::BIGINT * 1048576 + c AS code FROM px WHERE hv > -10.9 AND r >= 0),
+px AS ({t.PIXELS}), b AS (SELECT r, c, hv, hh, r::BIGINT * 1048576 + c AS code FROM px WHERE hv > -10.9),
 e AS (SELECT x.code AS a, y.code AS z FROM b x JOIN b y ON abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1),
 w(code, label) AS (SELECT code, code FROM b UNION SELECT e.z, w.label FROM w JOIN e ON e.a = w.code WHERE w.label < e.z), lab AS (SELECT code, min(label) AS label FROM w GROUP BY 1)"""
 
@@ -219,22 +218,22 @@ def matched_power(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n", F.round("p", 6).alias("p95"), F.round("a", 6).alias("mae"), "sign_mismatch", ((F.col("n") >= 4096) & (F.col("p") <= 0.02)).alias("passed"))
 
 
-@query(f"WITH px AS ({t.PIXELS}), a AS (SELECT r, c, abs(r * 3 + c) % 4 AS k, round(hv) AS v FROM px WHERE c % 17 > 0), b AS (SELECT r, c, abs(r + c * 2) % 4 AS k, round(hh) AS v FROM px WHERE c % 13 > 0) SELECT a.k AS a_class, b.k AS b_class, count(*) AS n, count(*) FILTER (WHERE a.v = b.v) AS equal FROM a JOIN b USING (r, c) GROUP BY 1, 2")
+@query(f"WITH px AS ({t.PIXELS}), a AS (SELECT r, c, abs(r * 3 + c) % 4 AS k, round(hv) AS v FROM px), b AS (SELECT r, c, abs(r + c * 2) % 4 AS k, round(hh) AS v FROM px) SELECT a.k AS a_class, b.k AS b_class, count(*) AS n, count(*) FILTER (WHERE a.v = b.v) AS equal FROM a JOIN b USING (r, c) GROUP BY 1, 2")
 def band_compare(spark: SparkSession, d: str) -> DataFrame:
     px = cells(spark, d)
-    a = px.where("c % 17 > 0").select("r", "c", (F.abs(F.col("r") * 3 + F.col("c")) % 4).alias("a_class"), F.round("hv").alias("va"))
-    b = px.where("c % 13 > 0").select("r", "c", (F.abs(F.col("r") + F.col("c") * 2) % 4).alias("b_class"), F.round("hh").alias("vb"))
+    a = px.select("r", "c", (F.abs(F.col("r") * 3 + F.col("c")) % 4).alias("a_class"), F.round("hv").alias("va"))
+    b = px.select("r", "c", (F.abs(F.col("r") + F.col("c") * 2) % 4).alias("b_class"), F.round("hh").alias("vb"))
     return a.join(b, ["r", "c"]).groupBy("a_class", "b_class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("va") == F.col("vb")).alias("equal"))
 
 
-@query(f"""WITH px AS ({t.PIXELS}), core AS (SELECT o_orderkey % 300 AS r0, o_custkey % 45 AS c0 FROM orders WHERE o_orderkey % 97 = 0), cut AS (SELECT o_orderkey % 300 AS r0, o_custkey % 45 AS c0 FROM orders WHERE o_orderkey % 89 = 0)
+@query(f"""WITH px AS ({t.PIXELS}), core AS (SELECT o_orderkey % 300 AS r0, o_custkey % 45 AS c0 FROM orders WHERE o_orderstatus = 'P'), cut AS (SELECT o_orderkey % 300 AS r0, o_custkey % 45 AS c0 FROM orders WHERE o_orderstatus = 'P' AND o_totalprice >= 200000)
 SELECT r, c FROM px WHERE EXISTS (SELECT 1 FROM core WHERE r BETWEEN r0 AND r0 + 5 AND c BETWEEN c0 AND c0 + 5) AND NOT EXISTS (SELECT 1 FROM cut WHERE r BETWEEN r0 AND r0 + 2 AND c BETWEEN c0 AND c0 + 2)""")
 def coverage_masks(spark: SparkSession, d: str) -> DataFrame:
     """Cells in any completed core and in no excluded rectangle: rectangles become cells, then semi and anti joins."""
-    o = t.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 300).cast("int").alias("r0"), (F.col("o_custkey") % 45).cast("int").alias("c0"))
+    o = t.table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_totalprice", (F.col("o_orderkey") % 300).cast("int").alias("r0"), (F.col("o_custkey") % 45).cast("int").alias("c0"))
 
     def covered(rects: DataFrame, k: int) -> DataFrame:
         return rects.select(F.explode(F.sequence("r0", F.col("r0") + k)).alias("r"), "c0").select("r", F.explode(F.sequence("c0", F.col("c0") + k)).alias("c")).distinct()
 
     px = cells(spark, d).select("r", "c")
-    return px.join(covered(o.where("o_orderkey % 97 = 0"), 5), ["r", "c"], "left_semi").join(covered(o.where("o_orderkey % 89 = 0"), 2), ["r", "c"], "left_anti")
+    return px.join(covered(o, 5), ["r", "c"], "left_semi").join(covered(o.where("o_totalprice >= 200000"), 2), ["r", "c"], "left_anti")

@@ -126,9 +126,9 @@ def review_display(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "n_reviews", scalars.mapped(F.col("verdict"), scalars.DISPLAY, "unclassified").alias("display_class"))
 
 
-@query(f"""WITH c AS ({t.CANDIDATES}), p AS ({t.SITES}) SELECT target_id, '{{"type":"Feature","id":' || target_id || ',"geometry":' || CASE WHEN lon IS NULL THEN 'null' ELSE '{{"type":"Point","site":' || supp || '}}' END || ',"properties":{{"scene_id":' || scene_id || ',"pixel_area":' || pixel_area || ',"confidence_kind":"uncalibrated_detector_score"}}}}' AS feature FROM c LEFT JOIN p ON supp = site WHERE pixel_area >= 48""")
+@query(f"""WITH c AS ({t.CANDIDATES}), p AS ({t.SITES}) SELECT target_id, '{{"type":"Feature","id":' || target_id || ',"geometry":' || CASE WHEN lon IS NULL THEN 'null' ELSE '{{"type":"Point","site":' || supp || '}}' END || ',"properties":{{"scene_id":' || scene_id || ',"pixel_area":' || pixel_area || ',"confidence_kind":"uncalibrated_detector_score"}}}}' AS feature FROM c LEFT JOIN p ON supp = site""")
 def detection_geojson(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.candidates(spark, d).where("pixel_area >= 48").join(t.sites(spark, d), F.col("supp") == F.col("site"), "left")
+    rows = t.candidates(spark, d).join(t.sites(spark, d), F.col("supp") == F.col("site"), "left")
     geometry = F.when(F.col("lon").isNotNull(), F.struct(F.lit("Point").alias("type"), F.col("supp").alias("site")))
     properties = F.struct("scene_id", "pixel_area", F.lit("uncalibrated_detector_score").alias("confidence_kind"))
     return rows.select("target_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("target_id").alias("id"), geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"}).alias("feature"))

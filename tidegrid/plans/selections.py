@@ -6,30 +6,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import scalars
-from tidegrid.operators import grid, screen
+from tidegrid.operators import grid, screen, tiles
 
 from . import grids
 from . import stand_ins as t
 from .catalogue import query
 
 
-@query(f"""WITH {grids.DENSE}, ch AS (SELECT r // 8 AS i, c // 8 AS j, count(power) AS known, count(*) AS cells, count(*) FILTER (WHERE (r + c) % 13 <= 10) AS charted FROM dense WHERE r >= 0 GROUP BY 1, 2),
+@query(f"""WITH {grids.DENSE}, ch AS (SELECT CAST(floor(r / 8.0) AS INTEGER) AS i, CAST(floor(c / 8.0) AS INTEGER) AS j, count(power) AS known, count(*) AS cells, count(*) FILTER (WHERE (r + c) % 13 <= 10) AS charted FROM dense GROUP BY 1, 2),
 e AS (SELECT *, sha256('5|' || i || '|' || j) AS rank FROM ch WHERE cells = 64 AND known >= 48), k AS (SELECT *, row_number() OVER (ORDER BY rank) AS n FROM e) SELECT i, j, known, charted FROM k WHERE n <= 60""")
 def chip_selection(spark: SparkSession, d: str) -> DataFrame:
     """Whole chips with enough known cells, by hash rank, up to a cap for each scene."""
-    rows = grid.prepared(grid.densify(grids.cells(spark, d)), grids.P).where("r >= 0")
+    rows = grid.prepared(grid.densify(grids.cells(spark, d)), grids.P)
     chips = rows.groupBy("g", F.floor(F.col("r") / 8).cast("int").alias("i"), F.floor(F.col("c") / 8).cast("int").alias("j"))
     e = chips.agg(F.count("power").alias("known"), F.count(F.lit(1)).alias("cells"), F.count_if((F.col("r") + F.col("c")) % 13 <= 10).alias("charted")).where("cells = 64 AND known >= 48")
     n = F.row_number().over(Window.partitionBy("g").orderBy(scalars.hashed(F.lit(5), F.col("i"), F.col("j"))))
     return e.withColumn("n", n).where("n <= 60").select("i", "j", "known", "charted")
 
 
-@query(f"WITH px AS ({t.PIXELS}) SELECT r, c, round((greatest(-60, least(10, hv)) + 25.5) / 10, 6) AS hv_in, CASE WHEN (r + c) % 13 <= 1 THEN 0 WHEN (r + c) % 13 <= 10 THEN 1 ELSE 255 END AS label FROM px WHERE r >= 0")
+@query(f"WITH px AS ({t.PIXELS}) SELECT r, c, round((greatest(-60, least(10, hv)) + 25.5) / 10, 6) AS hv_in, CASE WHEN ((r + c) % 13 + 13) % 13 <= 1 THEN 0 WHEN ((r + c) % 13 + 13) % 13 <= 10 THEN 1 ELSE 255 END AS label FROM px")
 def model_input(spark: SparkSession, d: str) -> DataFrame:
     """Clipped and scaled bands, and chart classes as labels."""
-    k = (F.col("r") + F.col("c")) % 13
+    k = F.pmod(F.col("r") + F.col("c"), F.lit(13))
     clipped = F.greatest(F.lit(-60.0), F.least(F.lit(10.0), F.col("hv")))
-    return grids.cells(spark, d).where("r >= 0").select("r", "c", F.round((clipped + 25.5) / 10, 6).alias("hv_in"), F.when(k <= 1, 0).when(k <= 10, 1).otherwise(255).alias("label"))
+    return grids.cells(spark, d).select("r", "c", F.round((clipped + 25.5) / 10, 6).alias("hv_in"), F.when(k <= 1, 0).when(k <= 10, 1).otherwise(255).alias("label"))
 
 
 @query("WITH o AS (SELECT o_custkey AS acquisition, o_orderkey AS id, o_orderstatus = 'O' AS online, o_orderkey % 7 AS baseline FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY acquisition ORDER BY online DESC, baseline DESC, id) AS n FROM o) SELECT acquisition, id, online, baseline FROM k WHERE n = 1")
@@ -93,13 +93,15 @@ def sampling_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("k", "a", F.bround((F.col("h") + 15) * F.col("a"), 0).cast("int").alias("r0"), F.bround((F.col("w") + 15) * F.col("a"), 0).cast("int").alias("c0"))
 
 
-@query(f"""WITH px AS ({t.PIXELS}), k AS (SELECT r, c, r / 357.0::DOUBLE * 4 AS y, c / 49.0::DOUBLE * 4 AS x FROM px WHERE r BETWEEN 0 AND 357), f AS (SELECT *, least(3, floor(y)) AS i, least(3, floor(x)) AS j FROM k),
+@query(f"""WITH px AS ({t.PIXELS}), bx AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM px), k AS (SELECT r, c, (r - r0)::DOUBLE / (r1 - r0) * 4 AS y, (c - c0)::DOUBLE / (c1 - c0) * 4 AS x FROM px, bx), f AS (SELECT *, least(3, floor(y)) AS i, least(3, floor(x)) AS j FROM k),
 v AS (SELECT r, c, 42.5::DOUBLE + i * 4 + j AS a, 42.5::DOUBLE + i * 4 + j + 1 AS b, 42.5::DOUBLE + (i + 1) * 4 + j AS d, 42.5::DOUBLE + (i + 1) * 4 + j + 1 AS e, y - i AS fy, x - j AS fx FROM f)
 SELECT r, c, round((a * (1 - fx) + b * fx) * (1 - fy) + (d * (1 - fx) + e * fx) * fy, 6) AS lat FROM v""")
 def tie_points(spark: SparkSession, d: str) -> DataFrame:
     """A 5 x 5 grid of tie points expanded to all cells; the last cell of each axis is the last tie point."""
     knots = spark.range(25).select(F.floor(F.col("id") / 5).cast("int").alias("i"), (F.col("id") % 5).cast("int").alias("j")).withColumn("v", 42.5 + F.col("i") * 4 + F.col("j"))
-    px = grids.cells(spark, d).where("r BETWEEN 0 AND 357").withColumn("y", F.col("r") / 357.0 * 4).withColumn("x", F.col("c") / 49.0 * 4)
+    px = grids.cells(spark, d)
+    px = px.join(F.broadcast(px.groupBy("g").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))), "g")
+    px = px.withColumn("y", (F.col("r") - F.col("r0")) / (F.col("r1") - F.col("r0")) * 4).withColumn("x", (F.col("c") - F.col("c0")) / (F.col("c1") - F.col("c0")) * 4)
     px = px.withColumn("i", F.least(F.lit(3), F.floor("y")).cast("int")).withColumn("j", F.least(F.lit(3), F.floor("x")).cast("int"))
     for name, a, b in (("v00", 0, 0), ("v01", 0, 1), ("v10", 1, 0), ("v11", 1, 1)):
         px = px.join(F.broadcast(knots.select((F.col("i") - a).alias("i"), (F.col("j") - b).alias("j"), F.col("v").alias(name))), ["i", "j"])
@@ -115,9 +117,9 @@ def output_grid(spark: SparkSession, d: str) -> DataFrame:
     return g.agg((F.floor(F.min("lon") * 10) - 2).alias("col0"), (F.ceil(F.max("lon") * 10) + 2).alias("col1"), (F.floor(F.min("lat") * 10) - 2).alias("row0"), (F.ceil(F.max("lat") * 10) + 2).alias("row1"))
 
 
-@query(f"WITH {grids.TRAINED}, th AS (SELECT *, greatest(n, 8) * (pow(0.25::DOUBLE, -1.0 / greatest(n, 8)) - 1) * s / greatest(n, 8) AS threshold FROM tr), h AS (SELECT r // 32 AS tile, count(*) FILTER (WHERE power > threshold AND n >= {grids.P.needed(8)}) AS hits, count(*) FILTER (WHERE power IS NOT NULL AND n >= {grids.P.needed(8)}) AS eligible FROM th WHERE r >= 0 GROUP BY 1) SELECT tile, hits, eligible, round(eligible * 0.0064, 4)::DOUBLE AS area_km2 FROM h")
+@query(f"WITH {grids.TRAINED}, th AS (SELECT *, greatest(n, 8) * (pow(0.25::DOUBLE, -1.0 / greatest(n, 8)) - 1) * s / greatest(n, 8) AS threshold FROM tr), h AS (SELECT CAST(floor(r / 32.0) AS INTEGER) AS tile, count(*) FILTER (WHERE power > threshold AND n >= {grids.P.needed(8)}) AS hits, count(*) FILTER (WHERE power IS NOT NULL AND n >= {grids.P.needed(8)}) AS eligible FROM th GROUP BY 1) SELECT tile, hits, eligible, round(eligible * 0.0064, 4)::DOUBLE AS area_km2 FROM h")
 def frame_summary(spark: SparkSession, d: str) -> DataFrame:
     """Hits, eligible cells and their area by stripe of a frame."""
-    rows = grid.cell_averaging(grid.training(grids.cells(spark, d), grids.P), grids.P).where("r >= 0")
+    rows = grid.cell_averaging(tiles.training(grids.cells(spark, d), grids.P), grids.P)
     s = rows.groupBy(F.floor(F.col("r") / 32).cast("int").alias("tile")).agg(F.count_if("hit").alias("hits"), F.count_if("analysed").alias("eligible"))
     return s.select("tile", "hits", "eligible", F.round(F.col("eligible") * 0.0064, 4).alias("area_km2"))
