@@ -154,6 +154,13 @@ def pilot(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return some.withColumn("truncated", F.max("_k").over(Window.partitionBy(F.lit(1))) > n).where(F.col("_k") <= n).drop("_k")
 
 
+def only(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns of the one row that a lookup by a unique key finds, or none; two rows are refused, not hidden."""
+    some = rows.limit(2).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*columns)).alias("_row")).where("_n > 0")
+    one = F.when(F.col("_n") > 1, F.raise_error(F.lit("a unique key has several rows")).cast(some.schema["_row"].dataType)).otherwise(F.col("_row"))
+    return some.select(one.alias("_row")).select("_row.*")
+
+
 def receipts(stored: DataFrame, failures: DataFrame) -> DataFrame:
     """(product, failed_stage, reasons): stored receipts with new failures (product, seq, stage, reason); unseen reasons are appended in order, the last stage stays."""
     new = failures.groupBy("product").agg(F.max_by("stage", "seq").alias("stage"), F.array_sort(F.collect_set(F.struct("seq", "reason"))).alias("found"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import scalars
-from tidegrid.operators import matching
+from tidegrid.operators import matching, ranks
 
 from . import screening
 from . import stand_ins as t
@@ -55,7 +55,10 @@ def assignment(spark: SparkSession, d: str) -> DataFrame:
     return matching.assign(e.select("day", "a", "b", "distance"), "day")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS ({t.SITES}), o AS (SELECT site, row_number() OVER (ORDER BY score DESC, site) AS k FROM p),
+n AS (SELECT x.site, list(y.site) AS near FROM p x JOIN p y ON x.site <> y.site AND sqrt(power(x.lon - y.lon, 2) + power(x.lat - y.lat, 2)) <= 0.5 GROUP BY 1),
+g(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN list_has_any(g.kept, coalesce(n.near, []::BIGINT[])) THEN g.kept ELSE list_append(g.kept, o.site) END FROM g JOIN o ON o.k = g.k + 1 LEFT JOIN n ON n.site = o.site)
+SELECT unnest(kept) AS site FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1)""")
 def nms(spark: SparkSession, d: str) -> DataFrame:
     """Sites kept by score where none kept is within half a degree; tests hold it against a plain loop."""
     s = t.sites(spark, d).select(F.col("site").alias("id"), "score", "lon", "lat")
@@ -90,21 +93,16 @@ def cohort_groups(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d).select("id", "group_id")
 
 
-@query(f"""WITH {GROUPS}, g AS (SELECT group_id, bool_and(o_orderstatus <> 'F') AS clean, sha256('17|' || group_id) AS rank FROM gr JOIN orders ON id = o_orderkey GROUP BY 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY rank) AS n, count(*) OVER (PARTITION BY clean) AS m FROM g), te AS (SELECT group_id, rank, clean AND n <= greatest(1, ceil(m * 0.2)) AS test FROM k),
+@query(f"""WITH {GROUPS}, g AS (SELECT group_id, bool_and(o_orderstatus <> 'F') AS clean, sha256('17|' || group_id) AS rank, list(DISTINCT o_orderpriority) AS families FROM gr JOIN orders ON id = o_orderkey GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY rank) AS n, count(*) OVER (PARTITION BY clean) AS m FROM g), le AS (SELECT min(rank) AS rank FROM (SELECT rank, unnest(families) AS f FROM g WHERE clean) GROUP BY f),
+te AS (SELECT group_id, rank, clean AND (n <= greatest(1, ceil(m * 0.2)) OR rank IN (SELECT rank FROM le)) AS test FROM k),
 v AS (SELECT *, row_number() OVER (PARTITION BY test ORDER BY rank) AS n, count(*) OVER (PARTITION BY test) AS m FROM te)
 SELECT group_id, CASE WHEN test THEN 'test' WHEN n <= least(m - 1, ceil(m * 0.15)) THEN 'validation' ELSE 'train' END AS partition FROM v""")
 def partition_assign(spark: SparkSession, d: str) -> DataFrame:
-    """Groups by hash rank: the first clean ones test, then validation, the rest train. The ranks are over groups, not records."""
-    g = _groups(spark, d).groupBy("group_id").agg(F.bool_and(F.col("status") != "F").alias("clean")).withColumn("rank", scalars.hashed(F.lit("17"), F.col("group_id")))
-    by = lambda c: (Window.partitionBy(c).orderBy("rank"), Window.partitionBy(c))
-    a, b = by("clean")
-    g = g.withColumn("n", F.row_number().over(a)).withColumn("m", F.count(F.lit(1)).over(b))
-    g = g.withColumn("test", F.col("clean") & (F.col("n") <= F.greatest(F.lit(1), F.ceil(F.col("m") * F.lit(0.2).cast("decimal(3,1)")))))
-    a, b = by("test")
-    g = g.withColumn("n", F.row_number().over(a)).withColumn("m", F.count(F.lit(1)).over(b))
-    part = F.when(F.col("test"), "test").when(F.col("n") <= F.least(F.col("m") - 1, F.ceil(F.col("m") * F.lit(0.15).cast("decimal(4,2)"))), "validation").otherwise("train")
-    return g.select("group_id", part.alias("partition"))
+    """Groups by hash rank: the first clean ones test, with one of each family; then validation; the rest train."""
+    family = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    g = _groups(spark, d).join(family, "id").groupBy("group_id").agg(F.bool_and(F.col("status") != "F").alias("clean"), F.collect_set("o_orderpriority").alias("families"))
+    return ranks.partitions(g.withColumn("digest", scalars.hashed(F.lit("17"), F.col("group_id"))), 0.2, 0.15).select("group_id", "partition")
 
 
 @query("SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_id, string_agg(DISTINCT source, ',' ORDER BY source) AS aliases, count(DISTINCT lang) > 1 AS conflict FROM documents GROUP BY 1")
@@ -134,10 +132,9 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """A census of what was kept and hash-ranked draws of what wasn't, with inclusion probabilities."""
     j = screening.judged(spark, d).withColumn("stage", F.coalesce("first_rejection", F.lit("retained")))
     s = j.withColumn("stratum", scalars.stratum_key(F.col("supp") % 10, F.col("stage"), F.col("pixel_area"), F.col("peak_hv"), (-28.0, -22.0)))
-    sizes = s.groupBy("stratum").agg(F.count(F.lit(1)).alias("population"))
-    ranked = s.withColumn("n", F.row_number().over(Window.partitionBy("stratum").orderBy(scalars.hashed(F.lit("17"), F.col("stratum"), F.col("target_id")), "target_id")))
     chosen = F.when(F.col("stage") == "retained", F.col("population")).when(F.col("stage") == "min_size", F.least(F.lit(20), F.col("population"))).otherwise(F.least(F.lit(8), F.col("population")))
-    rows = ranked.join(sizes, "stratum").withColumn("chosen", chosen).where("n <= chosen")
+    s = s.withColumn("digest", scalars.hashed(F.lit("17"), F.col("stratum"), F.col("target_id")))
+    rows = ranks.first_ranked(s, "digest", ("stratum",), chosen, ("target_id",)).withColumn("chosen", chosen)
     return rows.select("target_id", "stratum", "population", "chosen", F.round(F.col("chosen") / F.col("population"), 8).alias("probability"))
 
 

@@ -58,6 +58,17 @@ def ca_cfar_hits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("r", "c", F.round(10 * F.log10(F.greatest("threshold", F.lit(1e-12))), 5).alias("threshold_db"), F.round(F.when(F.col("threshold") > 0, F.col("power") / F.col("threshold")).otherwise(0.0), 5).alias("snr"))
 
 
+@query(f"""WITH {TRAINED}, k AS (SELECT unnest([0.3, 0.25, 0.2, 0.1])::DOUBLE AS pfa), h AS (SELECT pfa, n >= {P.needed(8)} AND power IS NOT NULL AS analysed, power > greatest(n, 8) * (pow(pfa, -1.0 / greatest(n, 8)) - 1) * s / greatest(n, 8) AND coalesce(hh > -90 AND hh - hv <= 20, false) AS hit FROM (SELECT * FROM tr WHERE power IS NOT NULL), k)
+SELECT pfa, count(*) FILTER (WHERE analysed) AS pixels, count(*) FILTER (WHERE analysed AND hit) AS hits, round(count(*) FILTER (WHERE analysed AND hit) / count(*) FILTER (WHERE analysed)::DOUBLE, 6) AS rate FROM h GROUP BY 1""")
+def pfa_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The detector at each operating point over the same cells: training statistics once, then a threshold for each of four rates."""
+    rows = tiles.training(cells(spark, d), P).where("power IS NOT NULL").withColumn("pfa", F.explode(F.array(*map(F.lit, (0.3, 0.25, 0.2, 0.1)))))
+    n = F.greatest(F.col("n"), F.lit(8.0))
+    rows = rows.withColumn("analysed", grid.analysed(P, 8)).withColumn("hit", F.col("analysed") & (F.col("power") > n * F.expm1(-F.log("pfa") / n) * F.col("s") / n))
+    s = grid.veto(rows).groupBy("pfa").agg(F.count_if("analysed").alias("pixels"), F.count_if("hit").alias("hits"))
+    return s.select("pfa", "pixels", "hits", F.round(F.col("hits") / F.col("pixels"), 6).alias("rate"))
+
+
 _TABLE = grid.gamma_table(P.pfa)
 
 

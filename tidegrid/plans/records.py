@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import spatial
+from tidegrid.operators import graph, screen
 from tidegrid.operators import records as rec
+from tidegrid.params import Gates
 
 from . import screening
 from . import stand_ins as t
@@ -36,7 +38,8 @@ def scene_lookup(spark: SparkSession, d: str) -> DataFrame:
     """One scene by its id, and one by its product's name, both unique; an id reaches the scan as a pushed filter."""
     s = t.scenes(spark, d)
     product = F.concat(F.lit("S1-"), F.col("site").cast("string"), F.lit("-"), F.col("scene_id").cast("string"))
-    by_id, by_name = s.where("scene_id = 42").limit(1), s.where(product == "S1-899-0").limit(1)
+    only = lambda rows: rec.only(rows, "scene_id", "status")
+    by_id, by_name = only(s.where("scene_id = 42")), only(s.where(product == "S1-899-0"))
     return by_id.select(F.lit("id").alias("found_by"), "scene_id", "status").union(by_name.select(F.lit("product"), "scene_id", "status"))
 
 
@@ -64,7 +67,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {RECORDS}, ln AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM rc a JOIN rc b ON a.id <> b.id AND {NEAR}), re AS (SELECT a AS node, a AS via FROM ln UNION SELECT node, b FROM re JOIN ln ON a = via), gr AS (SELECT node, min(via) AS label FROM re GROUP BY 1) SELECT id, coalesce(label, id) AS group_id FROM rc LEFT JOIN gr ON node = id")
 def record_groups(spark: SparkSession, d: str) -> DataFrame:
     """Records of one acquisition, of equal content, or within 7 days and 10 km, and all they link to."""
-    r = rec.kept(_records(spark, d))
+    r = graph.kept(_records(spark, d))
     return rec.grouped(r, rec.record_links(r))
 
 
@@ -229,12 +232,17 @@ def dashboard_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.candidates(spark, d).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(strong).alias("strong"), F.count_if(strong & rec.at_least(F.col("ratio_db"), 6.0)).alias("strong_and_scored"), F.count_if(F.col("ratio_db").isNotNull()).alias("scored"))
 
 
-@query(f"WITH c AS ({t.CANDIDATES}), n AS (SELECT target_id, visible, CASE WHEN clutter_db > -33 AND ratio_db IS NOT NULL THEN true ELSE false END AS again FROM (SELECT *, coalesce(clutter_db > -35, false) AS visible FROM c)) SELECT visible AS original, again AS strict, count(*) AS n, min(target_id) AS first_id FROM n GROUP BY 1, 2")
+STRICT = """CASE WHEN NOT coalesce(pixel_area >= 6, false) THEN 'min_size' WHEN NOT coalesce(pixel_area <= 45, false) THEN 'max_size' WHEN NOT coalesce(length_m / greatest(width_m, 1e-6) <= 6, false) THEN 'aspect_ratio'
+  WHEN NOT coalesce(peak_hv >= -28, false) THEN 'min_peak_hv' WHEN NOT coalesce(ratio_db <= 18, false) THEN 'copol_dominance' WHEN NOT coalesce(peak_hv - clutter_db >= 3, false) THEN 'clutter_contrast' END"""
+
+
+@query(f"WITH {screening.JUDGED} SELECT target_id, bool_or(first_rejection IS NULL) AS stored, bool_or({STRICT} IS NULL) AS added, bool_or(first_rejection IS NULL) AND NOT bool_or({STRICT} IS NULL) AS withdrawn FROM judged GROUP BY 1")
 def additive_rescreen(spark: SparkSession, d: str) -> DataFrame:
-    """A stricter screen beside the original one, which stays: how often they agree."""
-    original = F.coalesce(F.col("clutter_db") > -35, F.lit(False))
-    strict = F.coalesce((F.col("clutter_db") > -33) & F.col("ratio_db").isNotNull(), F.lit(False))
-    return t.candidates(spark, d).groupBy(original.alias("original"), strict.alias("strict")).agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("first_id"))
+    """The stored screen of every target, joined by id with a stricter one made anew: both stay, and what only the second rejects is told."""
+    strict = Gates(min_pixels=6, max_pixels=45, max_aspect=6.0, min_peak_db=-28.0)
+    kept = lambda judged, name: judged.groupBy("target_id").agg(F.bool_or(F.col("first_rejection").isNull()).alias(name))
+    rows = kept(screening.judged(spark, d), "stored").join(kept(screen.first_rejection(t.candidates(spark, d), strict), "added"), "target_id", "full")
+    return rows.select("target_id", "stored", "added", (F.col("stored") & ~F.col("added")).alias("withdrawn"))
 
 
 @query("WITH w AS (SELECT o_custkey AS acquisition, count(*) AS scenes, count(*) FILTER (WHERE o_totalprice > 100000) AS overlapping, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed FROM orders GROUP BY 1) SELECT count(*) AS acquisitions, sum(scenes)::BIGINT AS scenes, sum(overlapping)::BIGINT AS overlapping, sum(failed)::BIGINT AS failed, count(*) FILTER (WHERE overlapping = 0) AS without_overlap, count(*) FILTER (WHERE failed = scenes) AS all_failed FROM w")

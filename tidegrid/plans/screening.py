@@ -159,14 +159,6 @@ def ice_regime(spark: SparkSession, d: str) -> DataFrame:
     return n.select("scene_id", F.round(f, 6).alias("ice_fraction"), F.when(f.isNull(), "unknown").when(f >= 0.15, "ice_affected").otherwise("open_water").alias("regime"))
 
 
-@query(f"WITH c AS ({t.CANDIDATES}), k AS (SELECT unnest([1e-3, 1e-4, 1e-5, 1e-6])::DOUBLE AS pfa), e AS (SELECT scene_id, sum(pixel_area) AS px, avg(peak_hv) AS m FROM c GROUP BY 1) SELECT pfa, count(*) AS n_scenes, sum(px)::BIGINT AS pixels, round(sum(px * pfa), 4) AS expected_hits FROM e, k GROUP BY 1")
-def pfa_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each operating point over the same scenes; the points are four literals, not a join with data."""
-    e = t.candidates(spark, d).groupBy("scene_id").agg(F.sum("pixel_area").alias("px"))
-    rows = e.withColumn("pfa", F.explode(F.array(*map(F.lit, (1e-3, 1e-4, 1e-5, 1e-6)))))
-    return rows.groupBy("pfa").agg(F.count(F.lit(1)).alias("n_scenes"), F.sum("px").alias("pixels"), F.round(F.sum(F.col("px") * F.col("pfa")), 4).alias("expected_hits"))
-
-
 @query(f"WITH p AS ({t.SITES}), e AS (SELECT nation, min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM p GROUP BY 1) SELECT nation, west, east, south, north FROM e WHERE (west + east) / 2 BETWEEN -54 AND -50 AND (south + north) / 2 BETWEEN 48 AND 55 AND west <= -46 AND east >= -58 AND south <= 58 AND north >= 44")
 def extent_prune(spark: SparkSession, d: str) -> DataFrame:
     e = t.sites(spark, d).groupBy("nation").agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"))

@@ -51,12 +51,17 @@ def pass_flags(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("product").agg(F.bool_and("own").alias("passed"), F.count_if(F.col("own") != F.col("stated")).alias("contradicted"))
 
 
-@query("WITH c AS (SELECT sha256(source || '|' || lang) AS recipe, doc_id FROM documents), r AS (SELECT DISTINCT sha256(source || '|' || lang) AS recipe, source, lang FROM documents) SELECT source, lang, count(*) AS n, count(DISTINCT c.recipe) = 1 AS resolved FROM c JOIN r USING (recipe) GROUP BY 1, 2")
+@query("""WITH r AS (SELECT doc_id, source, lang, substr(sha256(source || '|' || lang || '|' || length(text) % 40), 1, 3) AS key FROM documents), b AS (SELECT l.doc_id, substr(sha256(source || '|' || lang || '|' || length(text) % 47), 1, 3) AS key FROM labels l JOIN documents USING (doc_id)),
+c AS (SELECT key, count(DISTINCT (source, lang)) AS n, min(doc_id) AS first_id FROM r GROUP BY 1) SELECT b.doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN n = 1 THEN first_id ELSE -1 END AS recipe FROM b LEFT JOIN c USING (key)""")
 def recipe_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Configurations that results bind to by digest; each must be exactly one."""
-    docs = t.table(spark, d, "documents").withColumn("recipe", F.sha2(F.concat_ws("|", "source", "lang"), 256))
-    recipes = docs.select("recipe", "source", "lang").distinct()
-    return docs.select("recipe").join(recipes, "recipe").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), (F.countDistinct("recipe") == 1).alias("resolved"))
+    """Results name their recipe by a short digest, which must find exactly one configuration: none is missing, several are ambiguous."""
+    docs = t.table(spark, d, "documents")
+    key = lambda m: F.substring(F.sha2(F.concat_ws("|", "source", "lang", (F.length("text") % m).cast("string")), 256), 1, 3).alias("key")
+    stored = docs.select("doc_id", "source", "lang", key(40)).groupBy("key").agg(F.count_distinct("source", "lang").alias("n"), F.min("doc_id").alias("first_id"))
+    results = t.table(spark, d, "labels").select("doc_id").join(docs, "doc_id").select("doc_id", key(47))
+    rows = results.join(stored, "key", "left")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    return rows.select("doc_id", status.alias("status"), F.when(F.col("n") == 1, F.col("first_id")).otherwise(-1).alias("recipe"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn, role) AS history FROM conversations GROUP BY 1 ORDER BY max(turn) DESC, conv_id LIMIT 100")
