@@ -121,15 +121,17 @@ def test_assignment_against_permutations(spark):
         assert (-len(mine), sum(r.distance for r in mine)) == best and len({r.a for r in mine}) == len({r.b for r in mine}) == len(mine)
 
 
-def test_suppression_against_a_loop(spark):
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_suppression_against_a_loop(spark, rounds):
+    """Ties, unknown scores, a chain along which scores climb, rows without links; by rounds, by components, and by both."""
     rng = random.Random(4)
-    rows = [(i, float(rng.randint(0, 9))) for i in range(60)]
-    links = [(i, j) for i in range(60) for j in range(i) if rng.random() < 0.03]
-    near, kept = {i: {a + b - i for a, b in links if i in (a, b)} for i in range(60)}, []
-    for i, _ in sorted(rows, key=lambda r: (-r[1], r[0])):
-        if not near[i] & set(kept):
-            kept.append(i)
-    got = matching.suppress(spark.createDataFrame(rows, "id long, score double"), spark.createDataFrame(links, "a long, b long"))
+    rows = [(i, rng.choice([None, float("nan"), *map(float, range(9))])) for i in range(60)] + [(100 + i, float(i)) for i in range(60)] + [(300, 1.0)]
+    links = [(i, j) for i in range(60) for j in range(i) if rng.random() < 0.03] + [(100 + i, 101 + i) for i in range(59)] + [(5, 5), (101, 100)]
+    near, kept = {i: {a + b - i for a, b in links if i in (a, b) and a != b} for i, _ in rows}, set()
+    for i, _ in sorted(rows, key=lambda r: (math.inf if r[1] is None or math.isnan(r[1]) else -r[1], r[0])):
+        if not near[i] & kept:
+            kept.add(i)
+    got = matching.suppress(spark.createDataFrame(rows, "id long, score double"), spark.createDataFrame(links, "a long, b long"), rounds)
     assert sorted(r.id for r in got.collect()) == sorted(kept)
 
 
