@@ -192,7 +192,12 @@ def radii_and_digests(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "events").select("event_id", F.round(scalars.drift_radius(v), 6).alias("drift_m"), F.round(scalars.review_radius(v, v - 50), 6).alias("review_m"), F.round(F.hypot(v, (F.col("event_id") % 7).cast("double")), 6).alias("wind"), scalars.hashed(F.col("event_type"), F.col("event_id")).alias("digest"))
 
 
-@query()
+_LG = "lgamma(m + 1) - lgamma(q + 1) - lgamma(greatest(m - q, 0) + 1) + lgamma(population - m + 1) - lgamma(sample - q + 1) - lgamma(greatest(population - m - sample + q, 0) + 1) - lgamma(population + 1) + lgamma(sample + 1) + lgamma(population - sample + 1)"
+
+
+@query(f"""WITH s AS (SELECT source, count(*) * 3 AS population, count(*) AS sample, sum(toxic)::BIGINT AS positives FROM labels JOIN documents USING (doc_id) GROUP BY 1), k AS (SELECT *, unnest(range(positives, population - sample + positives + 1)) AS m FROM s), j AS (SELECT *, unnest(range(0, sample + 1)) AS q FROM k),
+p AS (SELECT *, CASE WHEN q <= m AND sample - q <= population - m THEN exp({_LG}) ELSE 0 END AS w FROM j), u AS (SELECT source, population, sample, positives, m, sum(w) FILTER (WHERE q >= positives) AS above, sum(w) FILTER (WHERE q <= positives) AS below FROM p GROUP BY ALL)
+SELECT source, population, sample, positives, min(m) FILTER (WHERE above >= 0.025) AS low, max(m) FILTER (WHERE below >= 0.025) AS high FROM u GROUP BY 1, 2, 3, 4""")
 def population_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Exact finite-population intervals of toxic counts by source; tests hold them against enumeration."""
     j = t.table(spark, d, "labels").join(t.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
