@@ -1,3 +1,6 @@
+import math
+import random
+
 """Small cases of the operators on records, by plain rules."""
 
 from pyspark.sql import functions as F
@@ -62,3 +65,27 @@ def test_receipts_keep_what_stood_there(spark):
     new = spark.createDataFrame([("a", 2, "warp", "y"), ("a", 1, "read", "x"), ("b", 1, "read", "z")], "product string, seq int, stage string, reason string")
     got = {r["product"]: (r.failed_stage, r.reasons) for r in rec.receipts(stored, new).collect()}
     assert got == {"a": ("warp", ["x", "y"]), "b": ("read", ["z"])}
+
+
+def test_links_of_places_against_all_pairs(spark):
+    """The groups are those of all pairs within the bounds, with few links where a place has many records."""
+    rng = random.Random(19)
+    places = [(rng.uniform(0, 60_000), rng.uniform(0, 60_000)) for _ in range(25)]
+    rows = [(i, None, None, rng.uniform(0, 60) * 86_400, *rng.choice(places)) for i in range(120)] + [(1000 + i, None, None, 200 * 86_400.0 + i * 400, 5.0, 5.0) for i in range(1500)]
+    label = {r[0]: r[0] for r in rows}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for k, a in enumerate(rows[:121]):
+        for b in rows[:k]:
+            if abs(a[3] - b[3]) <= 7 * 86_400 and math.hypot(a[4] - b[4], a[5] - b[5]) <= 10_000:
+                x, y = root(a[0]), root(b[0])
+                label[max(x, y)] = min(x, y)
+    r = spark.createDataFrame(rows, "id long, acquisition string, hash string, t double, x double, y double")
+    links = rec.record_links(r)
+    assert links.count() < 5000
+    got = {x.id: x.group_id for x in rec.grouped(r, links).collect()}
+    assert got == {i: root(i) if i < 1000 else 1000 for i in label}

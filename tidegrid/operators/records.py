@@ -22,8 +22,10 @@ def at_least(score: Column, least: float) -> Column:
 def record_links(records: DataFrame, seconds: float = 7 * DAY, metres: float = 10_000.0) -> DataFrame:
     """(a, b): what joins records (id, acquisition, hash, t, x, y) in one group, in the smallest set of links that does so.
 
-    Equal acquisitions or hashes link each record to the smallest of its kind, not all with all. In time and space
-    every pair within the bounds is a link; both sides meet in cells as wide as the bounds.
+    Equal acquisitions or hashes link each record to the smallest of its kind, not all with all. In time and space records of
+    one small cell, whose corners are within the bounds, are linked to its smallest. Across small cells only each place's
+    first and last record there are compared, since no other is nearer in time to another cell's; both sides meet in cells
+    as wide as the bounds. So a place with many records costs a link each.
     """
     def alike(key: str) -> DataFrame:
         first = records.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("a"))
@@ -31,13 +33,19 @@ def record_links(records: DataFrame, seconds: float = 7 * DAY, metres: float = 1
 
     cell = lambda c, w, k=0: (F.floor(F.col(c) / w) + k).cast("long")
     wide = (("t", seconds), ("x", metres), ("y", metres))
-    left = records.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}0") for c, _ in wide), *(cell(c, w).alias(f"k{c}") for c, w in wide))
+    placed = records.where("t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select("id", "t", "x", "y", *(cell(c, w / k).alias(f"s{c}") for (c, w), k in zip(wide, (2, 3, 3), strict=True)))
+    small = ["st", "sx", "sy"]
+    first = placed.groupBy(*small).agg(F.min("id").alias("a"))
+    within = placed.join(first, small).where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b"))
+    ends = placed.groupBy(*small, "x", "y").agg(*(f(F.struct("t", "id")).alias(n) for n, f in (("low", F.min), ("high", F.max))))
+    ends = ends.select("x", "y", F.explode(F.array_distinct(F.array("low", "high"))).alias("e")).select("e.id", "e.t", "x", "y")
+    left = ends.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}0") for c, _ in wide), *(cell(c, w).alias(f"k{c}") for c, w in wide))
     steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
     around = F.array(*(F.struct(*(cell(c, w, s).alias(f"k{c}") for (c, w), s in zip(wide, step, strict=True))) for step in steps))
-    right = records.select(F.col("id").alias("b"), "t", "x", "y", F.explode(around).alias("k")).select("b", "t", "x", "y", "k.*")
+    right = ends.select(F.col("id").alias("b"), "t", "x", "y", F.explode(around).alias("k")).select("b", "t", "x", "y", "k.*")
     close = (F.abs(F.col("t") - F.col("t0")) <= seconds) & (F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")) <= metres)
     pairs = left.join(right, ["kt", "kx", "ky"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
-    return reduce(DataFrame.union, [alike("acquisition"), alike("hash"), pairs]).distinct()
+    return reduce(DataFrame.union, [alike("acquisition"), alike("hash"), within, pairs]).distinct()
 
 
 def grouped(records: DataFrame, links: DataFrame) -> DataFrame:
