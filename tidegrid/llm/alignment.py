@@ -153,20 +153,20 @@ def links_of(own: Aligner, texts: list[str | None]):
     at = np.searchsorted(end_b, end_a)
     both = end_b[at] == end_a  # every document ends both sides, so `at` is always inside
     link_a, link_b = np.flatnonzero(both), at[both]
-    cuts = end_a[link_a]
-    last_group = np.searchsorted(cuts, end_a[last_a - 1]) + 1
+    closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    closes_a[link_a], closes_b[link_b] = 1, 1
+    group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+    last_group = group_a[last_a - 1] + 1
     counts[0, where], counts[1, where], counts[2, where] = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0), np.diff(last_group, prepend=0)
-    group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+    # in the text a group's first ids follow all of earlier groups, its second ids all first ones up to its own
     text = np.empty(len(a) + len(b), object)
-    closes_a, closes_b = np.zeros(len(a), int), np.zeros(len(b), int)
-    closes_a[link_a], closes_b[link_b] = 1, 1
-    text[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = own.a_text[closes_a, a]
-    text[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = own.b_text[closes_b, b]
+    text[np.arange(len(a)) + np.r_[0, link_b + 1][group_a]] = own.a_text[closes_a, a]
+    text[np.arange(len(b)) + (link_a + 1)[group_b]] = own.b_text[closes_b, b]
     first = 0
     for i, x, y in zip(where, last_a, last_b, strict=True):
-        spelled[i] = "".join(text[first : x + y])[:-1]
+        spelled[i] = "".join(text[first : x + y].tolist())[:-1]
         first = x + y
-    return counts, spelled, (where[np.searchsorted(last_group, np.arange(len(cuts)), "right")], a[link_a], b[link_b])
+    return counts, spelled, (np.repeat(where, counts[2, where]), a[link_a], b[link_b])
 
 
 TABLE = "piece long, stripe int, cells binary, docs binary, local int, doc_id long, n_a long, n_b long, n_groups long, groups string"
