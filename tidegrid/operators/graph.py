@@ -36,10 +36,11 @@ def removed(spark: SparkSession, at: str) -> None:
 def components(links: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(node, label) of every node of links (a, b): label is the smallest node that links reach. Null ends and loops say nothing.
 
-    In a round every node steps, twice, to the node of smallest hash among itself and its neighbours, with another hash each round.
+    In a round every node steps to the node of smallest hash among itself and its neighbours, with another hash each round.
     Nodes that stepped to one place become one, links follow, and those inside a node go; whatever a graph's shape or the
-    order of its ids, a part of all nodes goes each round, so rounds grow with the logarithm of their number, on a
-    long chain too. Each new node keeps the smallest id in it; at the end labels go back through the rounds, the last first.
+    order of its ids, a part of all nodes goes each round (half of a chain's, all but one of a clique's), so rounds grow with the
+    logarithm of their number. At the end places go back through the rounds, the last first, and each place's
+    smallest node is its label.
 
     Rounds are tables in the shared folder, read with their schema: a checkpoint would hand the optimizer what it knows of
     equal columns, which doubles with each round of joins. They are removed at the end. Only whether links are left reaches
@@ -54,29 +55,22 @@ def components(links: DataFrame, rounds: list[int] | None = None) -> DataFrame:
 
     left = links.select("a", "b").where("a <> b")
     left = written(left.union(left.select("b", "a")).distinct(), "links0")
-    members = left.groupBy("a").agg(F.first("a").alias("low"))
-    steps, lows, k = [], [], 0
+    steps, k = [], 0
     while not left.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
-        near = left.groupBy("a").agg(F.least(F.first(rank("a")), F.min(rank("b"))).alias("m")).select("a", F.col("m.node").alias("to"))
-        near = written(near, f"near{k}")
-        step = written(near.join(near.select(F.col("a").alias("to"), F.col("to").alias("place")), "to").select("a", "place"), f"step{k}")
-        low = step.join(members, "a").groupBy(F.col("place").alias("a")).agg(F.min("low").alias("low"))
-        steps.append(step)
-        lows.append(written(low, f"low{k}"))
-        ends = left.join(step, "a").select(F.col("place").alias("x"), F.col("b").alias("a")).join(step, "a").select("x", F.col("place").alias("y"))
+        step = left.groupBy("a").agg(F.least(F.first(rank("a")), F.min(rank("b"))).alias("m")).select("a", F.col("m.node").alias("place"))
+        steps.append(written(step, f"step{k}"))
+        ends = left.join(steps[-1], "a").select(F.col("place").alias("x"), F.col("b").alias("a")).join(steps[-1], "a").select("x", F.col("place").alias("y"))
         left = written(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"links{k + 1}")
-        members = lows[-1].join(left.select("a").distinct(), "a", "left_semi")
         k += 1
         if rounds is not None:
             rounds.append(left.count())
-    labels = None
-    for i in reversed(range(k)):
-        known = lows[i].withColumnRenamed("low", "label")
-        if labels is not None:
-            known = known.join(labels.withColumnRenamed("label", "later"), "a", "left").select("a", F.coalesce("later", "label").alias("label"))
-        labels = written(steps[i].join(known.withColumnRenamed("a", "place"), "place").select("a", "label"), f"labels{i}")
-    out = kept((members.withColumnRenamed("low", "label") if labels is None else labels).select(F.col("a").alias("node"), "label"))
+    places = steps[-1] if steps else left.select("a", F.col("b").alias("place"))
+    for i in reversed(range(k - 1)):
+        later = places.select(F.col("a").alias("place"), F.col("place").alias("_later"))
+        places = written(steps[i].join(later, "place", "left").select("a", F.coalesce("_later", "place").alias("place")), f"places{i}")
+    label = places.groupBy("place").agg(F.min("a").alias("label"))
+    out = kept(places.join(label, "place").select(F.col("a").alias("node"), "label"))
     removed(spark, at)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annotations, cohorts, evidence, geometry, grids, records, screening, selections
+from . import annotations, audits, cohorts, evidence, geometry, grids, records, screening, selections
 from .catalogue import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "annotations", "cohorts", "evidence", "geometry", "grids", "records", "screening", "selections"]
+__all__ = ["ORACLE", "QUERIES", "annotations", "audits", "cohorts", "evidence", "geometry", "grids", "records", "screening", "selections"]
