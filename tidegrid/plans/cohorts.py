@@ -48,9 +48,14 @@ def nearest_time(spark: SparkSession, d: str) -> DataFrame:
     return got.select("a", F.coalesce("b", F.lit(-1)).alias("b"), F.coalesce("dt", F.lit(-1)).alias("dt"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, x AS (SELECT l.t // 86400 AS day, a, b, distance, row_number() OVER (PARTITION BY l.t // 86400 ORDER BY a, b) AS k FROM e JOIN l ON l.event_id = e.a WHERE distance <= 6000),
+s(day, k, used_a, used_b, far) AS (SELECT DISTINCT day, 0::BIGINT, []::BIGINT[], []::BIGINT[], 0.0::DOUBLE FROM x UNION ALL
+  SELECT s.day, x.k, CASE WHEN take THEN list_append(used_a, x.a) ELSE used_a END, CASE WHEN take THEN list_append(used_b, x.b) ELSE used_b END, CASE WHEN take THEN far + x.distance ELSE far END
+  FROM s JOIN x ON x.day = s.day AND x.k = s.k + 1 CROSS JOIN (VALUES (true), (false)) AS c(take) WHERE NOT take OR NOT (list_contains(used_a, x.a) OR list_contains(used_b, x.b))),
+z AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY len(used_a) DESC, far) AS best FROM s), u AS (SELECT day, unnest(used_a) AS a, unnest(used_b) AS b FROM z WHERE best = 1)
+SELECT u.day, u.a, u.b, distance FROM u JOIN x ON x.day = u.day AND x.a = u.a AND x.b = u.b""")
 def assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Most one-to-one pairs, then the least total distance, by day; tests hold it against all permutations."""
+    """Most one-to-one pairs, then the least total distance, by day; the twin tries all sets of a day's edges."""
     e = _edges(spark, d).join(_places(spark, d, "error", "a").select("a", F.floor(F.col("t") / 86400).alias("day")), "a").where("distance <= 6000")
     return matching.assign(e.select("day", "a", "b", "distance"), "day")
 
