@@ -1,4 +1,4 @@
-"""As-of joins in cells of time: the knots around each sample, and cubic interpolation between them."""
+"""As-of joins in cells of time: the knots around each sample, cubic interpolation between them, and counts up to a time."""
 
 from __future__ import annotations
 
@@ -38,6 +38,29 @@ def bracket(samples: DataFrame, knots: DataFrame, key: str, width: float, t: str
     return found.where(F.col(t).isNotNull() & F.col(key).isNotNull()).unionByName(lost.select("*", *none))
 
 
+def tallied(asked: DataFrame, knots: DataFrame, width: float, t: str = "t") -> DataFrame:
+    """asked (t and more) with `n`, how many rows of knots (t, id) are at or before t, and `last`, (t, id) of the latest of them, of equals the largest id.
+
+    Both meet in cells of `width` with a row for each cell that carries the sums of all cells before it, so a row costs the same however many knots
+    are before it. Only the cells' own sums are one task's. Asked rows without a time are not in the result.
+    """
+    cell = F.floor(F.col(t) / width).cast("long").alias("_cell")
+    held = knots.where(F.col(t).isNotNull()).groupBy(cell, F.col(t).alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.max("id").alias("_id"))
+    held = held.select("_cell", "_t", "_n", F.struct(F.col("_t").alias(t), F.col("_id").alias("id")).alias("_last"))
+    rows = asked.where(F.col(t).isNotNull()).select(cell, F.col(t).alias("_t"), F.struct(*asked.columns).alias("_row"))
+    none = F.lit(None).cast(held.schema["_last"].dataType)
+    sums = held.groupBy("_cell").agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last"))
+    empty = rows.select("_cell").distinct().select("_cell", F.lit(0).cast("long").alias("_n"), none.alias("_last"))
+    cells = sums.unionByName(empty).groupBy("_cell").agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last"))
+    past = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select("_cell", F.lit(None).cast(held.schema["_t"].dataType).alias("_t"), F.sum("_n").over(past).alias("_n"), F.max("_last").over(past).alias("_last"))
+    no_row = F.lit(None).cast(rows.schema["_row"].dataType)
+    every = carried.unionByName(held).withColumn("_row", no_row).unionByName(rows.withColumn("_n", F.lit(0).cast("long")).withColumn("_last", none))
+    upto = Window.partitionBy("_cell").orderBy(F.col("_t").asc_nulls_first(), F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = every.withColumn("_n", F.sum("_n").over(upto)).withColumn("_last", F.last("_last", True).over(upto))
+    return every.where("_row IS NOT NULL").select("_row.*", F.coalesce("_n", F.lit(0)).alias("n"), F.col("_last").alias("last"))
+
+
 def hermite(t: Column, before: Column, after: Column, value: str, slope: str, time: str = "t") -> tuple[Column, Column]:
     """Value and slope at t of the cubic that has both knots' values and slopes; at the last knot itself that knot's; null outside."""
     h = after[time] - before[time]
