@@ -2,7 +2,7 @@
 
 import random
 
-from tidegrid.operators import brackets
+from tidegrid.operators import brackets, matching
 
 D = "/root/testdata/sf0.001"
 
@@ -26,3 +26,15 @@ def test_orbit_cover_makes_no_pairs(spark):
     from tidegrid.plans import evidence
 
     assert "Join" not in plan(evidence.orbit_cover(spark, D))
+
+
+def test_nearest_makes_no_pairs_and_breaks_ties(spark):
+    """The earlier of equals, then the smaller id; bounds included; no join on cells of time without a key of one row."""
+    rng = random.Random(2)
+    left, right = [(i, rng.randint(0, 400)) for i in range(90)] + [(99, None)], [(i, rng.choice([rng.randint(0, 300), 150])) for i in range(50)]
+    found = matching.nearest(spark.createDataFrame(left, "a long, t long"), spark.createDataFrame(right, "b long, t long"), 20)
+    best = lambda t: min(((abs(t - u), u, b) for b, u in right if abs(t - u) <= 20), default=(None, None, None)) if t is not None else (None,) * 3
+    assert sorted(map(repr, found.collect())) == sorted(f"Row(a={a}, b={best(t)[2]}, dt={best(t)[0]})" for a, t in left)
+    many = [(i, 0) for i in range(3000)]
+    assert matching.nearest(spark.createDataFrame(many, "a long, t long"), spark.createDataFrame(many, "b long, t long"), 20).where("b = 0").count() == 3000
+    assert "explode" not in plan(found)
