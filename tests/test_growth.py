@@ -38,3 +38,13 @@ def test_nearest_makes_no_pairs_and_breaks_ties(spark):
     many = [(i, 0) for i in range(3000)]
     assert matching.nearest(spark.createDataFrame(many, "a long, t long"), spark.createDataFrame(many, "b long, t long"), 20).where("b = 0").count() == 3000
     assert "explode" not in plan(found)
+
+
+def test_matches_by_places_against_edges(spark):
+    """Copies of one place on either side, rows without a place; edges are not shuffled one by one."""
+    rng = random.Random(3)
+    rows = lambda n, copies: [(i, rng.randint(0, 4000), float(rng.randint(0, 40) * 500), 0.0) for i in range(n)] + [(n + i, 9, 9.0, 9.0) for i in range(copies)] + [(9000, None, 1.0, 1.0)]
+    for n, copies in ((12, 0), (40, 3), (5, 2)):
+        a, b = spark.createDataFrame(rows(n, copies), "a long, t long, x double, y double"), spark.createDataFrame(rows(n, 1), "b long, t long, x double, y double")
+        got = matching.matched(a, b, 3600.0)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, matching.associations(a, matching.near(a, b, 3600.0)).collect()))
