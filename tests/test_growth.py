@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidegrid.operators import brackets, matching
 
 D = "/root/testdata/sf0.001"
@@ -48,3 +50,38 @@ def test_matches_by_places_against_edges(spark):
         a, b = spark.createDataFrame(rows(n, copies), "a long, t long, x double, y double"), spark.createDataFrame(rows(n, 1), "b long, t long, x double, y double")
         got = matching.matched(a, b, 3600.0)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, matching.associations(a, matching.near(a, b, 3600.0)).collect()))
+
+
+def test_transport_against_the_assignment_of_units():
+    """Units along a few edges are what an assignment of all single units gives, in number and cost; a large sparse problem needs no matrix."""
+    rng = random.Random(4)
+    for _ in range(150):
+        n, m = rng.randint(1, 4), rng.randint(1, 4)
+        edges = {(i, j): rng.uniform(0, 9) if rng.random() < 0.7 else 0.0 for i in range(n) for j in range(m) if rng.random() < 0.6}
+        na, nb = [rng.randint(1, 2) for _ in range(n)], [rng.randint(1, 2) for _ in range(m)]
+        ends = [j for j in range(m) for _ in range(nb[j])]
+        best = {0: (0, 0.0)}
+        for i in [i for i in range(n) for _ in range(na[i])]:
+            for used, (count, cost) in list(best.items()):
+                for k, j in enumerate(ends):
+                    if not used >> k & 1 and (i, j) in edges:
+                        new = (count - 1, cost + edges[i, j])
+                        best[used | 1 << k] = min(best.get(used | 1 << k, (1, 0.0)), new)
+        got = matching.transport(edges, na, nb)
+        assert all(sum(f for (i, _), f in got.items() if i == k) <= na[k] for k in range(n)) and all(sum(f for (_, j), f in got.items() if j == k) <= nb[k] for k in range(m))
+        count, cost = min(best.values())
+        assert -sum(got.values()) == count and abs(sum(edges[e] * f for e, f in got.items()) - cost) < 1e-9
+    size = 30_000
+    assert sum(matching.transport({(0, j): 1.0 for j in range(size)} | {(i, 0): 1.0 for i in range(200)}, [1] * 200, [1] * size).values()) == 2
+
+
+def test_units_are_dealt_to_ids(spark):
+    """Copies of places: one-to-one pairs of ids, as many and as near as by single edges."""
+    rows = lambda n, s: [(s + i, (i % 3) * 600, float(i % 3) * 400, 0.0) for i in range(n)]
+    a, b = spark.createDataFrame(rows(11, 0), "a long, t long, x double, y double"), spark.createDataFrame(rows(8, 50), "b long, t long, x double, y double")
+    day = F.lit(0).cast("long").alias("day")
+    e = matching.near(matching.places(a, "a"), matching.places(b, "b"), 3600.0).select(day, F.col("a.id").alias("a"), F.col("a.n").alias("na"), F.col("b.id").alias("b"), F.col("b.n").alias("nb"), "distance")
+    got = matching.dealt_out(matching.flows(e, "day"), a, b, "day").collect()
+    want = matching.assign(matching.near(a, b, 3600.0).select(day, "a", "b", "distance"), "day").collect()
+    assert len(got) == len({r.a for r in got}) == len({r.b for r in got}) == len(want) == 8
+    assert abs(sum(r.distance for r in got) - sum(r.distance for r in want)) < 1e-9
