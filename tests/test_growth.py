@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidegrid.operators import brackets, matching
+from tidegrid.operators import brackets, matching, polygons
 
 D = "/root/testdata/sf0.001"
 
@@ -85,3 +86,16 @@ def test_units_are_dealt_to_ids(spark):
     want = matching.assign(matching.near(a, b, 3600.0).select(day, "a", "b", "distance"), "day").collect()
     assert len(got) == len({r.a for r in got}) == len({r.b for r in got}) == len(want) == 8
     assert abs(sum(r.distance for r in got) - sum(r.distance for r in want)) < 1e-9
+
+
+def test_points_meet_a_cells_edges_in_bundles(spark):
+    """A comb of 400 teeth in one cell: points within by an even-odd loop; edges are joined to bundles of points, not to each."""
+    xs = np.arange(801) / 1000.0
+    ring = [(float(x), 0.9 if i % 2 else 0.1) for i, x in enumerate(xs)] + [(0.8, 0.0), (0.0, 0.0)]
+    v = spark.createDataFrame([(7, 0, i, x, y) for i, (x, y) in enumerate(ring)], "poly long, ring int, seq int, x double, y double")
+    rng = np.random.default_rng(6)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.1, 1.0, (3000, 2)))] + [(9000, None, 0.5), (9001, float("nan"), 0.05)]
+    got = polygons.locate(spark.createDataFrame(pts, "id long, x double, y double"), polygons.index(polygons.edges(v), 4.0), 4.0)
+    want = {i for i, x, y in pts if x is not None and x == x and sum((a[1] < y) != (b[1] < y) and a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > x for a, b in zip(ring, ring[1:] + ring[:1])) % 2}
+    assert {r.id for r in got.where("size(found) > 0").collect()} == want and got.count() == len(pts)
+    assert "collect_list(struct(row" in plan(got)

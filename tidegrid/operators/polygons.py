@@ -9,11 +9,19 @@ inside have no edges. No polygon is ever broadcast, or in one row or task as a w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 #: Cell borders are off whole numbers, where coordinates often are.
 OFFSET = 0.3819660112501051
+#: Rows of a scan whose points of one cell are a bundle (a power of two), and pairs of points and edges that are compared at once.
+BUNDLE_BITS, COMPARED = 17, 1_000_000
 EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
@@ -82,47 +90,74 @@ def index(rows: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
     return own.unionByName(full).groupBy("i", "j").agg(F.collect_list(F.struct("poly", "odd", "edges")).alias("polys"))
 
 
-def inside(p: Column, x: Column, y: Column, i: Column, j: Column, size: float) -> Column:
-    """Whether a point of cell (i, j) is in polygon p of the index; boundaries are inside."""
-    cx, y0 = border(i, size), border(j, size)
-
-    def turns(e: Column) -> Column:
-        up = below(e, cx, y) != below(e, cx, y0)
-        return up != (right(e, cx, y) != right(e, x, y))
-
-    on = lambda e: (signed(e, x, y) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-    odd = F.aggregate(p["edges"], p["odd"], lambda s, e: s != turns(e))
-    return odd | F.exists(p["edges"], on)
-
-
-def distance2(p: Column, x: Column, y: Column) -> Column:
-    """The square of the distance to the nearest edge that the cell holds of polygon p; infinite where it holds none."""
-
-    def to(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        t = F.least(F.greatest(((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
-        return F.pow(x - (e["x1"] + t * dx), F.lit(2)) + F.pow(y - (e["y1"] + t * dy), F.lit(2))
-
-    return F.aggregate(p["edges"], F.lit(float("inf")), lambda s, e: F.least(s, to(e)))
+def inside(edges: np.ndarray, odd: bool, x: np.ndarray, y: np.ndarray, corner: tuple[float, float]) -> np.ndarray:
+    """Whether points of a cell are in a polygon of which the cell holds these edges and whether its corner is in it; boundaries are inside."""
+    if not len(edges):
+        return np.full(len(x), odd)
+    cx, y0 = corner
+    x, y = x[:, None], y[:, None]
+    e = dict(zip(("x1", "y1", "x2", "y2"), edges.T, strict=True))
+    rises, runs = e["y2"] > e["y1"], e["x2"] > e["x1"]
+    area = signed(e, x, y)
+    left = signed(e, cx, y) > 0
+    spans = (e["x1"] < cx) != (e["x2"] < cx)
+    up = (spans & (left == runs)) != (spans & ((signed(e, cx, y0) > 0) == runs))
+    level = (e["y1"] < y) != (e["y2"] < y)
+    across = (level & (left == rises)) != (level & ((area > 0) == rises))
+    on = (area == 0) & (x >= np.minimum(e["x1"], e["x2"])) & (x <= np.maximum(e["x1"], e["x2"])) & (y >= np.minimum(e["y1"], e["y2"])) & (y <= np.maximum(e["y1"], e["y2"]))
+    return (((up != across).sum(axis=1) % 2 == 1) != odd) | on.any(axis=1)
+
+
+def distance2(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The square of each point's distance to the nearest of the edges; infinite where there are none."""
+    x1, y1, x2, y2 = edges.T
+    x, y, dx, dy = x[:, None], y[:, None], x2 - x1, y2 - y1
+    t = np.minimum(np.maximum(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0.0), 1.0)
+    return np.min((x - (x1 + t * dx)) ** 2 + (y - (y1 + t * dy)) ** 2, axis=1, initial=np.inf)
 
 
 def locate(points: DataFrame, polys: DataFrame, size: float, x: str = "x", y: str = "y", reach: float = 0.0) -> DataFrame:
     """points with `found`, the polygons that hold each, or have an edge within `reach`, ascending; one shuffle, on the cell.
 
-    polys is the index of the same size, and of the same reach or more. Points without coordinates are in none.
+    polys is the index of the same size, and of the same reach or more. Points without coordinates are in none. Points go to
+    their cell in bundles, so that a cell's edges are sent once for each bundle and arrays compare them; a cell with many points is dealt by bundle.
     """
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    rows = points.withColumn("_i", cell(px, size)).withColumn("_j", cell(py, size))
     names = points.columns
+    kind = polys.schema["polys"].dataType.elementType["poly"].dataType
+    own = F.struct(F.struct(*names).alias("row"), px.alias("x"), py.alias("y"))
+    rows = points.select(cell(px, size).alias("_i"), cell(py, size).alias("_j"), F.shiftright(F.monotonically_increasing_id(), BUNDLE_BITS).alias("_part"), own.alias("_p"))
+    bundles = rows.groupBy("_i", "_j", "_part").agg(F.collect_list("_p").alias("_points")).drop("_part")
     cells = polys.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("polys").alias("_polys"))
-
-    def holds(p: Column) -> Column:
-        own = inside(p, px, py, F.col("_i"), F.col("_j"), size)
-        return own | (distance2(p, px, py) <= reach * reach) if reach else own
-
-    found = F.array_sort(F.transform(F.filter("_polys", holds), lambda p: p["poly"]))
-    kind = polys.schema["polys"].dataType.elementType["poly"].dataType.simpleString()
-    return rows.join(cells, ["_i", "_j"], "left").select(*names, F.coalesce(found, F.array().cast(f"array<{kind}>")).alias("found"))
+    met = bundles.join(cells, ["_i", "_j"], "left").select("_i", "_j", "_points", "_polys")
+
+    def found_in(i: int, j: int, near: list[dict], x: np.ndarray, y: np.ndarray) -> list[list]:
+        corner, out = (i * size + OFFSET * size, j * size + OFFSET * size), [[] for _ in x]
+        for p in sorted(near, key=lambda p: p["poly"]):
+            edges = np.array([(e["x1"], e["y1"], e["x2"], e["y2"]) for e in p["edges"]]).reshape(-1, 4)
+            step = max(1, COMPARED // max(1, len(edges)))
+            for at in range(0, len(x), step):
+                u, v = x[at : at + step], y[at : at + step]
+                held = inside(edges, p["odd"], u, v, corner)
+                if reach:
+                    held |= distance2(edges, u, v) <= reach * reach
+                for k in np.flatnonzero(held & ~np.isnan(u) & ~np.isnan(v)).tolist():
+                    out[at + k].append(p["poly"])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                points, near = batch.column(2)[k].values, batch.column(3)[k].as_py()
+                i, j = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if near is None or i is None or j is None:
+                    found = [[]] * len(points)
+                else:
+                    found = found_in(i, j, near, *(points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")))
+                own = points.field("row")
+                yield pa.record_batch([*(own.field(c) for c in range(len(names))), pa.array(found, pa.list_(to_arrow_type(kind)))], [*names, "found"])
+
+    return met.mapInArrow(run, StructType([*points.schema.fields, StructField("found", ArrayType(kind))]))
 
 
 def meeting(one: DataFrame, other: DataFrame, size: float) -> DataFrame:
