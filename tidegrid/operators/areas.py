@@ -67,6 +67,19 @@ def crossings(e: np.ndarray) -> np.ndarray:
     return e[i[hit], 0] + s[hit] * d[i[hit], 0]
 
 
+def cover(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> np.ndarray:
+    """Of convex rings, whether each holds all corners of the box, and so the box; rings of one number of vertices are one array."""
+    x0, y0, x1, y1 = box
+    out, many = np.zeros(len(rings), bool), np.array([len(r) for r in rings])
+    for n in np.unique(many):
+        r = np.stack([rings[k] for k in np.flatnonzero(many == n)])
+        d = np.roll(r, -1, 1) - r
+        side = np.stack([d[..., 0] * (y - r[..., 1]) - d[..., 1] * (x - r[..., 0]) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+        moves = np.abs(d).sum(axis=2) > 0
+        out[many == n] = ((side > 0) | ~moves).all(axis=(0, 2)) | ((side < 0) | ~moves).all(axis=(0, 2))
+    return out & (many >= 3)
+
+
 def swept(rings: list[np.ndarray], edges: np.ndarray, odd: bool, corner: tuple[float, float], box: tuple[float, float, float, float]) -> float:
     """Area of the union of convex rings, inside a polygon of which `edges` are known and whether its `corner` is in it, within a box."""
     x0, y0, x1, y1 = box
@@ -79,6 +92,8 @@ def swept(rings: list[np.ndarray], edges: np.ndarray, odd: bool, corner: tuple[f
     if len(own) > SWEPT:
         mx, my = (x0 + x1) / 2, (y0 + y1) / 2
         return sum(swept(own, edges, odd, corner, b) for b in ((x0, y0, mx, my), (mx, y0, x1, my), (x0, my, mx, y1), (mx, my, x1, y1)))
+    if not len(edges) and len(own) == 1:
+        return size(own[0]) if odd else 0.0
     sides = np.concatenate([np.c_[r, np.roll(r, -1, 0)] for r in own])
     near = edges[(np.minimum(edges[:, 0], edges[:, 2]) <= x1) & (np.maximum(edges[:, 0], edges[:, 2]) >= x0)] if len(edges) else edges
     every = np.concatenate([sides, near]) if len(near) else sides
@@ -150,7 +165,11 @@ def covered(footprints: DataFrame, index: DataFrame, cell: float, key: str = "id
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         place = lambda k: k * cell + polygons.OFFSET * cell
         box = (place(i), place(j), place(i + 1), place(j + 1))
-        rings = [np.array([(p["x"], p["y"]) for p in r]) for r in t["ring"].to_pylist()]
+        column = t["ring"].combine_chunks()
+        points, ends = column.flatten(), np.cumsum(column.value_lengths().to_numpy())
+        rings = np.split(np.c_[points.field("x").to_numpy(), points.field("y").to_numpy()], ends[:-1])
+        whole = np.flatnonzero(cover(rings, box))
+        rings = [rings[whole[0]]] if len(whole) else rings
         edges = np.array([(e["x1"], e["y1"], e["x2"], e["y2"]) for e in t["_edges"][0].as_py()]).reshape(-1, 4)
         area = swept(rings, edges, t["_odd"][0].as_py(), box[:2], box)
         return pa.table([t[key].slice(0, 1), t["poly"].slice(0, 1), pa.array([area])], [key, "poly", "area"])
