@@ -64,3 +64,10 @@ def test_clipped_windows(spark):
     assert got == {1: (0, 1, 4, 4, False), 2: (8, 7, 10, 8, False), 4: (0, 0, 10, 8, True)}
     with pytest.raises(ValueError):
         cuts.centred(w, 0)
+
+
+def test_bracket_joins_no_samples(spark):
+    """What the cells around hold comes as a row, not by a join that sorts the samples once more."""
+    s, k = spark.range(50).selectExpr("id % 3 AS k", "id * 1.0D AS t", "id AS i"), spark.range(20).selectExpr("id % 3 AS k", "id * 2.5D AS t", "id AS v")
+    plan = brackets.bracket(s, k, "k", 5.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x.split("Join ")[1].split(",")[0] for x in plan.split("\n") if "Join " in x] == ["FullOuter"]

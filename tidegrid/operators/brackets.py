@@ -9,33 +9,34 @@ from pyspark.sql import functions as F
 def bracket(samples: DataFrame, knots: DataFrame, key: str, width: float, t: str = "t") -> DataFrame:
     """samples with `before`, the last knot of their key at or before t, and `after`, the first one later; null where there is none.
 
-    Knots (key, t and more) become structs with t first. Both tables meet in cells of `width`, so no key is sorted as a whole: in a cell
-    by one running frame each way, and what a cell lacks comes from the ends of the cells around it, however many of those
-    are empty. Of knots of one key and time the one with the largest other values counts, before and after alike. One shuffle deals both tables; the ends are a
-    row for each key and cell.
+    Knots (key, t and more) become structs with t first, and know the next of their cell. Both tables meet in cells of `width`, so no key is
+    sorted as a whole: in a cell one running frame over one sort finds the knot before, whose next is the one after, and what a cell lacks comes
+    from the ends of the cells around it, however many of those are empty. These are a row for each key and cell, ahead of the cell's others, so
+    nothing is joined. Of knots of one key and time the one with the largest other values counts, before and after alike.
     """
     more = [c for c in knots.columns if c not in (key, t)]
     knot = F.struct(F.col(t).alias(t), *more)
     cell = F.floor(F.col(t) / width).cast("long").alias("_cell")
-    held = knots.where(F.col(t).isNotNull()).select(key, cell, knot.alias("_knot"))
+    held = knots.where(F.col(t).isNotNull() & F.col(key).isNotNull()).select(key, cell, knot.alias("_knot"))
     held = held.groupBy(key, "_cell", F.col(f"_knot.{t}").alias("_t")).agg(F.max("_knot").alias("_knot"))
-    asked = samples.select(F.struct(*samples.columns).alias("_row"), key, F.col(t).alias("_t"), cell)
+    known = F.col(t).isNotNull() & F.col(key).isNotNull()
+    asked = samples.where(known).select(key, cell, F.col(t).alias("_t"), F.struct(*samples.columns).alias("_row"))
     ends = held.groupBy(key, "_cell").agg(F.min("_knot").alias("_first"), F.max("_knot").alias("_last"))
     cells = ends.join(asked.select(key, "_cell").distinct(), [key, "_cell"], "full")
     order = Window.partitionBy(key)
     past = order.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     later = order.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.select(key, "_cell", F.last("_last", True).over(past).alias("_past"), F.last("_first", True).over(later).alias("_later"))
-    rows = asked.withColumn("_knot", F.lit(None).cast(held.schema["_knot"].dataType)).unionByName(held.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)))
+    around = F.struct(F.last("_last", True).over(past).alias("past"), F.col("_first").alias("first"), F.last("_first", True).over(later).alias("later"))
     own = Window.partitionBy(key, "_cell")
-    is_sample = F.col("_knot").isNull()
-    rows = rows.join(carried, [key, "_cell"])
-    rows = rows.withColumn("before", F.last("_knot", True).over(own.orderBy("_t", is_sample).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("after", F.last("_knot", True).over(own.orderBy(F.desc("_t"), ~is_sample).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    found = rows.where(is_sample).select("_row.*", F.coalesce("before", "_past").alias("before"), F.coalesce("after", "_later").alias("after"))
+    step = F.struct(F.col("_knot").alias("at"), F.lead("_knot").over(own.orderBy("_t")).alias("next"))
+    rows = cells.select(key, "_cell", around.alias("_around")).unionByName(held.select(key, "_cell", "_t", step.alias("_step")), True).unionByName(asked, True)
+    upto = own.orderBy(F.col("_t").asc_nulls_first(), F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_step", F.last("_step", True).over(upto)).withColumn("_around", F.last("_around", True).over(upto)).where(F.col("_row").isNotNull())
+    after = F.when(F.col("_step").isNull(), F.coalesce("_around.first", "_around.later")).otherwise(F.coalesce("_step.next", "_around.later"))
+    found = rows.select("_row.*", F.coalesce("_step.at", "_around.past").alias("before"), after.alias("after"))
     lost = samples.where(F.col(t).isNull() | F.col(key).isNull())  # they have no cell
     none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("before", "after")]
-    return found.where(F.col(t).isNotNull() & F.col(key).isNotNull()).unionByName(lost.select("*", *none))
+    return found.unionByName(lost.select("*", *none))
 
 
 def tallied(asked: DataFrame, knots: DataFrame, width: float, t: str = "t") -> DataFrame:

@@ -157,7 +157,7 @@ def orbit_residuals(spark: SparkSession, d: str) -> DataFrame:
     mean = F.avg("o_totalprice")
     knots = o.groupBy(F.col("o_custkey").alias("cust"), day("o_orderdate").alias("t")).agg((mean / 997.0).alias("p"), ((mean - F.min("o_totalprice")) / 49999.0 - 0.5).alias("v"))
     samples = t.table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    samples = samples.select(F.col("o_custkey").alias("cust"), "l_orderkey", "l_linenumber", day("l_shipdate").alias("t"), (F.col("l_extendedprice") / 1009.0).alias("sp"), F.col("l_tax").alias("sv"))
+    samples = samples.select(F.col("o_custkey").alias("cust"), day("l_shipdate").alias("t"), (F.col("l_extendedprice") / 1009.0).alias("sp"), F.col("l_tax").alias("sv"))
     p, v = brackets.hermite(F.col("t"), F.col("before"), F.col("after"), "p", "v")
     rows = brackets.bracket(samples, knots, "cust", 180.0).withColumn("dp", F.abs(F.col("sp") - p)).withColumn("dv", F.abs(F.col("sv") - v))
     out = rows.groupBy("cust").agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(F.col("dp").isNull()).alias("n_uncovered"), F.percentile("dp", F.array(F.lit(0.5), F.lit(0.95), F.lit(1.0))).alias("q"), F.max("dv").alias("v"))
