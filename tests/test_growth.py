@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidegrid.operators import areas, brackets, matching, polygons
+from tidegrid.operators import areas, brackets, matching, polygons, records
 
 D = "/root/testdata/sf0.001"
 
@@ -115,3 +115,20 @@ def test_rings_that_hold_a_box():
     rings = [square(-1.0, 2.0), square(-1.0, 2.0)[::-1], square(0.5, 2.0), np.array([(-9.0, -9.0), (9.0, -9.0), (0.0, 9.0)]), np.vstack([square(-1.0, 2.0), [(-1.0, 2.0)]])]
     assert areas.cover(rings, box).tolist() == [True, True, False, True, True]
     assert areas.swept([square(0.5, 2.0)], np.zeros((0, 4)), True, (0.0, 0.0), box) == 0.25
+
+
+def test_support_is_counted_by_groups_of_places():
+    """The counts of all pairs, with pairs compared that grow more slowly than all of them."""
+    rng, shares = np.random.default_rng(3), []
+    for k in (2000, 16_000):
+        place = lambda n: (rng.uniform(0, 40_000, n).round(), rng.uniform(-60, -50, n), rng.uniform(45, 55, n))
+        marks, seen, pairs = place(60), place(k), []
+        n, nearest = records.tally(*marks, *seen, 21_600.0, 250_000.0, pairs)
+        for i in range(60):
+            lat, lat2 = np.radians(marks[2][i]), np.radians(seen[2])
+            h = np.sin((lat2 - lat) / 2) ** 2 + np.cos(lat) * np.cos(lat2) * np.sin(np.radians(seen[1] - marks[1][i]) / 2) ** 2
+            d = 2 * records.EARTH_M * np.arcsin(np.sqrt(h))
+            d = d[(d <= 250_000) & (np.abs(seen[0] - marks[0][i]) <= 21_600)]
+            assert n[i] == len(d) and abs(nearest[i] - d.min()) < 1e-4
+        shares.append(sum(pairs) / (60 * k))
+    assert shares[1] < 0.6 * shares[0] and shares[1] < 0.1
