@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -73,3 +74,43 @@ def test_carried_columns(spark):
     got = suffix.suffix_dedup(spark.createDataFrame(rows, brute.SCHEMA), 30, carry=("lang", "b", "key", "n_chars"))
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "lang", "b", "key", "n_chars"]
     assert sorted(map(repr, ((r[0], r[5], r[8]) for r in got.collect()))) == sorted(map(repr, ((r[0], r[2], r[4]) for r in rows)))
+
+
+def test_windows_that_may_begin_a_repeat_are_few_and_none_is_lost():
+    """A passage of two documents begins a repeat at one window of each, however long; the rest is not sorted."""
+    rng = random.Random(11)
+    draw = lambda n: bytes(rng.choices(b"abcdefgh ", k=n))
+    passage = draw(400)
+    texts = [np.frombuffer(draw(300) + b"x" + passage + draw(300), np.uint8), np.frombuffer(draw(200) + b"y" + passage + draw(100), np.uint8)]
+    text = np.concatenate(texts)
+    at = np.concatenate([np.arange(len(texts[0]) - 49), len(texts[0]) + np.arange(len(texts[1]) - 49)])
+    key = (at >= len(texts[0])).astype(np.int64)
+    left = np.where((at > 0) & (at != len(texts[0])), text[at - 1].astype(np.int64), suffix.NONE)
+    some = suffix.repeated(suffix.gram_hashes(text, 50, at), key, left)
+    assert at[some].tolist() == [301, len(texts[0]) + 201]
+    assert suffix.repeated(suffix.gram_hashes(text, 50, at), np.zeros(len(at), np.int64), left).tolist() == []
+
+
+@pytest.mark.parametrize("gram", [1, 5, 8, 24, 50])
+def test_gram_hashes_tell_grams_apart(gram):
+    rng = np.random.default_rng(gram)
+    buf = np.r_[rng.integers(0, 3, 40000), np.tile(np.r_[np.zeros(7), 1, np.zeros(7), 1], 50), rng.integers(0, 256, 5000)].astype(np.uint8)
+    h = suffix.gram_hashes(buf, gram)
+    raw = buf.tobytes()
+    grams = [raw[i : i + gram] for i in range(len(raw) - gram + 1)]
+    assert len(h) == len(grams) and len(set(h.tolist())) == len(set(grams)) == len(set(zip(h.tolist(), grams, strict=True)))
+    places = rng.integers(0, len(grams), 30000)
+    assert (suffix.gram_hashes(buf, gram, places) == h[places]).all()
+    assert not len(suffix.gram_hashes(buf[: gram - 1], gram))
+
+
+def test_an_extent_has_one_identity_whatever_else_its_batch_holds():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(97, 101, 50).astype(np.uint8)
+    for n in (50, 60, 90):
+        buf = np.r_[passage, rng.integers(97, 123, n).astype(np.uint8)]
+        x = suffix.Extents(buf, np.array([0, 50, 50 + n]), 50, 24)
+        if n == 50:
+            want = x.identity()[0]
+        assert x.identity()[0] == want and len(set(x.identity().tolist())) == len(x.start)
+    assert len(x.start) > 1

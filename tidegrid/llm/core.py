@@ -205,6 +205,8 @@ def minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
     n = len(hashes)
     if n < w:
         return np.zeros(0, np.int64)
+    if n > 2 * STEP + w:
+        return np.concatenate([minimizers(hashes[at : at + STEP + w - 1], w) + at for at in range(0, n - w + 1, STEP)])
     keys = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     span = 1
     while span * 2 <= w:

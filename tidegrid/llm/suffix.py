@@ -92,6 +92,27 @@ def intervals(common: np.ndarray, left: np.ndarray, key: np.ndarray, least: int)
     return np.concatenate(out)
 
 
+def gram_hashes(buf: np.ndarray, gram: int, places: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of every `gram` bytes, or of those at some places, eight bytes a step."""
+    n = max(0, len(buf) - gram + 1) if places is None else len(places)
+    if not n:
+        return np.zeros(0, np.uint64)
+    out, wide = np.empty(n, np.uint64), np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", wide, 0, (1,))
+    steps = [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])] if gram >= 8 else [0]
+    for at in range(0, n, core.STEP):
+        to = min(n, at + core.STEP)
+        words = eight[at : to + steps[-1]].copy() if places is None else None
+        h = np.full(to - at, 0x9E3779B97F4A7C15, np.uint64)
+        for k in steps:
+            own = words[k : k + to - at] if places is None else eight[places[at:to] + k]
+            h ^= own & np.uint64((1 << 8 * gram) - 1) if gram < 8 else own
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        out[at:to] = core.mix(h)
+    return out
+
+
 class Extents:
     """The windows of some documents, joined where neighbours have one anchor.
 
@@ -100,8 +121,7 @@ class Extents:
     """
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
-        values = core.VALUES[buf]
-        grams = core.window_hashes(values, gram)
+        grams = gram_hashes(buf, gram)
         at = np.flatnonzero(core.valid(offs, len(buf), length))
         anchor = core.minimizers(grams, length - gram + 1)[at] if len(at) else at
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
@@ -111,7 +131,7 @@ class Extents:
         self.end = self.start + self.windows + length - 1
         self.anchor, self.hash = anchor[first], grams[anchor[first]]
         self.doc = np.searchsorted(offs, self.start, "right") - 1
-        self.values = values
+        self.grams, self.gram = grams, gram
 
     def chosen(self, some: np.ndarray, hot: np.ndarray) -> np.ndarray:
         """Keep some extents; those on hot anchors become one extent for each window. Returns which are such."""
@@ -128,8 +148,13 @@ class Extents:
 
     def identity(self) -> np.ndarray:
         """Hashes of the extents' bytes and the anchors' places in them."""
-        h = core.span_hashes(self.values, self.start, self.end)
-        return core.mix(h + (self.anchor - self.start).astype(np.uint64))
+        size = self.end - self.start
+        h = core.mix(size.astype(np.uint64) << np.uint64(32) | (self.anchor - self.start).astype(np.uint64))
+        last = self.end - self.gram
+        for at in range(0, int(size.max()) if len(size) else 0, self.gram):  # grams that cover the extent, no more of them than it takes
+            own = core.mix(h + self.grams[np.minimum(self.start + at, last)])
+            h = np.where(at < size, own, h)
+        return h
 
 
 def _size_code(n: np.ndarray) -> np.ndarray:
@@ -158,9 +183,12 @@ def first(length: int, buckets: int) -> Callable:
         codes, keys, idents = np.concatenate(codes), np.concatenate(keys), np.concatenate(idents)
         if not len(codes):
             return exchange.messages([])
-        order = np.lexsort((idents, codes))
+        order = np.argsort(codes)
+        new = np.r_[True, codes[order][1:] != codes[order][:-1]]
+        twice = np.flatnonzero(~new | ~np.r_[new[1:], True])
+        some = order[twice]
+        order[twice] = some[np.lexsort((idents[some], codes[some]))]
         codes, keys, idents = codes[order], keys[order], idents[order]
-        new = np.r_[True, codes[1:] != codes[:-1]]
         at = np.flatnonzero(new)
         several = np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)
         many = _size_code(np.add.reduceat((new | np.r_[True, idents[1:] != idents[:-1]]).astype(np.int64), at))
@@ -248,8 +276,29 @@ def second(length: int, buckets: int) -> Callable:
     return say
 
 
+def repeated(h: np.ndarray, key: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Places of windows whose hash several keys have, with different left neighbours (negative: none known): a maximal repeat begins at no others."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    order = np.argsort(h)
+    cuts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    size = np.diff(np.r_[cuts, len(h)])
+    cuts, several = cuts[size > 1], np.repeat(size > 1, size)
+    order, size = order[several], size[size > 1]
+    if not len(order):
+        return order
+    cuts = np.cumsum(size) - size
+    key, left = key[order], left[order]
+    low, side = np.minimum.reduceat(left, cuts), np.maximum.reduceat(left, cuts)
+    good = (np.minimum.reduceat(key, cuts) < np.maximum.reduceat(key, cuts)) & ((low < 0) | (low != side))
+    return np.sort(order[np.repeat(good, size)])
+
+
 def _spread(best: np.ndarray, some: np.ndarray, twice: np.ndarray, key: np.ndarray, n: np.ndarray, first_at: np.ndarray, begin: np.ndarray, size: np.ndarray, text: np.ndarray, length: int) -> None:
-    """Lower `best` of the windows of some extents to the smallest key of the maximal repeats that cover them."""
+    """Lower `best` of the windows of some extents to the smallest key of the maximal repeats that cover them.
+
+    Only suffixes at which a maximal repeat can begin are sorted: those whose first `length` bytes several keys have.
+    """
     again = some[twice[some]]
     ext = np.r_[some, again]
     keys = np.r_[key[some], np.where(key[again] < np.iinfo(np.int64).max, key[again] + 1, key[again])]
@@ -257,6 +306,8 @@ def _spread(best: np.ndarray, some: np.ndarray, twice: np.ndarray, key: np.ndarr
     owner = np.repeat(np.arange(len(ext)), many)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
     at = begin[ext][owner] + place
+    some = repeated(gram_hashes(text, length, at), keys[owner], np.where(place > 0, text[at - 1].astype(np.int64), NONE))
+    owner, place, at = owner[some], place[some], at[some]
     order, common = suffix_array(text, at, size[ext][owner] - place)
     left = np.where(place > 0, text[at - 1].astype(np.int64), NONE)[order]
     found = intervals(common, left, keys[owner][order], length)
@@ -362,8 +413,9 @@ def _cut(length: int, buckets: int, digest: bool) -> Callable:
                 if len(hot):
                     x.chosen(np.arange(len(x.start)), exchange.member(exchange.short(x.hash, buckets), hot))
                 own = x.identity()
-                lo, hi = np.searchsorted(ident, own, "left"), np.searchsorted(ident, own, "right")
-                many = hi - lo
+                lo, many = np.searchsorted(ident, own, "left"), np.zeros(len(own), np.int64)
+                some = np.flatnonzero(ident[np.minimum(lo, len(ident) - 1)] == own)
+                many[some] = np.searchsorted(ident, own[some], "right") - lo[some]
                 hit = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
                 ext = np.repeat(np.arange(len(own)), many)
                 keys = rows.column(rows.schema.get_field_index("key")).to_numpy()[x.doc[ext]]
