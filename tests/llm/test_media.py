@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter
 from heapq import heapify, heappop, heappush
@@ -306,3 +307,41 @@ def test_awkward_rows(spark):
     assert brute.ordered([tuple(r)[:5] for r in got]) == brute.ordered(want)
     assert all(r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() for r in got)
     assert media.media_columns(spark.createDataFrame([], brute.SCHEMA)).count() == 0
+
+
+def test_codes_of_many_images_are_made_together():
+    """Rows of counts give each row's own code, whatever stands beside it; lengths that are too long are made again."""
+    rng = np.random.default_rng(3)
+    counts = np.zeros((40, 280), np.int64)
+    for row in counts[1:]:
+        some = rng.choice(280, rng.integers(1, 200), replace=False)
+        row[some] = np.maximum(1, rng.pareto(0.4, len(some))).astype(np.int64) % 10**9 + 1
+    counts[5, :30] = 2 ** np.arange(30)
+    got = webp_store.huffman(counts, webp_store.DEEPEST)
+    for c, n in zip(counts, got, strict=True):
+        assert (webp_store.huffman(c[None], webp_store.DEEPEST)[0] == n).all() and ((n > 0) == (c > 0)).all() and n.max() <= webp_store.DEEPEST
+        if (c > 0).sum() > 1:
+            assert (0.5 ** n[n > 0]).sum() == 1
+        plain = lengths_of(Counter({s: int(k) for s, k in enumerate(c) if k}) or Counter([0]), 280)
+        if 1 < (c > 0).sum() and max(plain) <= webp_store.DEEPEST:
+            assert (n * c).sum() == sum(x * y for x, y in zip(plain, c.tolist(), strict=True))
+
+
+def test_calls_of_a_batch_are_few_for_each_image():
+    """Codes, symbols and copies of a batch go by arrays; a loop over each image's symbols takes 4100 calls an image here."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(2000)]
+    payloads = [media.padded(" ".join(rng.choices(vocabulary, k=300)).encode()) for _ in range(60)]
+    calls = [0, 0]
+    for k, some in enumerate((payloads[:20], payloads)):
+        kept = sys.getprofile()
+
+        def counted(frame, event, arg, k=k):
+            calls[k] += event in ("call", "c_call")
+
+        sys.setprofile(counted)
+        try:
+            media.load(media.store(some))
+        finally:
+            sys.setprofile(kept)
+    assert calls[1] - calls[0] < 40 * 3000, calls

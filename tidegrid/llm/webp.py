@@ -6,6 +6,7 @@ those with a cache or several groups symbol by symbol.
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Sequence
 
@@ -45,26 +46,36 @@ class Code:
     """A canonical prefix code. Its table holds symbol * 16 + length at every window of `top` bits; one symbol takes no bits."""
 
     def __init__(self, lengths: Sequence[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
+        own = np.array(lengths, np.uint8)
+        used = own.nonzero()[0]
+        if not len(used):
             raise ValueError("a prefix code without symbols")
-        self.top, self.only = 0, used[0]
-        self.table = np.array([self.only << 4], np.int32)
         if len(used) == 1:
+            self.top, self.only = 0, int(used[0])
+            self.table = np.array([self.only << 4], np.int32)
             return
-        own = np.array([lengths[s] for s in used])
-        self.top, self.only = int(own.max()), None
-        if int((1 << (self.top - own)).sum()) != 1 << self.top:
+        own = own[used]
+        order = own.argsort(kind="stable")
+        own = own[order]
+        self.top, self.only = int(own[-1]), None
+        many = _POWERS[self.top - own]
+        if int(many.sum()) != 1 << self.top:
             raise ValueError("an incomplete prefix code")
         # by ascending codes each symbol has 2**(top - length) windows in a row, whose first bit is the highest
-        order = np.argsort(own, kind="stable")
-        own = own[order]
-        self.table = np.repeat((np.array(used)[order] << 4 | own).astype(np.int32), 1 << (self.top - own))[_REVERSED[: 1 << self.top] >> (15 - self.top)]
+        self.table = (used[order] << 4 | own).astype(np.int32).repeat(many)[_TURNED[self.top]]
 
 
 _REVERSED = np.zeros(1 << 15, np.int64)
 for _k in range(15):
     _REVERSED |= (np.arange(1 << 15) >> _k & 1) << (14 - _k)
+_TURNED = [_REVERSED[: 1 << _k] >> (15 - _k) for _k in range(16)]
+_POWERS = 1 << np.arange(16)
+
+
+@functools.cache
+def single(symbol: int) -> Code:
+    """The code of one symbol."""
+    return Code([0] * symbol + [1])
 
 
 def canonical_bits(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,23 +102,44 @@ def symbol(bits: Bits, c: Code) -> int:
     return e >> 4
 
 
+def _short_table(lengths: list[int]) -> list[int]:
+    """The table (see `Code`) of a code of lengths, of 7 bits at most."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return Code(lengths).table.tolist()
+    top, windows = used[-1][0], []
+    for n, s in used:
+        windows += [s << 4 | n] * (1 << (top - n))
+    if len(windows) != 1 << top:
+        raise ValueError("an incomplete prefix code")
+    return [windows[i] for i in _SHORT[top]]
+
+
+_SHORT = [x.tolist() for x in _TURNED[:8]]
+
+
 def read_code(bits: Bits, size: int) -> Code:
     """A code's lengths: of one or two symbols plainly, else by a code of lengths with runs."""
-    lengths = [0] * size
     if bits.read(1):
         n, wide = bits.read(1) + 1, bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if n == 2:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if wide else 1)
+        if n == 1 or (second := bits.read(8)) == first:
+            if first >= size:
+                raise ValueError("a symbol beyond the alphabet")
+            return single(first)
+        lengths = [0] * size
+        lengths[first] = lengths[second] = 1
         return Code(lengths)
-    own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
-    by = Code(own)
+    lengths, own = [0] * size, [0] * 19
+    shown = 4 + bits.read(4)
+    given = bits.read(3 * shown)
+    for i in range(shown):
+        own[LENGTH_ORDER[i]] = given >> 3 * i & 7
+    table = _short_table(own)
     most = size
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
-    table, mask, before = by.table.tolist(), (1 << by.top) - 1, 8
+    mask, before = len(table) - 1, 8
     byte = bits.at >> 3
     rest = int.from_bytes(bits.data[byte : byte + 2 * size + 16], "little") >> (bits.at & 7)
     at = taken = 0
@@ -182,6 +214,10 @@ _LEAST = np.array([1, 2, 3, 4] + [((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in
 _NEAR = np.array(NEAR, np.int64)
 #: Bytes of streams whose bits are looked at together.
 SPAN = 1 << 16
+#: Bytes of these whose every bit is looked at in one step, few enough for a cache.
+LOOK = 1 << 14
+#: Bits of a symbol at most, with the extra bits of a reference or the codes of a pixel, and more.
+REACH = 128
 
 
 def read_streams(streams: list[Stream]) -> list[np.ndarray]:
@@ -214,116 +250,128 @@ def _read_group(streams: list[Stream]) -> list[np.ndarray]:
     owner = np.repeat(np.arange(len(streams)), sizes)
     coded = [k for k in (1, 2, 3) if any(s.codes[0][k].only is None for s in streams)]
 
-    def look(k: int, at: np.ndarray) -> np.ndarray:
-        """Entries of the k-th codes' tables at some bits."""
+    def look(k: int, at: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+        """Entries of the k-th codes' tables, or of another table by their places, at some bits."""
         byte = at >> 3
         whose = owner[byte]
-        return tables[k][starts[k][whose] + (window[byte] >> (at & 7).astype(np.uint32) & masks[k][whose])]
+        return (tables[k] if table is None else table)[starts[k][whose] + (window[byte] >> (at & 7).astype(np.uint32) & masks[k][whose])]
 
     def number(at: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (window[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << n) - 1)
 
-    places: list[list[np.ndarray]] = [[] for _ in streams]
-    kinds: list[list[np.ndarray]] = [[] for _ in streams]
-    refs: list[list[np.ndarray]] = [[] for _ in streams]
-    now = [8 * int(b) + (s.bits.at & 7) for b, s in zip(begin, streams, strict=True)]
-    ends = [8 * int(b + n - 8) for b, n in zip(begin, sizes, strict=True)]
+    # bits of a symbol, or of a reference's length and its extra bits (128 more), and of a distance, by the tables' places
+    kind = tables[0] >> 4
+    wide = ((tables[0] & 15) + np.where(kind < 256, 0, 128 + _EXTRA[np.clip(kind - 256, 0, 39)])).astype(np.uint8)
+    far_wide = ((tables[4] & 15) + _EXTRA[np.minimum(tables[4] >> 4, 39)]).astype(np.int32)
+    found: list[list[np.ndarray]] = [[], []]  # places and entries of all symbols
+    now = np.array([8 * int(b) + (s.bits.at & 7) for b, s in zip(begin, streams, strict=True)])
+    ends = 8 * (begin + sizes - 8)
     total = int(sizes.sum())
-    for lo in range(0, total, 2 * SPAN):
-        hi = min(total, lo + 2 * SPAN)
+    last = 8 * total - 1
+    for lo in range(0, total, LOOK):
+        hi = min(total, lo + LOOK)
         whose = owner[lo:hi]
-        entry = tables[0][starts[0][whose][:, None] + (window[lo:hi, None] >> np.arange(8, dtype=np.uint32) & masks[0][whose][:, None])].ravel()
-        kind = entry >> 4
-        following = np.arange(8 * lo, 8 * hi, dtype=np.int32 if total < 1 << 27 else np.int64)
-        following += entry & 15
-        ref = np.flatnonzero(kind >= 256)
-        spot = following[ref].astype(np.int64)
+        at = window[lo:hi, None] >> np.arange(8, dtype=np.uint32)
+        at &= masks[0][whose][:, None]
+        at += starts[0][whose].astype(np.uint32)[:, None]
+        at = at.ravel()
+        bits = wide.take(at)
+        base, size = 8 * lo, 8 * (hi - lo)
+        step = np.arange(size + REACH, dtype=np.int32)  # what begins after the span stays where it is
+        step[:size] += bits & 127
+        ref = np.flatnonzero(bits > 127)
+        spot = np.minimum(step[ref].astype(np.int64) + base, last)
         for k in coded:
-            following += look(k, np.minimum(following, 8 * total - 1)) & 15
-        prefix = np.minimum(kind[ref] - 256, 39)
-        length = _LEAST[prefix] + number(spot, _EXTRA[prefix])
-        spot = spot + _EXTRA[prefix]
-        got = look(4, np.minimum(spot, 8 * total - 1))
-        spot = spot + (got & 15)
-        prefix = np.minimum(got >> 4, 39)
-        distance = _LEAST[prefix] + number(np.minimum(spot, 8 * total - 1), _EXTRA[prefix])
-        following[ref] = spot + _EXTRA[prefix]
-        base = 8 * lo
-        following -= base
-        step, every, cuts = memoryview(following), [], [0]
-        add, these = every.append, range(int(owner[lo]), int(owner[hi - 1]) + 1)
-        for i in these:
-            p, end = now[i] - base, min(ends[i], 8 * hi) - base
+            step[:size] += look(k, np.minimum(step[:size].astype(np.int64) + base, last)) & 15
+        step[ref] = spot - base + look(4, spot, far_wide)
+        # steps of two, four and eight symbols; every eighth symbol is followed one by one, those between come by arrays
+        two = step[step]
+        four = two[two]
+        eight = memoryview(four[four])
+        every, cuts = [], [0]
+        add, these = every.append, slice(int(owner[lo]), int(owner[hi - 1]) + 1)
+        stop = np.minimum(ends[these], 8 * hi) - base
+        for p, end in zip((now[these] - base).tolist(), stop.tolist(), strict=True):
             while p < end:
                 add(p)
-                p = step[p]
-            now[i] = p + base
+                p = eight[p]
             cuts.append(len(every))
-        every = np.array(every, np.int64)
-        own = kind[every]
-        is_ref = own >= 256
-        r = np.searchsorted(ref, every[is_ref])
-        r, several = np.stack([length[r], distance[r]]), np.r_[0, np.cumsum(is_ref)][cuts]
-        every += base
-        for i, a, b, x, y in zip(these, cuts, cuts[1:], several, several[1:], strict=False):
-            places[i].append(every[a:b])
-            kinds[i].append(own[a:b])
-            refs[i].append(r[:, x:y])
-    out = []
-    for i, s in enumerate(streams):
-        joined = len(places[i]) > 1
-        p, kind, (length, distance) = (np.concatenate(places[i]), np.concatenate(kinds[i]), np.concatenate(refs[i], 1)) if joined else (places[i][0], kinds[i][0], refs[i][0])
-        is_ref = kind >= 256
-        size = np.ones(len(p), np.int64)
-        size[is_ref] = length
-        goal = s.width * s.height
-        reached = np.cumsum(size)
-        cut = int(np.searchsorted(reached, goal)) + 1
-        if cut > len(p) or int(reached[cut - 1]) != goal or (cut == len(p) and now[i] > ends[i]):
-            raise ValueError("the stream ends early, or a reference is outside the image")
-        p, kind, is_ref = p[:cut], kind[:cut], is_ref[:cut]
-        pixel = kind[~is_ref].astype(np.uint32) << np.uint32(8)
-        if any(c.only is None for c in s.codes[0][1:4]):
-            spot = p[~is_ref]
-            spot = spot + (look(0, spot) & 15)
-        for k, shift in ((1, 16), (2, 0), (3, 24)):
-            if (only := s.codes[0][k].only) is not None:
-                pixel |= np.uint32(only << shift)
-            else:
-                got = look(k, spot)
-                pixel |= (got >> 4).astype(np.uint32) << np.uint32(shift)
-                spot = spot + (got & 15)
-        n = int(is_ref.sum())
-        if n:
-            length, distance = length[:n], distance[:n]
-            x, y = _NEAR[np.minimum(distance, 120) - 1].T
-            far = np.where(distance > 120, distance - 120, np.maximum(1, x + y * s.width))
-            pixel = _copied(pixel, np.flatnonzero(is_ref) - np.arange(n), length, far)
-        out.append(pixel.reshape(s.height, s.width))
-    return out
+        chain = np.empty((len(every), 8), np.int32)
+        chain[:, 0] = every
+        chain[:, 4] = four[chain[:, 0]]
+        chain[:, 2::4] = two[chain[:, ::4]]
+        chain[:, 1::2] = step[chain[:, ::2]]
+        inside = chain < np.repeat(stop, np.diff(cuts))[:, None]
+        reached = np.r_[0, np.cumsum(inside.sum(axis=1))][cuts]
+        chain = chain[inside]
+        some = np.flatnonzero(reached[1:] > reached[:-1])
+        now[these.start + some] = step[chain[reached[1:][some] - 1]].astype(np.int64) + base
+        found[0].append(chain.astype(np.int64) + base)
+        found[1].append(tables[0][at[chain]])
+    place, entry = (np.concatenate(x) for x in found)
+    kind = entry >> 4
+    is_ref = kind >= 256
+    spot = place[is_ref] + (entry[is_ref] & 15)
+    prefix = np.minimum(kind[is_ref] - 256, 39)
+    length = _LEAST[prefix] + number(np.minimum(spot, last), _EXTRA[prefix])
+    spot = np.minimum(spot + _EXTRA[prefix], last)
+    got = look(4, spot)
+    prefix = np.minimum(got >> 4, 39)
+    distance = _LEAST[prefix] + number(np.minimum(spot + (got & 15), last), _EXTRA[prefix])
+    size = np.ones(len(place), np.int64)
+    size[is_ref] = length
+    reached = np.r_[0, np.cumsum(size)]
+    cuts = np.searchsorted(place, np.r_[8 * begin, 8 * total])
+    goals = np.array([s.width * s.height for s in streams])
+    stop = np.searchsorted(reached, reached[cuts[:-1]] + goals)  # one after the last symbol that counts
+    if (stop > cuts[1:]).any() or (reached[stop] != reached[cuts[:-1]] + goals).any() or ((stop == cuts[1:]) & (now > ends)).any():
+        raise ValueError("the stream ends early, or a reference is outside the image")
+    whose = np.repeat(np.arange(len(streams)), stop - cuts[:-1])
+    some = np.arange(len(whose)) + (cuts[:-1] - np.r_[0, np.cumsum(stop - cuts[:-1])[:-1]])[whose]
+    r = (np.cumsum(is_ref) - 1)[some[is_ref[some]]]
+    place, kind, is_ref, size, length, distance = place[some], kind[some], is_ref[some], size[some], length[r], distance[r]
+    x, y = _NEAR[np.minimum(distance, 120) - 1].T
+    far = np.where(distance > 120, distance - 120, np.maximum(1, x + y * np.array([s.width for s in streams])[whose[is_ref]]))
+    pixel = kind[~is_ref].astype(np.uint32) << np.uint32(8)
+    if coded:
+        spot = place[~is_ref]
+        spot = spot + (look(0, spot) & 15)
+    for k, shift in ((1, 16), (2, 0), (3, 24)):
+        if k in coded:
+            got = look(k, spot)
+            pixel |= (got >> 4).astype(np.uint32) << np.uint32(shift)
+            spot = spot + (got & 15)
+        else:
+            pixel |= (np.array([s.codes[0][k].only for s in streams], np.uint32) << np.uint32(shift))[whose[~is_ref]]
+    begin = np.cumsum(goals) - goals
+    pixel = _copied(pixel, is_ref, size, far, begin[whose[is_ref]])
+    return [pixel[a : a + n].reshape(s.height, s.width) for s, a, n in zip(streams, begin.tolist(), goals.tolist(), strict=True)]
+
 
+def _copied(literal: np.ndarray, is_ref: np.ndarray, size: np.ndarray, far: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Pixels of symbols: literals, and references to what stands `far` before, not before their image's begin.
 
-def _copied(pixel: np.ndarray, before: np.ndarray, length: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Literal pixels with references filled in; before: how many literals stand before each."""
-    # where only the green samples differ, bytes are laid out, else whole pixels
-    rest = pixel & np.uint32(0xFFFF00FF)
-    one = bool((rest == rest[0]).all()) if len(pixel) else False
-    raw, wide = ((pixel >> np.uint32(8)).astype(np.uint8).tobytes(), 1) if one else (pixel.tobytes(), 4)
-    out, done, size = bytearray(), 0, 0
-    for c, n, d in zip((wide * before).tolist(), (wide * length).tolist(), (wide * far).tolist(), strict=True):
-        if c > done:
-            out += raw[done:c]
-            size += c - done
-            done = c
-        a = size - d
-        if a < 0:
-            raise ValueError("a reference outside the image")
-        out += out[a : a + n] if d >= n else (out[a:] * (n // d + 1))[:n]
-        size += n
-    out += raw[done:]
-    if one:
-        return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | rest[0]
-    return np.frombuffer(bytes(out), np.uint32)
+    Each pixel's source is followed to a literal for all at once, by sources of sources.
+    """
+    start = np.cumsum(size) - size
+    if (start[is_ref] - far < begin).any():
+        raise ValueError("a reference outside the image")
+    n = int(size.sum())
+    back = np.zeros(len(size), np.int32)
+    back[is_ref] = far
+    source = np.arange(n, dtype=np.int32)
+    source -= np.repeat(back, size)
+    left = np.flatnonzero(np.repeat(is_ref, size))
+    which = np.zeros(n, np.int32)  # of literals, their number
+    which[start[~is_ref]] = np.arange(len(literal))
+    known = np.ones(n, bool)
+    known[left] = False
+    while len(left):
+        at = source[left]
+        further = ~known[at]
+        source[left] = source[at]
+        left = left[further]
+    return literal[which[source]]
 
 
 def _read_symbols(bits: Bits, codes: list[list[Code]], which, block: int, width: int, total: int, cache_bits: int) -> list[int]:

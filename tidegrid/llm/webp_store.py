@@ -17,75 +17,125 @@ from . import webp
 SHORT, LONG, FAR = 5, 4096, (1 << 20) - 120
 #: Longest code of a green symbol or a distance.
 DEEPEST = 11
-#: Samples that are matched together; references don't reach into an earlier block.
-BLOCK = 1 << 17
+#: Samples of an image that are matched together; references don't reach into an earlier block. Images are matched with
+#: others up to so many samples, few enough for a cache.
+BLOCK, TOGETHER = 1 << 17, 1 << 15
 #: Distances from which a reference has to be longer by one to be worth its extra bits.
 DEAR = (1 << 13, 1 << 17)
 U = np.uint64
 
 
 def huffman(counts: np.ndarray, deepest: int) -> np.ndarray:
-    """Code lengths of symbols with these counts (0: none), `deepest` at most; a single symbol has length 1."""
-    used = np.flatnonzero(counts)
-    out = np.zeros(len(counts), np.int64)
-    if len(used) < 2:
-        out[used] = 1
-        return out
-    weight = counts[used].astype(np.int64)
-    while True:
-        order = np.argsort(weight, kind="stable")
-        n = len(order)
-        w, up = weight[order].tolist(), [0] * (2 * n - 1)
-        leaf, node = 0, n
-        for at in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node >= at or w[leaf] <= w[node]):
-                    up[leaf] = at
-                    total += w[leaf]
-                    leaf += 1
-                else:
-                    up[node] = at
-                    total += w[node]
-                    node += 1
-            w.append(total)
-        depth = [0] * (2 * n - 1)
-        for at in range(2 * n - 3, -1, -1):
-            depth[at] = depth[up[at]] + 1
-        if max(depth[:n]) <= deepest:
-            out[used[order]] = depth[:n]
-            return out
-        weight = (weight >> 1) + 1
-
-
-def code_bits(lengths: np.ndarray) -> tuple[int, int]:
-    """The bits that describe a code, and how many: of one or two symbols plainly, else by a code of lengths with runs."""
-    used = np.flatnonzero(lengths)
-    if len(used) <= 2 and int(used[-1]) < 256:
-        value = 1 | (len(used) - 1) << 1 | 1 << 2 | int(used[0]) << 3
-        return (value, 11) if len(used) == 1 else (value | int(used[1]) << 11, 19)
-    runs, before = [], 8
-    cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
-    values = lengths.tolist()
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        v, n = values[a], b - a
-        if v and v != before:
-            runs.append((v, ""))
-            before, n = v, n - 1
-        while n >= 3:
-            symbol, k, least, bits = (16, min(n, 6), 3, 2) if v else (18, min(n, 138), 11, 7) if n >= 11 else (17, n, 3, 3)
-            runs.append((symbol, f"{k - least:0{bits}b}"[::-1]))
-            n -= k
-        runs += [(v, "")] * n
-    own = huffman(np.bincount([r[0] for r in runs], minlength=19), 7)
-    shown = max(4, 1 + max(k for k, s in enumerate(webp.LENGTH_ORDER) if own[s]))
-    code = {s: f"{v:0{n}b}"[::-1] for s, (v, n) in webp.canonical(own).items()}
-    if len(code) == 1:
-        code = dict.fromkeys(code, "")
-    # first bits first; after the code of lengths a bit says that all symbols of the alphabet follow
-    text = ["0" + f"{shown - 4:04b}"[::-1], *(f"{own[s]:03b}"[::-1] for s in webp.LENGTH_ORDER[:shown]), "0", *(code[s] + extra for s, extra in runs)]
-    text = "".join(text)
-    return int(text[::-1], 2), len(text)
+    """Code lengths of each row's symbols with these counts (0: none), `deepest` at most; a single symbol has length 1."""
+    used = np.count_nonzero(counts, axis=1)
+    out = np.where(used[:, None] == 1, counts > 0, 0).astype(np.int64)
+    weight, rows = counts.astype(np.int64), np.flatnonzero(used > 1)
+    while len(rows):
+        rows = rows[np.argsort(-used[rows], kind="stable")]
+        depth = _depths(weight[rows], used[rows])
+        fine = depth.max(axis=1) <= deepest
+        out[rows[fine]] = depth[fine]
+        rows = rows[~fine]
+        weight[rows] = np.where(weight[rows] > 0, (weight[rows] >> 1) + 1, 0)
+    return out
+
+
+def _depths(weight: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Depths in each row's Huffman tree, all rows' trees made step by step together; rows by their number of symbols, most first."""
+    n, top, none = len(weight), int(used[0]), 1 << 62
+    own = np.where(weight > 0, weight, none)
+    order = np.argsort(own, axis=1, kind="stable")[:, :top]
+    leaves, nodes = np.full((top + 1, n), none), np.full((top + 1, n), none)
+    leaves[:top] = np.take_along_axis(own, order, 1).T
+    leaf_up, node_up = np.zeros((top + 1, n), np.int64), np.zeros((top + 1, n), np.int64)
+    flat = [x.ravel() for x in (leaves, nodes, leaf_up, node_up)]
+    row = np.arange(n)
+    leaf, node = row.copy(), row.copy()
+    live = np.searchsorted(-used, -np.arange(1, top + 1), "right")  # rows with so many symbols or more
+    for at in range(top - 1):
+        many = live[at + 1]
+        x, y, total = leaf[:many], node[:many], 0
+        for _ in range(2):
+            a, b = flat[0][x], flat[1][y]
+            total = total + np.minimum(a, b)
+            flat[2][x] = at  # what isn't taken now is written again
+            flat[3][y] = at
+            first = a <= b
+            x += n * first
+            y += n * ~first
+        nodes[at, :many] = total
+    depth = np.zeros((top + 1, n), np.int64)
+    deep = depth.ravel()
+    for at in range(top - 3, -1, -1):
+        many = live[at + 2]
+        depth[at, :many] = deep[node_up[at, :many] * n + row[:many]] + 1
+    out = np.zeros(weight.shape, np.int64)
+    np.put_along_axis(out, order, (deep[leaf_up[:top] * n + row] + 1).T, 1)
+    out[weight == 0] = 0
+    return out
+
+
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits as they are written, and their number, of each row's symbols with these lengths; a single symbol takes none."""
+    order = np.argsort(np.where(lengths > 0, lengths, 16).astype(np.uint8), axis=1, kind="stable")
+    own = np.take_along_axis(lengths, order, 1)
+    part = np.where(own > 0, 1 << (15 - own), 0)
+    bits = np.zeros(lengths.shape, U)
+    np.put_along_axis(bits, order, np.where(own > 0, webp._REVERSED[(np.cumsum(part, 1) - part) & 0x7FFF], 0).astype(U), 1)
+    several = np.count_nonzero(lengths, axis=1)[:, None] > 1
+    return np.where(several, bits, U(0)), np.where(several, lengths, 0)
+
+
+_ORDER = np.array(webp.LENGTH_ORDER)
+
+
+def code_bits(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bits, how many) in order that describe each row's code: of one or two symbols plainly, else by a code of lengths with runs."""
+    n, size = lengths.shape
+    used = np.count_nonzero(lengths, axis=1)
+    first, last = (lengths > 0).argmax(axis=1), size - 1 - (lengths[:, ::-1] > 0).argmax(axis=1)
+    plain = (used <= 2) & (last < 256)
+    value = 1 | (used - 1) << 1 | 1 << 2 | first << 3 | np.where(used == 2, last << 11, 0)
+    short = np.flatnonzero(plain), value[plain].astype(U), np.where(used == 2, 19, 11)[plain]
+    rows = np.flatnonzero(~plain)
+    if not len(rows):
+        return short
+    own = lengths[rows]
+    edge = np.ones(own.shape, bool)
+    edge[:, 1:] = own[:, 1:] != own[:, :-1]
+    cut = np.flatnonzero(edge.ravel())
+    v, many, of = own.ravel()[cut], np.diff(np.r_[cut, own.size]), cut // size
+    # a run of lengths may repeat the last one that wasn't 0, which is the run's before or the one's before that
+    before = np.full(len(v), 8)
+    for back in (2, 1):
+        same = np.flatnonzero((of[back:] == of[:-back]) & (v[:-back] > 0)) + back
+        before[same] = v[same - back]
+    lead = (v > 0) & (v != before)
+    left, most = many - lead, np.where(v > 0, 6, 138)
+    full, rest = left // most, left % most
+    parts = np.stack([lead, full, rest >= 3, np.where(rest < 3, rest, 0)], 1).ravel()
+    run, kind = np.divmod(np.repeat(np.arange(len(parts)), parts), 4)
+    v, rest, of = v[run], rest[run], of[run]
+    literal, long = (kind == 0) | (kind == 3), np.where(kind == 1, most[run], rest)
+    symbol = np.where(literal, v, np.where(v > 0, 16, np.where(long >= 11, 18, 17)))
+    extra = np.where(literal, 0, long - np.where(symbol == 18, 11, 3))
+    wide = np.where(literal, 0, np.where(symbol == 16, 2, np.where(symbol == 18, 7, 3)))
+    by = huffman(np.bincount(of * 19 + symbol, minlength=19 * len(rows)).reshape(-1, 19), 7)
+    shown = np.maximum(4, 19 - (by[:, _ORDER[::-1]] > 0).argmax(axis=1))
+    # after the code of lengths a bit says that all symbols of the alphabet follow
+    head = (shown - 4 << 1).astype(U) | (by[:, _ORDER].astype(U) << (5 + 3 * np.arange(19)).astype(U)).sum(axis=1, dtype=U)
+    bits, wides = canonical(by)
+    token, taken = bits[of, symbol], wides[of, symbol]
+    out = np.r_[short[0], rows, rows[of]], np.r_[short[1], head, token | extra.astype(U) << taken.astype(U)], np.r_[short[2], 6 + 3 * shown, taken + wide]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
+
+
+def _pieces(rows: np.ndarray, values: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bits, how many) of whole numbers of any width."""
+    own = [(r, value >> at & ((1 << 60) - 1), min(60, many - at)) for r, (value, many) in zip(rows, values, strict=True) for at in range(0, many, 60)]
+    a, b, c = zip(*own, strict=True)
+    return np.array(a), np.array(b, U), np.array(c)
 
 
 def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,13 +175,22 @@ def references(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = np.where(np.r_[distance[1:] != distance[:-1], True], at, n).astype(np.int32)
     length = np.minimum.accumulate(last[::-1])[::-1] - at + SHORT
     usable = (distance > 0) & (length >= SHORT + (distance >= DEAR[0]) + (distance >= DEAR[1]))
-    following = np.r_[np.minimum.accumulate(np.where(usable, at, n)[::-1])[::-1], n].astype(np.int32)
     length = np.minimum(length, LONG).astype(np.int32)
-    after, long, now, starts = memoryview(following), memoryview(length), 0, []
-    while (spot := after[now]) < n:
-        starts.append(spot)
-        now = spot + long[spot]
-    starts = np.array(starts, np.int64)
+    # the next reference after each that may be one; every eighth is followed one by one, those between come by arrays
+    able = np.flatnonzero(usable)
+    step = np.r_[np.r_[0, np.cumsum(usable, dtype=np.int32)][able + length[able]], len(able)]
+    two = step[step]
+    four = two[two]
+    eight, now, every = memoryview(four[four]), 0, []
+    while now < len(able):
+        every.append(now)
+        now = eight[now]
+    chain = np.empty((len(every), 8), np.int64)
+    chain[:, 0] = every
+    chain[:, 4] = four[chain[:, 0]]
+    chain[:, 2::4] = two[chain[:, ::4]]
+    chain[:, 1::2] = step[chain[:, ::2]]
+    starts = able[chain[chain < len(able)]]
     edge = np.zeros(n + 1, np.int8)
     edge[starts + 1] = 1
     edge[starts + length[starts]] -= 1
@@ -160,7 +219,7 @@ def _streams(images: list[np.ndarray], heads: list[tuple[int, int]], width: int)
     for i, x in enumerate(images):
         for at in range(0, len(x), BLOCK):
             part = x[at : at + BLOCK]
-            if held + len(part) > BLOCK and blocks[-1]:
+            if held + len(part) > TOGETHER and blocks[-1]:
                 blocks.append([])
                 held = 0
             blocks[-1].append((i, part))
@@ -186,23 +245,19 @@ def _streams(images: list[np.ndarray], heads: list[tuple[int, int]], width: int)
     ref = np.flatnonzero(symbol >= 256)
     green = np.bincount(owner * 280 + symbol, minlength=280 * n).reshape(n, 280)
     reach = np.bincount(owner[ref] * 40 + far[0], minlength=40 * n).reshape(n, 40)
-    bits_of, size_of = [np.zeros((n, k), U) for k in (280, 40)], [np.zeros((n, k), np.int64) for k in (280, 40)]
-    starts = []
-    for i in range(n):
-        value, at = heads[i]
-        value, at = value | 0 << at, at + 2  # no cache, one group of codes
-        for k, counts in enumerate((green[i], reach[i])):
-            lengths = huffman(counts, DEEPEST)
-            if not lengths.any():
-                lengths[0] = 1
-            got, many = code_bits(lengths)
-            value, at = value | got << at, at + many
-            used = np.flatnonzero(lengths)
-            if len(used) > 1:
-                bits_of[k][i, used], size_of[k][i, used] = webp.canonical_bits(lengths[used])
-            if not k:
-                value, at = value | PLAIN[0] << at, at + PLAIN[1]
-        starts.append((value, at))
+    heading, bits_of, size_of = [_pieces(np.arange(n), [(value, at + 2) for value, at in heads])], [], []  # no cache, one group of codes
+    for counts in (green, reach):
+        counts[~counts.any(axis=1), 0] = 1
+        lengths = huffman(counts, DEEPEST)
+        heading.append(code_bits(lengths))
+        if len(heading) == 2:
+            heading.append(_pieces(np.arange(n), [PLAIN] * n))
+        for x, own in zip((bits_of, size_of), canonical(lengths), strict=True):
+            x.append(own)
+    of, head, head_size = (np.concatenate(x) for x in zip(*heading, strict=True))
+    order = np.argsort(of, kind="stable")
+    of, head, head_size = of[order], head[order], head_size[order]
+    began = np.bincount(of, head_size, minlength=n).astype(np.int64)
     token = bits_of[0][owner, symbol]
     size = size_of[0][owner, symbol]
     t, s = token[ref], size[ref]
@@ -211,25 +266,19 @@ def _streams(images: list[np.ndarray], heads: list[tuple[int, int]], width: int)
         s = s + b
     token[ref], size[ref] = t, s
     # places of all tokens' bits; each image begins at a word of 64 bits
-    total = np.bincount(owner, size, minlength=n).astype(np.int64) + [b for _, b in starts]
+    total = np.bincount(owner, size, minlength=n).astype(np.int64) + began
     words = (total + 63) // 64
     base = np.cumsum(words) - words
-    before = np.cumsum(size) - size
-    first = np.searchsorted(owner, np.arange(n))
-    place = before - before[np.minimum(first, len(before) - 1)][owner] + (64 * base + [b for _, b in starts])[owner]
     out = np.zeros(int(words.sum()) + 1, U)
-    word, shift = place >> 6, (place & 63).astype(U)
-    cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    out[word[cut]] = np.add.reduceat(token << shift, cut)
-    over = np.flatnonzero((place & 63) + size > 64)
-    out[word[over] + 1] += token[over] >> (U(64) - shift[over])
-    done = []
-    for i, (value, bits) in enumerate(starts):
-        a, b = int(base[i]), int(base[i] + words[i])
-        head = np.frombuffer(value.to_bytes(8 * -(-bits // 64), "little"), "<u8")
-        out[a : a + len(head)] |= head
-        done.append(out[a:b].tobytes()[: -(-int(total[i]) // 8)])
-    return done
+    for i, bits, many, start in ((of, head, head_size, 64 * base), (owner, token, size, 64 * base + began)):
+        before = np.cumsum(many) - many
+        place = before - before[np.minimum(np.searchsorted(i, np.arange(n)), len(before) - 1)][i] + start[i]
+        word, shift = place >> 6, (place & 63).astype(U)
+        cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[cut]] += np.add.reduceat(bits << shift, cut)
+        over = np.flatnonzero((place & 63) + many > 64)
+        out[word[over] + 1] += bits[over] >> (U(64) - shift[over])
+    return [out[a : a + k].tobytes()[: -(-t // 8)] for a, k, t in zip(base.tolist(), words.tolist(), total.tolist(), strict=True)]
 
 
 def _one(symbol: int) -> tuple[int, int]:
@@ -246,7 +295,7 @@ def _palette_head(values: np.ndarray) -> tuple[int, int]:
     value, at = 1 | webp.PALETTE << 1 | (len(values) - 1) << 3, 11
     at += 1  # no cache
     step = np.diff(values.astype(np.int64), prepend=0)
-    lengths = huffman(np.bincount(step, minlength=256), 15)
+    lengths = huffman(np.bincount(step, minlength=256)[None], 15)[0]
     wide = np.zeros(280, np.int64)
     wide[:256] = lengths
     alpha = np.zeros(256, np.int64)
@@ -254,8 +303,9 @@ def _palette_head(values: np.ndarray) -> tuple[int, int]:
     near = np.zeros(40, np.int64)
     near[0] = 1
     for own in (wide, lengths, lengths, alpha, near):
-        got, many = code_bits(own)
-        value, at = value | got << at, at + many
+        _, got, many = code_bits(own[None])
+        for x, k in zip(got.tolist(), many.tolist(), strict=True):
+            value, at = value | x << at, at + k
     codes, several = webp.canonical(lengths), int((lengths > 0).sum()) > 1
     for k, s in enumerate(step.tolist()):
         if several:
@@ -274,10 +324,10 @@ def encode_grey(payloads: list[bytes], width: int) -> list[bytes]:
     start = [0x2F | (width - 1) << 8 | (len(x) // width - 1) << 22 for x in images]
     green = [(s | (1 | webp.GREEN << 1) << 40, 44) for s in start]  # one transform, and none after it
     out = _streams(images, green, width) if images else []
+    grey = [np.bincount(x, minlength=256).nonzero()[0] for x in images]
     for bits, most in ((3, 2), (2, 4), (1, 16)):
         some, packed, heads = [], [], []
-        for i, x in enumerate(images):
-            values = np.flatnonzero(np.bincount(x, minlength=256))
+        for i, (x, values) in enumerate(zip(images, grey, strict=True)):
             if len(values) <= most and webp._palette_bits(len(values)) == bits:
                 rank = np.zeros(256, np.uint8)
                 rank[values] = np.arange(len(values))
