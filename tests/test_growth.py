@@ -1,6 +1,8 @@
 """Results against plain loops, and plans whose rows stay in proportion to the input."""
 
+import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -88,6 +90,73 @@ def test_units_are_dealt_to_ids(spark):
     assert abs(sum(r.distance for r in got) - sum(r.distance for r in want)) < 1e-9
 
 
+def crowd(seed, n, m, degree):
+    """Edges between n and m points of a lattice of few distances, so that many want the same; the first point of m is everyone's last resort."""
+    rng = np.random.default_rng(seed)
+    i = np.repeat(np.arange(n), degree)
+    j = (i * m // n + rng.integers(-2 * degree, 2 * degree, len(i))) % m
+    edges = {(int(x), int(y)): 100.0 * math.sqrt(rng.integers(0, 30)) for x, y in zip(i, j, strict=True)}
+    return edges | {(x, 0): 6000.0 for x in range(n)}
+
+
+def shortest(edges, na, nb):
+    """Units and cost by Bellman and Ford's shortest paths one after another, in a plain loop."""
+    flow, have, take, total = dict.fromkeys(edges, 0), list(na), list(nb), [0, 0.0]
+    while True:
+        dist, before = {("a", i): 0.0 for i, n in enumerate(have) if n}, {}
+        changed = True
+        while changed:
+            changed = False
+            for (i, j), c in edges.items():
+                for x, y, w, ok in ((("a", i), ("b", j), c, True), (("b", j), ("a", i), -c, flow[i, j] > 0)):
+                    if ok and x in dist and dist[x] + w < dist.get(y, math.inf) - 1e-9:
+                        dist[y], before[y], changed = dist[x] + w, x, True
+        end = min((("b", j) for j, n in enumerate(take) if n and ("b", j) in dist), key=dist.get, default=None)
+        if end is None:
+            return total
+        total = [total[0] + 1, total[1] + dist[end]]
+        take[end[1]] -= 1
+        while end in before:
+            x = before[end]
+            if x[0] == "a":
+                flow[x[1], end[1]] += 1
+            else:
+                flow[end[1], x[1]] -= 1
+            end = x
+        have[end[1]] -= 1
+
+
+def test_crowded_nodes_are_matched_by_short_searches():
+    """Equal to a plain loop with several units a node and too few places; 5 000 nodes that link in one component are done in seconds."""
+    rng = random.Random(7)
+    for seed, n, m in ((0, 25, 25), (1, 40, 20), (2, 20, 40), (3, 30, 30)):
+        edges = crowd(seed, n, m, 3)
+        na, nb = [rng.randint(1, 3) for _ in range(n)], [rng.randint(1, 3) for _ in range(m)]
+        got = matching.transport(edges, na, nb)
+        assert all(sum(f for (i, _), f in got.items() if i == k) <= na[k] for k in range(n)) and all(sum(f for (_, j), f in got.items() if j == k) <= nb[k] for k in range(m))
+        units, cost = shortest(edges, na, nb)
+        assert sum(got.values()) == units and abs(sum(edges[e] * f for e, f in got.items()) - cost) < 1e-6
+    began = time.monotonic()
+    assert sum(matching.transport(crowd(4, 5000, 4800, 6), [1] * 5000, [1] * 4800).values()) > 4700
+    assert time.monotonic() - began < 30
+
+
+def test_days_are_assigned_in_few_jobs(spark):
+    """A path of 120 nodes and 40 lone pairs on each of two days: no rounds of components unless a day has more edges than one task takes; ids of any type."""
+    path = [(d, f"l{(i + 1) // 2:04}", f"r{i // 2:04}", float(i * 7919 % 30 + 1)) for d in (0, 1) for i in range(119)] + [(d, f"x{i}", f"y{i}", 2.0) for d in (0, 1) for i in range(40)]
+    edges = spark.createDataFrame([(*r[:2], 1, r[2], 1, r[3]) for r in path + path[:3]], "day long, a string, na long, b string, nb long, distance double")
+    lines = [{(int(a[1:]), int(b[1:])): c for d, a, b, c in path if d == 0 and a[0] == "l"}, {(i, i): 2.0 for i in range(40)}]
+    units, cost = (2 * sum(v) for v in zip(*(shortest(e, [1] * 61, [1] * 61) for e in lines), strict=True))
+    sc, jobs = spark.sparkContext, []
+    for whole in (10_000, 160, 60):
+        sc.setJobGroup(f"days-{whole}", "")
+        got = matching.flows(edges, "day", whole).collect()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"days-{whole}")))
+        assert len(got) == len({(r.day, r.a) for r in got}) == len({(r.day, r.b) for r in got}) == units and abs(sum(r.distance for r in got) - cost) < 1e-6
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] < 12 < jobs[2]
+
+
 def test_points_meet_a_cells_edges_in_bundles(spark):
     """A comb of 400 teeth in one cell: points within by an even-odd loop; edges are joined to bundles of points, not to each."""
     xs = np.arange(801) / 1000.0
