@@ -1,10 +1,12 @@
 """Results against plain loops, and plans whose rows stay in proportion to the input."""
 
 import math
+import os
 import random
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidegrid.operators import areas, brackets, matching, polygons, records
@@ -55,6 +57,40 @@ def test_matches_by_places_against_edges(spark):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, matching.associations(a, matching.near(a, b, 3600.0)).collect()))
 
 
+def test_ids_at_several_places_are_matched_once(spark, tmp_path):
+    """Ids whose rows differ in place, repeated rows, rows without a place or an id: as by distinct edges, and the query as its SQL; a node of such an id has one unit a key."""
+    rng = random.Random(8)
+    place = lambda: (rng.randint(0, 4000), float(rng.randint(0, 12) * 500), 0.0)
+    rows = lambda n: (r := [(rng.randint(0, n), *place()) for _ in range(n)] + [(100 + i, *place()) for i in range(n)]) + r[:3] + [(3, None, 0.0, 0.0), (100, None, 0.0, 0.0), (900, None, 1.0, 1.0), (None, *r[-1][1:]), (None, 9, 0.0, 0.0)]
+    for n in (12,):
+        a, b = spark.createDataFrame(rows(n), "a long, t long, x double, y double"), spark.createDataFrame(rows(n), "b long, t long, x double, y double")
+        got = matching.matched(a, b, 3600.0).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, matching.associations(a, matching.near(a.where("a IS NOT NULL"), b.where("b IS NOT NULL"), 3600.0)).collect()))
+        own = matching.places(a, "a").withColumn("a", F.struct("a.id", "a.n", F.expr("t div 2000").alias("day")))
+        e = matching.near(own, matching.places(b, "b"), 3600.0).select("a.day", F.col("a.id").alias("a"), F.col("a.n").alias("na"), F.col("b.id").alias("b"), F.col("b.n").alias("nb"), "distance")
+        found = matching.flows(e, "day")
+        pairs = matching.dealt_out(found, a, b, "day").collect()
+        assert len({(r.day, r.a) for r in pairs}) == len({(r.day, r.b) for r in pairs}) == len(pairs) == sum(r.n for r in found.collect()) > 0
+    from tests.twins import TABLES, compare
+    from tidegrid.plans import registry
+
+    for t in TABLES:
+        if t != "events":
+            os.symlink(f"{D}/{t}.parquet", tmp_path / f"{t}.parquet")
+    at = pd.Timestamp("2024-01-01")
+    events = [(rng.randint(0, 60), at + pd.Timedelta(seconds=rng.randint(0, 40_000)), rng.choice(["error", "purchase"])) for _ in range(160)] + [(i, None, "error") for i in range(0, 60, 7)]
+    pd.DataFrame(events, columns=["event_id", "ts", "event_type"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    compare(spark, "sighting_match", registry.QUERIES["sighting_match"], registry.ORACLE["sighting_match"], str(tmp_path))
+
+
+def test_pairs_at_the_bound_meet(spark):
+    """Places whose distance is the bound by rounding, on both sides of a cell; no time between."""
+    a = spark.createDataFrame([(1, 0, -1e-17, 0.0), (2, 0, 0.0, -1e-17)], "a long, t long, x double, y double")
+    b = spark.createDataFrame([(7, 10800, 5400.0, 0.0), (8, 10800, 0.0, 5400.0)], "b long, t long, x double, y double")
+    assert {(r.a, r.b) for r in matching.near(a, b, 10800.0).collect()} == {(1, 7), (1, 8), (2, 7), (2, 8)}
+    assert {(r.a, r.b) for r in matching.near(a, b.withColumn("t", F.lit(0).cast("long")), 0.0, 0.5, 5400.0).collect()} == {(1, 7), (1, 8), (2, 7), (2, 8)}
+
+
 def test_transport_against_the_assignment_of_units():
     """Units along a few edges are what an assignment of all single units gives, in number and cost; a large sparse problem needs no matrix."""
     rng = random.Random(4)
